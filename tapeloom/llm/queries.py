@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tapeloom.llm import bpe, decontam, secrets
-from tapeloom.llm.common import table
+from tapeloom.llm import bpe, decontam, secrets, warc
+from tapeloom.llm.common import shared_path, table
 
 
 def tokenizer_path(name: str) -> str:
@@ -21,6 +21,12 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(docs, tokenizer_path("word_bpe_49k.json"), digests=True).drop("text")
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = shared_path(spark, "warc")
+    warc.write(table(spark, sf_dir, "pages"), path)
+    return warc.digest(warc.assemble(warc.read(spark, path, with_payload=False)))
+
+
 def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return secrets.digest(secrets.scan(docs, keep_text=False))
@@ -32,8 +38,8 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_bpe": op1_bpe, "op8_secrets": op8_secrets, "op9_decontamination": op9_decontamination}
+    return {"op1_bpe": op1_bpe, "op2_warc": op2_warc, "op8_secrets": op8_secrets, "op9_decontamination": op9_decontamination}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_decontamination": decontam.ORACLE}
+    return {"op2_warc": warc.ORACLE, "op9_decontamination": decontam.ORACLE}

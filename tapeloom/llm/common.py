@@ -8,7 +8,9 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Rows of a batch handled at once in Python; keeps a worker's memory bounded whatever the session's Arrow batch size.
 SLICE_BYTES = 4 << 20
@@ -47,6 +49,20 @@ def stash(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Ids that may be broadcast: 8 bytes each, so 16 MB.
+BROADCAST_IDS = 2_000_000
+
+
+def restrict(df: DataFrame, ids: DataFrame, column: str, keep: bool) -> DataFrame:
+    """The rows of df whose id is (keep) or isn't among ids, a frame of one column of that name.
+
+    Up to BROADCAST_IDS ids travel to the rows, so that texts aren't shuffled; more are joined by shuffle.
+    """
+    if ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:
+        ids = F.broadcast(ids)
+    return df.join(ids, column, "left_semi" if keep else "left_anti")
+
+
 def remainder(ids: np.ndarray, mod: int) -> np.ndarray:
     """crc32 of each id's decimal text, modulo mod; ids may hold None, which gives 0 as the empty text does."""
     return np.array([zlib.crc32(b"" if i is None else str(i).encode()) % mod for i in ids], dtype=np.int64)
@@ -54,8 +70,7 @@ def remainder(ids: np.ndarray, mod: int) -> np.ndarray:
 
 def slices(batch: pa.RecordBatch, column: str):
     """Cuts a batch into pieces of about SLICE_BYTES of text, one row at least."""
-    lengths = batch.column(column)
-    sizes = np.array([len(x) if x is not None else 0 for x in lengths.to_pylist()], dtype=np.int64) if batch.num_rows else np.zeros(0, np.int64)
+    sizes = pc.binary_length(batch.column(column)).fill_null(0).to_pylist()
     start, total = 0, 0
     for i, n in enumerate(sizes):
         if i > start and total + n > SLICE_BYTES:
@@ -148,7 +163,7 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
 def shingles(h: np.ndarray, bounds: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of k-word shingles within each text; a text of fewer words, but not none, gives its whole sequence as one.
 
-    Returns the hashes, repeats included, and the number of the text each belongs to, in order of texts.
+    Returns the hashes, repeats included, and the number of the text each belongs to, in no order.
     """
     count = np.diff(bounds)
     owner_of_word = np.repeat(np.arange(len(count)), count)
@@ -162,11 +177,9 @@ def shingles(h: np.ndarray, bounds: np.ndarray, k: int) -> tuple[np.ndarray, np.
     full = _mix(full)
     place = np.arange(n) - np.repeat(bounds[:-1], count)
     keep = place + k <= np.repeat(count, count)
-    out, owner = full[keep], owner_of_word[keep]
-    for i in np.flatnonzero((count > 0) & (count < k)):
-        x = np.uint64(count[i])
-        for w in h[bounds[i] : bounds[i + 1]]:
-            x = x * step + w
-        at = np.searchsorted(owner, i)
-        out, owner = np.insert(out, at, _mix(np.array([x]))[0]), np.insert(owner, at, i)
-    return out, owner
+    few = np.flatnonzero((count > 0) & (count < k))
+    whole = count[few].astype(np.uint64)
+    for j in range(k - 1):
+        more = count[few] > j
+        whole[more] = whole[more] * step + h[bounds[few[more]] + j]
+    return np.concatenate([full[keep], _mix(whole)]), np.concatenate([owner_of_word[keep], few])

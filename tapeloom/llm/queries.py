@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tapeloom.llm import bpe, decontam, secrets, warc
+from tapeloom.llm import bpe, decontam, jaccard_join, secrets, warc
 from tapeloom.llm.common import shared_path, table
 
 
@@ -27,6 +27,10 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.digest(warc.assemble(warc.read(spark, path, with_payload=False)))
 
 
+def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), k=3, percent=90)
+
+
 def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return secrets.digest(secrets.scan(docs, keep_text=False))
@@ -38,8 +42,8 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_bpe": op1_bpe, "op2_warc": op2_warc, "op8_secrets": op8_secrets, "op9_decontamination": op9_decontamination}
+    return {"op1_bpe": op1_bpe, "op2_warc": op2_warc, "op4_jaccard_join": op4_jaccard_join, "op8_secrets": op8_secrets, "op9_decontamination": op9_decontamination}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_warc": warc.ORACLE, "op9_decontamination": decontam.ORACLE}
+    return {"op2_warc": warc.ORACLE, "op4_jaccard_join": jaccard_join.ORACLE, "op9_decontamination": decontam.ORACLE}

@@ -131,8 +131,8 @@ def lower_ascii(data: np.ndarray) -> np.ndarray:
     return _LOWER[data]
 
 
-def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Words [^\\x20\\x09-\\x0D]+ of texts joined in data, A-Z lower-cased.
+def words(data: np.ndarray, offsets: np.ndarray, gaps: np.ndarray = _IS_SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Words of texts joined in data, A-Z lower-cased: runs of bytes that gaps doesn't mark, by default [^\\x20\\x09-\\x0D]+.
 
     Gives each word's 64-bit hash, first byte, end byte, and for each text the index of its first word (n + 1 values).
     Words never cross texts.
@@ -141,7 +141,7 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     if n == 0:
         z = np.zeros(0, np.int64)
         return np.zeros(0, np.uint64), z, z, np.zeros(len(offsets), np.int64)
-    gap = _IS_SPACE[data]
+    gap = gaps[data]
     start = ~gap
     start[1:] &= gap[:-1]
     end = ~gap
@@ -183,3 +183,33 @@ def shingles(h: np.ndarray, bounds: np.ndarray, k: int) -> tuple[np.ndarray, np.
         more = count[few] > j
         whole[more] = whole[more] * step + h[bounds[few[more]] + j]
     return np.concatenate([full[keep], _mix(whole)]), np.concatenate([owner_of_word[keep], few])
+
+
+def labelled(docs: DataFrame, labels: DataFrame, target: str, mod: int, bound: int) -> DataFrame:
+    """(doc_id, text, label) of at most bound labelled rows whose crc32(doc_id as text) mod `mod` isn't 0, in an order by hash.
+
+    Only these rows' labels are ever read. Rows without an id or label are left out; of repeated ids one row is taken.
+    """
+    ok = labels.where(F.col("doc_id").isNotNull() & F.col(target).isNotNull() & (F.crc32(F.col("doc_id").cast("string").cast("binary")) % mod != 0))
+    picked = ok.groupBy("doc_id").agg(F.max(target).cast("int").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound)
+    return docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")  # bound rows at most
+
+
+def held_out(mod: int, rest: int, id_col: str = "doc_id"):
+    """Whether crc32(id as text) mod `mod` is rest; false for a row without an id."""
+    return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % mod == rest, F.lit(False))
+
+
+def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, steps: int = 60) -> np.ndarray:
+    """Weights of a logistic model by Newton's method; the last is the intercept, which isn't penalised."""
+    x = np.column_stack([x, np.ones(len(x))])
+    w = np.zeros(x.shape[1])
+    penalty = np.full(x.shape[1], ridge * len(x))
+    penalty[-1] = 1e-9
+    for _ in range(steps):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + np.diag(penalty), x.T @ (y - p) - penalty * w)
+        w += np.clip(step, -4, 4)
+        if np.abs(step).max() < 1e-8:
+            break
+    return w

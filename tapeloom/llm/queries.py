@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tapeloom.llm import bpe, decontam, jaccard_join, secrets, warc
-from tapeloom.llm.common import shared_path, table
+from tapeloom.llm import bpe, decontam, jaccard_join, quality, secrets, toxicity, warc
+from tapeloom.llm.common import held_out, shared_path, table
 
 
 def tokenizer_path(name: str) -> str:
@@ -31,6 +32,13 @@ def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), k=3, percent=90)
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.fit(docs, table(spark, sf_dir, "labels"))
+    scored = quality.score(docs, model, keep_text=False)
+    return scored.select("doc_id", held_out(5, 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return secrets.digest(secrets.scan(docs, keep_text=False))
@@ -41,8 +49,15 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.digest(decontam.mark(docs, table(spark, sf_dir, "benchmark"), n=10, keep_text=False))
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    scored = toxicity.score(docs, model, keep_text=False, with_segments=False)
+    return scored.select("doc_id", held_out(5, 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_bpe": op1_bpe, "op2_warc": op2_warc, "op4_jaccard_join": op4_jaccard_join, "op8_secrets": op8_secrets, "op9_decontamination": op9_decontamination}
+    return {"op1_bpe": op1_bpe, "op2_warc": op2_warc, "op4_jaccard_join": op4_jaccard_join, "op6_quality": op6_quality, "op8_secrets": op8_secrets, "op9_decontamination": op9_decontamination, "op10_toxicity": op10_toxicity}
 
 
 def oracle_sql() -> dict[str, str]:

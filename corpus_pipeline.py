@@ -1,23 +1,64 @@
-"""The corpus pipeline."""
+"""The corpus pipeline: from raw documents to token ids.
+
+Each stage takes (spark, docs, sf_dir) and returns the documents it keeps, with their columns; the last returns ids. A
+stage's result is written and read again before the next one.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tapeloom.llm import bpe
+from tapeloom.llm import bpe, decontam, jaccard_join, quality, secrets
+from tapeloom.llm.common import stash, table
 from tapeloom.llm.queries import tokenizer_path
 
+#: Documents below this score of the quality classifier are rejected.
+LEAST_QUALITY = 0.3
+#: Near duplicates: shingles of so many words, and so many hundredths of their union in common.
+SHINGLE_WORDS, SIMILARITY = 5, 80
+WINDOW_WORDS = 10
+
+
+def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    model = quality.fit(docs, table(spark, sf_dir, "labels"))
+    return quality.score(docs, model).where(F.col("score") >= LEAST_QUALITY).select(*docs.columns)
+
+
+def keep_one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return jaccard_join.deduplicate(docs, k=SHINGLE_WORDS, percent=SIMILARITY)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return decontam.drop_contaminated(docs, table(spark, sf_dir, "benchmark"), n=WINDOW_WORDS)
+
+
+def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    redacted = secrets.redact(secrets.scan(docs))
+    return redacted.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return bpe.encode_decode(docs, tokenizer_path("word_bpe_49k.json"))
+    coded = bpe.encode_decode(docs, tokenizer_path("word_bpe_49k.json"))
+    ids = F.when(F.col("n_tokens") > 0, F.split("ids", " ").cast("array<int>")).otherwise(F.array().cast("array<int>"))
+    return coded.select("doc_id", "lang", "source", "n_tokens", ids.alias("ids"))
 
 
-STAGES = [("bpe", encode)]
+STAGES = [
+    ("quality classifier", keep_good),
+    ("n-gram Jaccard join", keep_one_of_near_duplicates),
+    ("benchmark decontamination", drop_contaminated),
+    ("secret scans", redact_secrets),
+    ("BPE encoding and decoding", encode),
+]
+#: SQL can't express the classifier, the linking of secrets or BPE; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    docs = table(spark, sf_dir, "documents")
+    for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if k + 1 < len(STAGES):
+            docs = stash(docs, f"stage{k}")
     return docs

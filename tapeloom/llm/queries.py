@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapeloom.llm import bpe, decontam, jaccard_join, quality, secrets, toxicity, warc
+from tapeloom.llm import ann, bpe, decontam, jaccard_join, quality, secrets, toxicity, warc
 from tapeloom.llm.common import held_out, shared_path, table
 
 
@@ -32,6 +32,10 @@ def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), k=3, percent=90)
 
 
+def op5_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), F.col("vec_id") % 50 == 0)
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = quality.fit(docs, table(spark, sf_dir, "labels"))
@@ -57,7 +61,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_bpe": op1_bpe, "op2_warc": op2_warc, "op4_jaccard_join": op4_jaccard_join, "op6_quality": op6_quality, "op8_secrets": op8_secrets, "op9_decontamination": op9_decontamination, "op10_toxicity": op10_toxicity}
+    return {"op1_bpe": op1_bpe, "op2_warc": op2_warc, "op4_jaccard_join": op4_jaccard_join, "op5_ann": op5_ann, "op6_quality": op6_quality, "op8_secrets": op8_secrets, "op9_decontamination": op9_decontamination, "op10_toxicity": op10_toxicity}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapeloom.llm import ann, bpe, decontam, jaccard_join, quality, secrets, toxicity, warc
+from tapeloom.llm import ann, bpe, ctw, decontam, jaccard_join, quality, secrets, toxicity, warc
 from tapeloom.llm.common import held_out, shared_path, table
 
 
@@ -43,6 +43,11 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out(5, 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op7_ctw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = ctw.split_score(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return scored.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "n_bytes")
+
+
 def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return secrets.digest(secrets.scan(docs, keep_text=False))
@@ -61,7 +66,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_bpe": op1_bpe, "op2_warc": op2_warc, "op4_jaccard_join": op4_jaccard_join, "op5_ann": op5_ann, "op6_quality": op6_quality, "op8_secrets": op8_secrets, "op9_decontamination": op9_decontamination, "op10_toxicity": op10_toxicity}
+    return {"op1_bpe": op1_bpe, "op2_warc": op2_warc, "op4_jaccard_join": op4_jaccard_join, "op5_ann": op5_ann, "op6_quality": op6_quality, "op7_ctw": op7_ctw, "op8_secrets": op8_secrets, "op9_decontamination": op9_decontamination, "op10_toxicity": op10_toxicity}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -2,8 +2,9 @@
 
 Every distinct shingle flips one bit of a document's sketch (XOR), so that the Hamming distance of two sketches is at most
 the symmetric difference of their sets. Linked sets of a and b shingles differ in at most (a + b)(1 - t)/(1 + t) shingles,
-D in a band of sizes; the sketch of a band falls into D + 1 pieces, so linked documents agree in one piece at least
-(pigeonhole). A piece is a wide sketch of its own, held as the XOR of the 64-bit codes of its flipped bits.
+D in a band of sizes; the sketch of a band falls into D + 1 + s pieces, so linked documents agree in s + 1 pieces at least
+(pigeonhole). A piece is a wide sketch of its own, held as the XOR of the 64-bit codes of its flipped bits. Pieces without
+a flipped bit say nothing and aren't joined where a document has s of them at most: it still agrees in a full one.
 
 1. One pass over the texts: set size, set digest and piece keys of each document. Documents of equal sets are one node.
 2. Buckets: keys that several nodes share. Each member is verified against its bucket's least node only (a star).
@@ -17,7 +18,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tapeloom.llm.common import _mix, restrict, shingles, slices, stash, text_bytes, words
@@ -30,13 +31,17 @@ BLOCK = 256
 _RATIO = 1.5
 
 
-def bands(top: int, percent: int) -> list[tuple[int, int, int]]:
-    """(lowest size, highest size, pieces) of each band of sizes up to top."""
+def bands(top: int, percent: int) -> list[tuple[int, int, int, int]]:
+    """(lowest size, highest size, pieces, spare pieces s) of each band of sizes up to top."""
     out, low = [], 1
     while low <= top:
         high = max(low, int(np.ceil(low * _RATIO)) - 1)
         most = (high + high * 100 // percent) * (100 - percent) // (100 + percent)
-        out.append((low, high, most + 1))
+        spare = 0
+        for _ in range(30):  # as many as the band's smallest sets have empty pieces, and three deviations more
+            empty = (most + 1 + spare) * np.exp(-low / (most + 1 + spare))
+            spare = int(np.ceil(empty + 3 * np.sqrt(empty))) if most else 0
+        out.append((low, high, most + 1 + spare, spare))
         low = high + 1
     return out
 
@@ -76,6 +81,7 @@ def piece_keys(x: np.ndarray, owner: np.ndarray, size: np.ndarray, percent: int)
     table = bands(int(size.max(initial=0)), percent)
     lows = np.array([b[0] for b in table], dtype=np.int64)
     pieces = np.array([b[2] if b[2] > 1 else 0 for b in table], dtype=np.int64)  # one piece: only equal sets link
+    spare = np.array([b[3] for b in table], dtype=np.int64)
     own = np.searchsorted(lows, size, side="right") - 1
     below = own - 1
     first = np.where(size > 0, pieces[np.maximum(own, 0)] if len(table) else 0, 0)
@@ -93,9 +99,14 @@ def piece_keys(x: np.ndarray, owner: np.ndarray, size: np.ndarray, percent: int)
     text = np.repeat(np.arange(n), count)
     index = np.arange(len(prints)) - start[text]
     upper = index >= first[text]
-    band = np.where(upper, below[text], own[text]).astype(np.uint64)
+    band = np.where(upper, below[text], own[text])
     index = np.where(upper, index - first[text], index).astype(np.uint64)
-    return _mix(prints + _mix((band << np.uint64(40)) + index)).view(np.int64), count
+    keys = _mix(prints + _mix((band.astype(np.uint64) << np.uint64(40)) + index)).view(np.int64)
+    empty = prints == 0
+    side = 2 * text + upper
+    many = np.bincount(side[empty], minlength=2 * n)
+    keep = ~empty | (many[side] > (spare[band] if len(spare) else 0))
+    return keys[keep], np.bincount(text[keep], minlength=n)
 
 
 def fixed_sketch(x: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
@@ -113,12 +124,21 @@ def sketch(docs: DataFrame, id_col: str, text_col: str, k: int, percent: int, se
     """(doc_id, n_shingles, node, check, keys) of each row; node and check are null for texts without words."""
 
     def run(batches):
+        seen: set[int] = set()
         for batch in batches:
             for piece in slices(batch, text_col):
                 x, owner, size = sets(piece.column(text_col), k, seed)
                 node, check = set_digest(x, size)
-                keys, count = piece_keys(x, owner, size, percent)
                 none = size == 0
+                # copies that a task has met already bring no keys: they are the same node
+                fresh = np.ones(len(size), dtype=bool)
+                known_id = piece.column(id_col).is_valid().to_numpy(zero_copy_only=False)
+                for i, v in enumerate(node.tolist()):
+                    fresh[i] = known_id[i] and v not in seen
+                    if fresh[i]:
+                        seen.add(v)
+                use = fresh[owner]
+                keys, count = piece_keys(x[use], owner[use], np.where(fresh, size, 0), percent)
                 yield pa.RecordBatch.from_arrays(
                     [piece.column(id_col).cast(pa.int64()), pa.array(size), pa.array(node, mask=none), pa.array(check, mask=none), _lists(keys, count)],
                     names=["doc_id", "n_shingles", "node", "check", "keys"],
@@ -205,9 +225,9 @@ def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: in
         if nodes.where("c1 <> c2").isEmpty():
             break
         seed += 1  # two sets met in 64 bits: hash anew
-    each = known.select("node", F.explode("keys").alias("key"))
-    shared = each.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi").select("key", "lo")
-    members = stash(each.join(shared, "key").distinct(), "members")
+    bucket = Window.partitionBy("key")
+    each = known.select("node", F.explode("keys").alias("key")).withColumn("lo", F.min("node").over(bucket)).withColumn("hi", F.max("node").over(bucket))
+    members = stash(each.where("lo <> hi").select("key", "node", "lo").distinct(), "members")
     wanted = members.select("node").distinct().join(nodes, "node").select(F.col("first_id").alias(id_col))
     full = stash(node_sets(restrict(docs, wanted.distinct(), id_col, True), text_col, k, seed).dropDuplicates(["node"]), "sets")
     star = verified(members.where("node <> lo").select(F.col("lo").alias("a"), F.col("node").alias("b")).distinct(), full, percent)

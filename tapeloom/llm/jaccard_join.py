@@ -40,7 +40,7 @@ def bands(top: int, percent: int) -> list[tuple[int, int, int, int]]:
         spare = 0
         for _ in range(30):  # as many as the band's smallest sets have empty pieces, and three deviations more
             empty = (most + 1 + spare) * np.exp(-low / (most + 1 + spare))
-            spare = int(np.ceil(empty + 3 * np.sqrt(empty))) if most else 0
+            spare = min(int(np.ceil(empty + 3 * np.sqrt(empty))), 3 * high - most - 1) if most else 0
         out.append((low, high, most + 1 + spare, spare))
         low = high + 1
     return out

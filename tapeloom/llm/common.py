@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows of a batch handled at once in Python; keeps a worker's memory bounded whatever the session's Arrow batch size.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -120,11 +120,19 @@ def inverse_odd(x: int) -> int:
 _INV = np.uint64(inverse_odd(int(_BASE)))
 
 
+_POWERS: dict[int, np.ndarray] = {}
+
+
 def powers(base: np.uint64, n: int) -> np.ndarray:
-    out = np.full(n, base, dtype=np.uint64)
-    if n:
-        out[0] = 1
-    return np.multiply.accumulate(out)
+    """base ** 0, base ** 1, ...; kept up to the usual size of a slice."""
+    known = _POWERS.get(int(base))
+    if known is None or len(known) < n:
+        known = np.full(max(n, SLICE_BYTES), base, dtype=np.uint64)
+        known[0] = 1
+        known = np.multiply.accumulate(known)
+        if n <= 2 * SLICE_BYTES:
+            _POWERS[int(base)] = known
+    return known[:n]
 
 
 def lower_ascii(data: np.ndarray) -> np.ndarray:

@@ -22,7 +22,7 @@ from tapeloom.llm.common import _mix, held_out, slices, stash, text_bytes, words
 
 HOT_WORDS = 131_072
 #: Distinct words that a task sums before it passes them on.
-HELD_WORDS = 1_000_000
+HELD_WORDS = 500_000
 _EDGE = 0xFF
 _END = _mix(np.array([0x656E64], dtype=np.uint64)).view(np.int64)[0]
 
@@ -147,7 +147,7 @@ def gather(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """(kind, key, n): how often each word (kind 0, by hash; the end of a text is a word) and each context key (kind 1) occurs."""
 
     def run(batches):
-        contexts = np.zeros(1 << 24, dtype=np.int64)
+        contexts = np.zeros(1 << 24, dtype=np.uint32)  # 64 MB; a task reads far less than 2^32 bytes
         held, size = [], 0
 
         def out(kind: int, key: np.ndarray, n: np.ndarray):
@@ -158,11 +158,7 @@ def gather(docs: DataFrame, text_col: str = "text") -> DataFrame:
             for piece in slices(batch, text_col):
                 data, offsets = text_bytes(piece.column(text_col))
                 keys, _ = context_keys(data, offsets)
-                part = np.unique(keys, return_counts=True) if len(keys) < 1 << 20 else None
-                if part is None:
-                    contexts += np.bincount(keys, minlength=1 << 24)
-                else:
-                    contexts[part[0]] += part[1]
+                np.add.at(contexts, keys, np.uint32(1))
                 h, *_ = words(data, offsets)
                 key, n = np.unique(np.append(h.view(np.int64), np.full(piece.num_rows, _END)), return_counts=True)
                 held.append((key, n))
@@ -176,7 +172,7 @@ def gather(docs: DataFrame, text_col: str = "text") -> DataFrame:
         if held:
             yield from out(0, *_merge(held))
         used = np.flatnonzero(contexts)
-        yield from out(1, used, contexts[used])
+        yield from out(1, used, contexts[used].astype(np.int64))
 
     found = docs.select(text_col).mapInArrow(run, "kind int, key long, n long")
     return found.groupBy("kind", "key").agg(F.sum("n").alias("n"))

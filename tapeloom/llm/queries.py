@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapeloom.llm import ann, bpe, ctw, decontam, jaccard_join, quality, secrets, toxicity, warc
+from tapeloom.llm import ann, bpe, ctw, decontam, jaccard_join, quality, secrets, suffix_dedup, toxicity, warc
 from tapeloom.llm.common import held_out, shared_path, table
 
 
@@ -28,6 +28,10 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.digest(warc.assemble(warc.read(spark, path, with_payload=False)))
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.deduplicate(table(spark, sf_dir, "documents").select("doc_id", "text"), length=100, digests=True)
+
+
 def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), k=3, percent=90)
 
@@ -66,7 +70,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_bpe": op1_bpe, "op2_warc": op2_warc, "op4_jaccard_join": op4_jaccard_join, "op5_ann": op5_ann, "op6_quality": op6_quality, "op7_ctw": op7_ctw, "op8_secrets": op8_secrets, "op9_decontamination": op9_decontamination, "op10_toxicity": op10_toxicity}
+    return {"op1_bpe": op1_bpe, "op2_warc": op2_warc, "op3_suffix_dedup": op3_suffix_dedup, "op4_jaccard_join": op4_jaccard_join, "op5_ann": op5_ann, "op6_quality": op6_quality, "op7_ctw": op7_ctw, "op8_secrets": op8_secrets, "op9_decontamination": op9_decontamination, "op10_toxicity": op10_toxicity}
 
 
 def oracle_sql() -> dict[str, str]:

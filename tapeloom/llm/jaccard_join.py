@@ -121,7 +121,10 @@ def _lists(values: np.ndarray, count: np.ndarray) -> pa.Array:
 
 
 def sketch(docs: DataFrame, id_col: str, text_col: str, k: int, percent: int, seed: int = 0) -> DataFrame:
-    """(doc_id, n_shingles, node, check, keys) of each row; node and check are null for texts without words."""
+    """(doc_id, n_shingles, node, check, keys, sketch) of each row; node and check are null for texts without words.
+
+    Of the copies that a task meets only the first has keys and a sketch.
+    """
 
     def run(batches):
         seen: set[int] = set()
@@ -139,43 +142,55 @@ def sketch(docs: DataFrame, id_col: str, text_col: str, k: int, percent: int, se
                         seen.add(v)
                 use = fresh[owner]
                 keys, count = piece_keys(x[use], owner[use], np.where(fresh, size, 0), percent)
+                flat = fixed_sketch(x[use], owner[use], len(size)).reshape(-1, SKETCH_WORDS)[fresh & ~none].reshape(-1)
                 yield pa.RecordBatch.from_arrays(
-                    [piece.column(id_col).cast(pa.int64()), pa.array(size), pa.array(node, mask=none), pa.array(check, mask=none), _lists(keys, count)],
-                    names=["doc_id", "n_shingles", "node", "check", "keys"],
-                )
+                    [
+                        piece.column(id_col).cast(pa.int64()), pa.array(size), pa.array(node, mask=none), pa.array(check, mask=none), _lists(keys, count),
+                        _lists(flat, np.where(fresh & ~none, SKETCH_WORDS, 0)),
+                    ],
+                    names=["doc_id", "n_shingles", "node", "check", "keys", "sketch"],
+                )
 
-    return docs.select(id_col, text_col).mapInArrow(run, "doc_id long, n_shingles long, node long, check long, keys array<long>")
+    return docs.select(id_col, text_col).mapInArrow(run, "doc_id long, n_shingles long, node long, check long, keys array<long>, sketch array<long>")
 
 
 def node_sets(docs: DataFrame, text_col: str, k: int, seed: int = 0) -> DataFrame:
-    """(node, n, sketch, shingles) of each text that has words."""
+    """(node, shingles) of each text that has words."""
 
     def run(batches):
         for batch in batches:
             for piece in slices(batch, text_col):
                 x, owner, size = sets(piece.column(text_col), k, seed)
                 node, _ = set_digest(x, size)
-                flat = fixed_sketch(x, owner, len(size)).reshape(-1)
-                full = pa.array(size > 0)
-                out = pa.RecordBatch.from_arrays(
-                    [pa.array(node), pa.array(size), _lists(flat, np.full(len(size), SKETCH_WORDS)), _lists(x, size)], names=["node", "n", "sketch", "shingles"]
-                )
-                yield out.filter(full)
+                out = pa.RecordBatch.from_arrays([pa.array(node), _lists(x, size)], names=["node", "shingles"])
+                yield out.filter(pa.array(size > 0))
+
+    return docs.select(text_col).mapInArrow(run, "node long, shingles array<long>")
+
 
-    return docs.select(text_col).mapInArrow(run, "node long, n long, sketch array<long>, shingles array<long>")
+class Verifier:
+    """Tells which pairs of nodes link: by sizes and sketches first, by whole sets for those that pass."""
 
+    def __init__(self, docs: DataFrame, id_col: str, text_col: str, k: int, percent: int, seed: int, nodes: DataFrame, sketches: DataFrame):
+        self.docs, self.id_col, self.text_col, self.k, self.percent, self.seed = docs, id_col, text_col, k, percent, seed
+        self.nodes, self.sketches = nodes, sketches
 
-def verified(pairs: DataFrame, full: DataFrame, percent: int) -> DataFrame:
-    """Those of pairs (a, b) whose sets link; the sketches' Hamming distance rules out most others before sets are met."""
-    left = full.select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("sketch").alias("s_a"), F.col("shingles").alias("x_a"))
-    right = full.select(F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("sketch").alias("s_b"), F.col("shingles").alias("x_b"))
-    met = pairs.join(right, "b").join(left, "a")
-    total = F.col("n_a") + F.col("n_b")
-    distance = F.aggregate(F.zip_with("s_a", "s_b", lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda acc, v: acc + v)
-    common = F.size(F.array_intersect("x_a", "x_b"))
-    near = (F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent) & (distance * (100 + percent) <= total * (100 - percent))
-    link = F.when(near, common * (100 + percent) >= total * percent).otherwise(False)
-    return met.where(link).select("a", "b")
+    def __call__(self, pairs: DataFrame) -> DataFrame:
+        """Those of pairs (a, b) whose sets link."""
+        p = self.percent
+        left = self.sketches.select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("sketch").alias("s_a"))
+        right = self.sketches.select(F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("sketch").alias("s_b"))
+        total = F.col("n_a") + F.col("n_b")
+        distance = F.aggregate(F.zip_with("s_a", "s_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda acc, v: acc + v)
+        sizes = F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * p
+        near = F.when(sizes, distance * (100 + p) <= total * (100 - p)).otherwise(False)
+        near = stash(pairs.join(right, "b").join(left, "a").where(near).select("a", "b", total.alias("total")), "near")
+        ends = near.select(F.col("a").alias("node")).union(near.select(F.col("b").alias("node"))).distinct()
+        wanted = ends.join(self.nodes, "node").select(F.col("first_id").alias(self.id_col)).distinct()
+        full = stash(node_sets(restrict(self.docs, wanted, self.id_col, True), self.text_col, self.k, self.seed), "sets")
+        one, two = (full.select(F.col("node").alias(end), F.col("shingles").alias(f"x_{end}")) for end in ("a", "b"))
+        common = F.size(F.array_intersect("x_a", "x_b"))
+        return near.join(two, "b").join(one, "a").where(common * (100 + p) >= F.col("total") * p).select("a", "b").distinct()
 
 
 def _across(percent: int):
@@ -203,11 +218,11 @@ def _across(percent: int):
     return run
 
 
-def residual(members: DataFrame, labels: DataFrame, full: DataFrame, percent: int) -> DataFrame:
+def residual(members: DataFrame, labels: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of different labels that share a bucket and may link."""
     m = members.select("key", "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     mixed = m.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("size")).where("lo <> hi").select("key", "size")
-    m = m.join(mixed, "key").join(full.select("node", "n", "sketch"), "node")
+    m = m.join(mixed, "key").join(sketches, "node")
     m = m.withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("node", F.lit(1)), F.col("blocks")).cast("int"))
     block = stash(m.groupBy("key", "blocks", "block").agg(F.collect_set(F.struct("node", "label", "n", "sketch")).alias("left")), "blocks")
     other = block.select("key", F.col("block").alias("other"), F.col("left").alias("right"))
@@ -228,11 +243,12 @@ def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: in
     bucket = Window.partitionBy("key")
     each = known.select("node", F.explode("keys").alias("key")).withColumn("lo", F.min("node").over(bucket)).withColumn("hi", F.max("node").over(bucket))
     members = stash(each.where("lo <> hi").select("key", "node", "lo").distinct(), "members")
-    wanted = members.select("node").distinct().join(nodes, "node").select(F.col("first_id").alias(id_col))
-    full = stash(node_sets(restrict(docs, wanted.distinct(), id_col, True), text_col, k, seed).dropDuplicates(["node"]), "sets")
-    star = verified(members.where("node <> lo").select(F.col("lo").alias("a"), F.col("node").alias("b")).distinct(), full, percent)
+    held = base.where(F.size("sketch") > 0).groupBy("node").agg(F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"))
+    sketches = stash(held.join(members.select("node").distinct(), "node", "left_semi"), "sketches")
+    verify = Verifier(docs, id_col, text_col, k, percent, seed, nodes, sketches)
+    star = verify(members.where("node <> lo").select(F.col("lo").alias("a"), F.col("node").alias("b")).distinct())
     labels = components(stash(star, "star"))
-    more = stash(verified(residual(members, labels, full, percent), full, percent), "more")
+    more = stash(verify(residual(members, labels, sketches, percent)), "more")
     named = more
     for end in ("a", "b"):
         named = named.join(labels.select(F.col("node").alias(end), F.col("label").alias("up")), end, "left").withColumn(end, F.coalesce("up", end)).drop("up")

@@ -77,7 +77,10 @@ def ts_argmin(x, d, *k, by="ts"):
 
 
 def ts_corr(x, y, d, *k, by="ts"):
-    return rolling(F.corr(x, y), F.when(x.isNotNull() & y.isNotNull(), x), d, *k, by=by)
+    """Pearson's correlation; null where one of the two doesn't vary."""
+    w, both = last_rows(d, *k, by=by), F.when(x.isNotNull() & y.isNotNull(), x)
+    value = td(F.covar_pop(x, y).over(w), F.stddev_pop(x).over(w) * F.stddev_pop(y).over(w))
+    return F.when(F.count(both).over(w) == d, value)
 
 
 def ts_cov(x, y, d, *k, by="ts"):

@@ -131,7 +131,7 @@ def ic_summary(ics: DataFrame, *keys: str) -> DataFrame:
 def decay(panel: DataFrame, values: DataFrame, horizons: tuple[int, ...] = (1, 2, 3, 5, 10, 20, 40, 60)) -> DataFrame:
     """IC mean and ratio at each horizon; the horizons are columns of one pass over the panel."""
     leads = F.array(*[F.struct(F.lit(h).alias("horizon"), (td(F.lead("close", h).over(w.ordered(_K)), F.col("close")) - 1).alias("fwd")) for h in horizons])
-    x = panel.select("symbol", "ts", F.explode(leads).alias("x")).select("symbol", "ts", "x.horizon", "x.fwd")
+    x = panel.select("symbol", "ts", leads.alias("ahead")).select("symbol", "ts", F.explode("ahead").alias("x")).select("symbol", "ts", "x.horizon", "x.fwd")
     y = x.join(values, ["symbol", "ts"]).where(F.col("value").isNotNull() & F.col("fwd").isNotNull())
     y = y.withColumn("a", w.pct_rank(F.col("value"), "ts", "horizon")).withColumn("b", w.pct_rank(F.col("fwd"), "ts", "horizon"))
     return ic_summary(y.groupBy("ts", "horizon").agg(F.corr("a", "b").alias("ic")), "horizon").select("horizon", "mean_ic", "ir")

@@ -681,3 +681,11 @@ def _(spark, sf):
 def _(spark, sf):
     x = orders.exposure(bars.order_trades(spark, sf))
     return cut(x.select((F.col("gross") / 1e6).alias("gross"), (F.col("net") / 1e6).alias("net"), "open_positions"))
+
+
+def _more() -> None:
+    """Adds the queries of the other module, which builds on this one."""
+    import tapeloom.plans.registry_research  # noqa: F401
+
+
+_more()

@@ -10,10 +10,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 
-def read_ticks(spark: SparkSession, path: str, files_per_trigger: int = 1000) -> DataFrame:
-    """A stream over Parquet files of events; ts becomes a timestamp with zone, as watermarks need."""
-    schema = spark.read.parquet(path).schema
-    raw = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
+def read_ticks(spark: SparkSession, folder: str, names: str = "*.parquet", files_per_trigger: int = 1000) -> DataFrame:
+    """A stream over a folder's Parquet files of events; ts becomes a timestamp with zone, as watermarks need."""
+    schema = spark.read.option("pathGlobFilter", names).parquet(folder).schema
+    raw = spark.readStream.schema(schema).option("pathGlobFilter", names).option("maxFilesPerTrigger", files_per_trigger).parquet(folder)
     return raw.select(F.col("event_type").alias("symbol"), F.col("ts").cast("timestamp").alias("ts"), "value", "event_id")
 
 

@@ -18,19 +18,17 @@ def grid(spark: SparkSession, **values: list) -> DataFrame:
     return spark.createDataFrame(rows, f"combo_idx int, {', '.join(f'{n} int' for n in names)}")
 
 
-def momentum_signals(bars: DataFrame, params: DataFrame, *keys: str) -> DataFrame:
-    """bars (keys, ts, row_idx, ret, close, volume) times params (combo_idx, lookback), with the momentum signal of each.
+def momentum_signals(bars: DataFrame, lookbacks: list[int], *keys: str) -> DataFrame:
+    """bars (keys, ts, row_idx, ret, close, volume) times the lookbacks (combo_idx, their order), with each one's momentum signal.
 
-    A rolling mean of any lookback is a difference of two running sums, so all combinations share one sort: the sums come
-    from the array of a key's returns so far.
+    All rolling means share one sort of the bars and are taken before the bars are multiplied.
     """
-    keys = (*keys, "combo_idx")
-    x = bars.crossJoin(F.broadcast(params))  # a parameter grid is small by construction
-    out = None
-    for lookback in [r[0] for r in params.select("lookback").distinct().orderBy("lookback").collect()]:
-        s = F.signum(F.avg("ret").over(last_rows(lookback, *keys)))
-        out = F.when(F.col("lookback") == lookback, s) if out is None else out.when(F.col("lookback") == lookback, s)
-    return x.withColumn("signal", F.when(F.col("row_idx") < F.col("lookback"), 0.0).otherwise(out))
+    each = []
+    for i, n in enumerate(lookbacks):
+        signal = F.when(F.col("row_idx") < n, 0.0).otherwise(F.signum(F.avg("ret").over(last_rows(n, *keys))))
+        each.append(F.struct(F.lit(i).alias("combo_idx"), signal.alias("signal")))
+    x = bars.select("*", F.array(*each).alias("_each"))
+    return x.select(*bars.columns, F.explode("_each").alias("_x")).select(*bars.columns, "_x.combo_idx", "_x.signal")
 
 
 def sweep_momentum(bars: DataFrame, lookbacks: list[int], *keys: str, **options) -> DataFrame:
@@ -38,7 +36,7 @@ def sweep_momentum(bars: DataFrame, lookbacks: list[int], *keys: str, **options)
     keys = keys or ("symbol",)
     ready = bars.withColumn("row_idx", row_index(*keys)).withColumn("ret", simple_return(F.col("close"), *keys)).select(*keys, "ts", "row_idx", "ret", "close", "volume")
     params = grid(bars.sparkSession, lookback=lookbacks)
-    book = backtest.ledger(momentum_signals(ready, params, *keys), *keys, "combo_idx", **options)
+    book = backtest.ledger(momentum_signals(ready, lookbacks, *keys), *keys, "combo_idx", **options)
     return backtest.summary(book, *keys, "combo_idx").join(F.broadcast(params), "combo_idx")
 
 
@@ -81,7 +79,7 @@ def walk_forward_momentum(bars: DataFrame, lookbacks: list[int], train: int, tes
     x = rolling_members(ready, train, test, step, "symbol")
     x = x.withColumn("row_idx", row_index(*keys)).withColumn("ret", simple_return(F.col("close"), *keys))
     params = grid(bars.sparkSession, lookback=lookbacks)
-    book = backtest.ledger(momentum_signals(x, params, *keys), *keys, "combo_idx", **options)
+    book = backtest.ledger(momentum_signals(x, lookbacks, *keys), *keys, "combo_idx", **options)
     s = backtest.summary(book, *keys, "combo_idx")
     best = ranked(s.where("role = 'train'"), metric, "symbol", "window_id").where("place = 1")
     tested = s.where("role = 'test'").select(

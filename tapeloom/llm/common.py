@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 import zlib
@@ -42,10 +43,16 @@ def shared_path(spark: SparkSession, name: str) -> str:
 
 
 def stash(df: DataFrame, name: str) -> DataFrame:
-    """Cuts lineage: writes df as a table in the shared folder and reads it again, so that lost executors cost nothing."""
+    """Cuts lineage: writes df as a table in the shared folder and reads it again, so that lost executors cost nothing.
+
+    The shuffle files of the job are no use any more; a collection lets Spark's cleaner drop them now and not at some later
+    time, which bounds the disk that a chain of steps takes.
+    """
     spark = df.sparkSession
     path = shared_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -180,7 +187,7 @@ def shingles(h: np.ndarray, bounds: np.ndarray, k: int) -> tuple[np.ndarray, np.
     step = np.uint64(0xA24BAED4963EE407)
     for j in range(k):
         part = np.zeros(n, np.uint64)
-        part[: n - j] = h[j:]
+        part[: max(n - j, 0)] = h[j:]
         full = full * step + part
     full = _mix(full)
     place = np.arange(n) - np.repeat(bounds[:-1], count)

@@ -14,7 +14,7 @@ def components(edges: DataFrame) -> DataFrame:
     Each round every node hooks to its least neighbour, two pointer jumps shorten the paths, and edges are rewritten to
     labels; edges within a label vanish. Rounds end when none is left. Loops and repeated edges do no harm.
     """
-    edges = edges.where("a <> b")
+    edges = edges.where("a <> b").select("a", "b")
     both = edges.union(edges.select("b", "a"))
     hook = stash(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("least")).select("node", F.least("node", "least").alias("label")), "hook")
     labels, left = None, edges

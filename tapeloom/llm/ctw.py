@@ -230,7 +230,7 @@ def score(docs: DataFrame, train: DataFrame, id_col: str = "doc_id", text_col: s
                 owner = np.append(np.repeat(np.arange(count), size), np.arange(count))
                 at = np.minimum(np.searchsorted(hot_key, token), max(len(hot_key) - 1, 0))
                 known = hot_key[at] == token if len(hot_key) else np.zeros(len(token), bool)
-                base = np.bincount(owner[known], hot_log[at[known]] if len(hot_key) else None, count)
+                base = np.bincount(owner[known], hot_log[at[known]], count) if len(hot_key) else np.zeros(count)
                 rare, rare_owner = token[~known], owner[~known]
                 order = np.lexsort((rare, rare_owner))
                 rare, rare_owner = rare[order], rare_owner[order]

@@ -25,7 +25,7 @@ from tapeloom.llm.common import _mix, restrict, shingles, slices, stash, text_by
 from tapeloom.llm.components import components
 
 #: 64-bit words of the fixed sketch that is compared within blocks.
-SKETCH_WORDS = 16
+SKETCH_WORDS = 32
 #: Members of a block.
 BLOCK = 256
 _RATIO = 1.5

@@ -6,7 +6,8 @@ D in a band of sizes; the sketch of a band falls into D + 1 + s pieces, so linke
 (pigeonhole). A piece is a wide sketch of its own, held as the XOR of the 64-bit codes of its flipped bits. Pieces without
 a flipped bit say nothing and aren't joined where a document has s of them at most: it still agrees in a full one.
 
-1. One pass over the texts: set size, set digest and piece keys of each document. Documents of equal sets are one node.
+1. Two passes over the texts: set size, set digest and fixed sketch of each document; then its piece keys. Documents of
+   equal sets are one node. Keys travel packed by range, about 12 bytes each, and become rows where they are sorted.
 2. Buckets: keys that several nodes share. Each member is verified against its bucket's least node only (a star).
 3. Components of the verified links. Buckets within one component are done; in the others members of different
    components are compared, in blocks, by Hamming distance of fixed sketches, and what passes is verified.
@@ -28,6 +29,8 @@ from tapeloom.llm.components import components
 SKETCH_WORDS = 32
 #: Members of a block.
 BLOCK = 256
+#: Keys and nodes that a task gathers before it packs them.
+PACK_KEYS, PACK_NODES = 1 << 20, 30_000
 _RATIO = 1.5
 
 
@@ -120,10 +123,20 @@ def _lists(values: np.ndarray, count: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(count)]).astype(np.int32)), pa.array(values.view(np.int64)))
 
 
+def _fresh(ids: pa.Array, node: np.ndarray, seen: set[int]) -> np.ndarray:
+    """Which rows have an id and a node that the task hasn't met; seen gets them."""
+    fresh = ids.is_valid().to_numpy(zero_copy_only=False).copy()
+    for i, v in enumerate(node.tolist()):
+        if fresh[i]:
+            fresh[i] = v not in seen
+            seen.add(v)
+    return fresh
+
+
 def sketch(docs: DataFrame, id_col: str, text_col: str, k: int, percent: int, seed: int = 0) -> DataFrame:
-    """(doc_id, n_shingles, node, check, keys, sketch) of each row; node and check are null for texts without words.
+    """(doc_id, n_shingles, node, check, sketch) of each row; node and check are null for texts without words.
 
-    Of the copies that a task meets only the first has keys and a sketch.
+    Of the copies that a task meets only the first has a sketch.
     """
 
     def run(batches):
@@ -133,25 +146,78 @@ def sketch(docs: DataFrame, id_col: str, text_col: str, k: int, percent: int, se
                 x, owner, size = sets(piece.column(text_col), k, seed)
                 node, check = set_digest(x, size)
                 none = size == 0
-                # copies that a task has met already bring no keys: they are the same node
-                fresh = np.ones(len(size), dtype=bool)
-                known_id = piece.column(id_col).is_valid().to_numpy(zero_copy_only=False)
-                for i, v in enumerate(node.tolist()):
-                    fresh[i] = known_id[i] and v not in seen
-                    if fresh[i]:
-                        seen.add(v)
-                use = fresh[owner]
-                keys, count = piece_keys(x[use], owner[use], np.where(fresh, size, 0), percent)
-                flat = fixed_sketch(x[use], owner[use], len(size)).reshape(-1, SKETCH_WORDS)[fresh & ~none].reshape(-1)
+                use = _fresh(piece.column(id_col), node, seen) & ~none
+                flat = fixed_sketch(x[use[owner]], owner[use[owner]], len(size))[use].reshape(-1)
                 yield pa.RecordBatch.from_arrays(
-                    [
-                        piece.column(id_col).cast(pa.int64()), pa.array(size), pa.array(node, mask=none), pa.array(check, mask=none), _lists(keys, count),
-                        _lists(flat, np.where(fresh & ~none, SKETCH_WORDS, 0)),
-                    ],
-                    names=["doc_id", "n_shingles", "node", "check", "keys", "sketch"],
-                )
+                    [piece.column(id_col).cast(pa.int64()), pa.array(size), pa.array(node, mask=none), pa.array(check, mask=none), _lists(flat, np.where(use, SKETCH_WORDS, 0))],
+                    names=["doc_id", "n_shingles", "node", "check", "sketch"],
+                )
+
+    return docs.select(id_col, text_col).mapInArrow(run, "doc_id long, n_shingles long, node long, check long, sketch array<long>")
+
+
+def pack(keys: np.ndarray, count: np.ndarray, node: np.ndarray, ranges: int) -> pa.RecordBatch:
+    """One row for each range of keys that occurs: 40 further bits of each key, the nodes, and which node each key has."""
+    bits = keys.view(np.uint64)
+    part = ((bits >> np.uint64(32)) * np.uint64(ranges)) >> np.uint64(32)
+    order = np.argsort(part.astype(np.uint16) if ranges <= 1 << 16 else part, kind="stable")
+    part, bits, who = part[order].astype(np.int64), bits[order], np.repeat(np.arange(len(node)), count)[order]
+    fresh = np.ones(len(part), dtype=bool)
+    fresh[1:] = part[1:] != part[:-1]
+    start = np.flatnonzero(fresh)
+    fresh[1:] |= who[1:] != who[:-1]
+    run = np.cumsum(fresh) - 1
+    size = np.diff(np.append(start, len(part)))
+    at = run - np.repeat(run[start], size)
+    runs = np.diff(np.append(run[start], run[-1] + 1 if len(run) else 0))
+
+    def lists(values, n):
+        return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), pa.array(values))
+
+    return pa.RecordBatch.from_arrays(
+        [
+            pa.array(part[start].astype(np.int32)), lists(bits.astype(np.uint32).view(np.int32), size), lists((bits >> np.uint64(32)).astype(np.uint8).view(np.int8), size),
+            lists(at.astype(np.int16), size), lists(node[who[fresh]], runs),
+        ],
+        names=["part", "low", "high", "at", "nodes"],
+    )
+
+
+def piece_rows(docs: DataFrame, id_col: str, text_col: str, k: int, percent: int, seed: int = 0) -> DataFrame:
+    """(part, key, node): the piece keys of all nodes, dealt by part, ranges of keys; of a task's copies only the first's."""
+    ranges = min(2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1 << 22)
 
-    return docs.select(id_col, text_col).mapInArrow(run, "doc_id long, n_shingles long, node long, check long, keys array<long>, sketch array<long>")
+    def run(batches):
+        seen: set[int] = set()
+        held, n_keys, n_nodes = [], 0, 0
+        for batch in batches:
+            for piece in slices(batch, text_col):
+                x, owner, size = sets(piece.column(text_col), k, seed)
+                node, _ = set_digest(x, size)
+                use = _fresh(piece.column(id_col), node, seen)
+                keys, count = piece_keys(x[use[owner]], owner[use[owner]], np.where(use, size, 0), percent)
+                some = count > 0
+                if n_keys + len(keys) > PACK_KEYS or n_nodes + some.sum() > PACK_NODES:
+                    if held:
+                        yield pack(*map(np.concatenate, zip(*held, strict=True)), ranges)
+                    held, n_keys, n_nodes = [], 0, 0
+                for s in range(0, int(some.sum()), PACK_NODES):
+                    chosen = np.flatnonzero(some)[s : s + PACK_NODES]
+                    ends = np.cumsum(count)
+                    one = keys[ends[chosen[0]] - count[chosen[0]] : ends[chosen[-1]]], count[chosen], node[chosen]
+                    if s + PACK_NODES < some.sum():
+                        yield pack(*one, ranges)
+                    else:
+                        held.append(one)
+                        n_keys, n_nodes = n_keys + len(one[0]), n_nodes + len(chosen)
+        if held:
+            yield pack(*map(np.concatenate, zip(*held, strict=True)), ranges)
+
+    packed = docs.select(id_col, text_col).mapInArrow(run, "part int, low array<int>, high array<byte>, at array<short>, nodes array<long>").repartition("part")
+    each = packed.select("*", F.posexplode("low").alias("p", "l"))
+    low, high = F.col("l").cast("long").bitwiseAND(F.lit(0xFFFFFFFF)), F.get("high", F.col("p")).cast("long").bitwiseAND(F.lit(0xFF))
+    key = F.shiftleft(F.col("part").cast("long"), 40).bitwiseOR(F.shiftleft(high, 32)).bitwiseOR(low)
+    return each.select("part", key.alias("key"), F.get("nodes", F.get("at", F.col("p")).cast("int")).alias("node"))
 
 
 def node_sets(docs: DataFrame, text_col: str, k: int, seed: int = 0) -> DataFrame:
@@ -240,9 +306,9 @@ def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: in
         if nodes.where("c1 <> c2").isEmpty():
             break
         seed += 1  # two sets met in 64 bits: hash anew
-    bucket = Window.partitionBy("key")
-    each = known.select("node", F.explode("keys").alias("key")).withColumn("lo", F.min("node").over(bucket)).withColumn("hi", F.max("node").over(bucket))
-    members = stash(each.where("lo <> hi").select("key", "node", "lo").distinct(), "members")
+    bucket = Window.partitionBy("part", "key")
+    each = piece_rows(docs, id_col, text_col, k, percent, seed).withColumn("lo", F.min("node").over(bucket)).withColumn("hi", F.max("node").over(bucket))
+    members = stash(each.where("lo <> hi").select("part", "key", "node", "lo").distinct().drop("part"), "members")
     held = base.where(F.size("sketch") > 0).groupBy("node").agg(F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"))
     sketches = stash(held.join(members.select("node").distinct(), "node", "left_semi"), "sketches")
     verify = Verifier(docs, id_col, text_col, k, percent, seed, nodes, sketches)

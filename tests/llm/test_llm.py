@@ -226,6 +226,29 @@ def test_linked_sets_share_a_piece():
                 assert len(np.intersect1d(k[: c[0]], k[c[0] :])) or np.array_equal(a, b)
 
 
+@pytest.mark.parametrize("ranges", [1, 7, 100_000])
+def test_packed_keys_unpack(ranges):
+    rng = np.random.default_rng(4)
+    count, node = rng.integers(1, 9, 50), rng.integers(-(2**62), 2**62, 50)
+    keys = rng.integers(-(2**63), 2**63, int(count.sum()))
+    got = []
+    for row in jaccard_join.pack(keys, count, node, ranges).to_pylist():
+        assert len(set(row["nodes"])) == len(row["nodes"])
+        for low, high, at in zip(row["low"], row["high"], row["at"], strict=True):
+            got.append((row["part"], high & 0xFF, low & 0xFFFFFFFF, row["nodes"][at]))
+    bits = [int(k) % 2**64 for k in keys]
+    assert sorted(got) == sorted((((b >> 32) * ranges) >> 32, (b >> 32) & 0xFF, b & 0xFFFFFFFF, int(n)) for b, n in zip(bits, np.repeat(node, count), strict=True))
+
+
+def test_more_nodes_than_a_pack_holds(spark, docs, monkeypatch):
+    rows, df = docs
+    want = {(x["doc_id"], x["component_id"]) for x in jaccard_join.near_duplicates(df).collect()}
+    for keys, nodes in ((1, 30_000), (1 << 20, 3)):
+        monkeypatch.setattr(jaccard_join, "PACK_KEYS", keys)
+        monkeypatch.setattr(jaccard_join, "PACK_NODES", nodes)
+        assert {(x["doc_id"], x["component_id"]) for x in jaccard_join.near_duplicates(df).collect()} == want
+
+
 def test_connected_components(spark):
     r = random.Random(1)
     edges = [(i, i + 1) for i in range(50) if i % 7] + [(100, 100)] + [(r.randint(200, 260), r.randint(200, 260)) for _ in range(40)]

@@ -9,8 +9,9 @@ a flipped bit say nothing and aren't joined where a document has s of them at mo
 1. Two passes over the texts: set size, set digest and fixed sketch of each document; then its piece keys. Documents of
    equal sets are one node. Keys travel packed by range, about 12 bytes each, and become rows where they are sorted.
 2. Buckets: keys that several nodes share. Each member is verified against its bucket's least node only (a star).
-3. Components of the verified links. Buckets within one component are done; in the others members of different
-   components are compared, in blocks, by Hamming distance of fixed sketches, and what passes is verified.
+3. Components of the verified links. Buckets within one component are done; in the others, taken once where several have
+   the same members, members of different components are compared, in blocks, by Hamming distance of fixed sketches, and
+   what passes is verified.
 
 Step 3 makes the result exact; a group of near copies costs a star of links, not all pairs.
 """
@@ -287,13 +288,18 @@ def _across(percent: int):
 def residual(members: DataFrame, labels: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of different labels that share a bucket and may link."""
     m = members.select("key", "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    mixed = m.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("size")).where("lo <> hi").select("key", "size")
+    same = [F.bit_xor(F.xxhash64("node", F.lit(i))).alias(f"d{i}") for i in (1, 2)]
+    mixed = m.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("size"), *same).where("lo <> hi")
+    # near misses share many pieces: of buckets with the same members one is compared
+    mixed = mixed.groupBy("size", "d1", "d2").agg(F.min("key").alias("key")).select("key", "size")
     m = m.join(mixed, "key").join(sketches, "node")
     m = m.withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("node", F.lit(1)), F.col("blocks")).cast("int"))
     block = stash(m.groupBy("key", "blocks", "block").agg(F.collect_set(F.struct("node", "label", "n", "sketch")).alias("left")), "blocks")
-    other = block.select("key", F.col("block").alias("other"), F.col("left").alias("right"))
-    pairs = block.withColumn("other", F.explode(F.sequence("block", F.col("blocks") - 1))).join(other, ["key", "other"])
-    return pairs.select("left", "right").mapInArrow(_across(percent), "a long, b long").distinct()
+    whole = block.where("blocks = 1").select("left", F.col("left").alias("right"))
+    cut = block.where("blocks > 1")
+    other = cut.select("key", F.col("block").alias("other"), F.col("left").alias("right"))
+    pairs = cut.withColumn("other", F.explode(F.sequence("block", F.col("blocks") - 1))).join(other, ["key", "other"])
+    return whole.union(pairs.select("left", "right")).mapInArrow(_across(percent), "a long, b long").distinct()
 
 
 def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 3, percent: int = 90) -> tuple[DataFrame, DataFrame]:

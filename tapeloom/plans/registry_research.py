@@ -404,9 +404,11 @@ def _(spark, sf):
     SELECT d.doc_id, {q('coalesce(1 - s / CAST(h AS DOUBLE), 0.5)', 'novelty')} FROM d LEFT JOIN s USING (doc_id), n WHERE cur""",
 )
 def _(spark, sf):
-    """The hundred documents from id 100 are the news, those before them the history."""
+    """Documents below the middle of the range of ids are the history, all others the news; the SQL holds ids 0 to 199 only."""
     d = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
-    return cut(text.novelty(d.where("doc_id >= 100 and doc_id < 200"), d.where("doc_id < 100"), "doc_id", "text"))
+    middle = d.agg(((F.min("doc_id") + F.max("doc_id")) / 2).alias("middle"))
+    x = d.crossJoin(F.broadcast(middle)).withColumn("old", F.coalesce(F.col("doc_id") < F.col("middle"), F.lit(False)))
+    return cut(text.novelty(x.where("not old"), x.where("old"), "doc_id", "text"))
 
 
 @query(

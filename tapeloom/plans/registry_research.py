@@ -331,7 +331,7 @@ _ORD = "o AS (SELECT o_orderkey AS order_id, 1 + o_custkey % 200 AS quantity FRO
 
 
 def _ord(spark, sf):
-    return spark.read.parquet(f"{sf}/orders.parquet").where("o_orderkey % 10 = 0").select(F.col("o_orderkey").alias("order_id"), (1 + F.col("o_custkey") % 200).alias("quantity"))
+    return spark.read.parquet(f"{sf}/orders.parquet").select(F.col("o_orderkey").alias("order_id"), (1 + F.col("o_custkey") % 200).alias("quantity"))
 
 
 @query("twap_schedule", f"WITH {_ORD} SELECT order_id, CAST(k AS INTEGER) AS slice, quantity / 10.0::DOUBLE AS slice_quantity, CAST(k * 360 AS INTEGER) AS offset_seconds FROM o, range(0, 10) t(k)")

@@ -2,12 +2,17 @@
 
 import collections
 import math
+import os
 import re
 
+import duckdb
 import pytest
 
 from tapeloom.plans import registry
 
+SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.01")
+needs_tables = pytest.mark.skipif(not os.path.exists(SF), reason="needs the test tables")
+
 
 def test_novelty_scores_every_document(spark, tmp_path):
     texts = [(i, " ".join(f"w{(i * i + 3 * j) % 17}" for j in range(1 + i % 7)) + (" new" if i % 5 == 0 else "")) for i in range(260)]
@@ -26,3 +31,22 @@ def test_novelty_scores_every_document(spark, tmp_path):
         want[i] = 1 - sum(cosines) / 130 if unit[i] else 0.5
     got = {r["doc_id"]: r["novelty"] for r in registry.QUERIES["novelty"](spark, str(tmp_path)).collect()}
     assert got == pytest.approx(want, abs=2e-6)
+
+
+@needs_tables
+@pytest.mark.parametrize("name", ["twap_schedule", "vwap_schedule", "iceberg_schedule"])
+def test_every_order_is_scheduled(spark, name):
+    from tapeloom.operators.execution import PROFILE
+
+    want = set()
+    for key, cust in duckdb.sql(f"SELECT o_orderkey, o_custkey FROM '{SF}/orders.parquet'").fetchall():
+        n = 1 + cust % 200
+        if name == "twap_schedule":
+            want |= {(key, k, n / 10, k * 360) for k in range(10)}
+        elif name == "vwap_schedule":
+            want |= {(key, k, math.floor(n * (p / sum(PROFILE))), k * 1800) for k, p in enumerate(PROFILE) if math.floor(n * (p / sum(PROFILE))) >= 1}
+        else:
+            want |= {(key, k, min(10, n - 10 * k)) for k in range(math.ceil(n / 10))}
+    got = [tuple(r) for r in registry.QUERIES[name](spark, SF).collect()]
+    assert len(got) == len(want)
+    assert set(got) == want

@@ -50,3 +50,24 @@ def test_every_order_is_scheduled(spark, name):
     got = [tuple(r) for r in registry.QUERIES[name](spark, SF).collect()]
     assert len(got) == len(want)
     assert set(got) == want
+
+
+@needs_tables
+def test_every_bar_places_a_limit_order(spark):
+    from tapeloom.sources import bars
+
+    b = bars.weekly(spark, SF).toPandas()
+    want = {}
+    for symbol, x in b.groupby("symbol"):
+        x = x.sort_values("ts").to_dict("records")
+        for i, r in enumerate(x):
+            side, limit = ("buy", r["close"] * 0.97) if i % 2 == 0 else ("sell", r["close"] * 1.03)
+            for later in x[i + 1 :]:
+                if later["low"] <= limit if side == "buy" else later["high"] >= limit:
+                    price = min(limit, later["open"]) if side == "buy" else max(limit, later["open"])
+                    want[f"{symbol}{r['ts']}"] = (side, later["ts"], price)
+                    break
+    got = {r["order_id"]: (r["side"], r["fill_ts"], r["fill_price"]) for r in registry.QUERIES["limit_order_fills"](spark, SF).collect()}
+    assert got.keys() == want.keys()
+    for k, (side, ts, price) in want.items():
+        assert got[k][:2] == (side, ts) and got[k][2] == pytest.approx(price, abs=2e-6)

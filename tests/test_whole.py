@@ -71,3 +71,28 @@ def test_every_bar_places_a_limit_order(spark):
     assert got.keys() == want.keys()
     for k, (side, ts, price) in want.items():
         assert got[k][:2] == (side, ts) and got[k][2] == pytest.approx(price, abs=2e-6)
+
+
+@needs_tables
+def test_multiple_testing_takes_all_parts(spark):
+    keys = duckdb.sql(f"SELECT p_partkey FROM '{SF}/part.parquet'").fetchall()
+    p = sorted((float(k * 7919 % 1000 + 1) / 20000, f"F{k}") for (k,) in keys)
+    m, holm = len(p), True
+    reach = max((i for i, (x, _) in enumerate(p, 1) if x <= 0.05 * i / m), default=0)
+    want = {}
+    for i, (x, name) in enumerate(p, 1):
+        holm = holm and x <= 0.05 / (m - i + 1)
+        want[name] = (x, i, x <= 0.05 / m, holm, i <= reach)
+    got = {r["name"]: tuple(r)[1:] for r in registry.QUERIES["multiple_testing"](spark, SF).collect()}
+    assert got == want
+
+
+def test_rebalance_weighs_all_nations(spark, tmp_path):
+    target, current = [0, 0, 0, 1, 22], [0, 1, 1, 21, 24]  # nations 21 and 24 have customers only, 22 suppliers only
+    spark.createDataFrame([(x,) for x in target], "s_nationkey int").write.parquet(f"{tmp_path}/supplier.parquet")
+    spark.createDataFrame([(x,) for x in current], "c_nationkey int").write.parquet(f"{tmp_path}/customer.parquet")
+    got = {r["symbol"]: (r["target"], r["current"], r["trade_value"]) for r in registry.QUERIES["rebalance_trades"](spark, str(tmp_path)).collect()}
+    want = {0: (0.6, 0.2, 4e4), 1: (0.2, 0.4, -2e4), 21: (0.0, 0.2, -2e4), 22: (0.2, 0.0, 2e4), 24: (0.0, 0.2, -2e4)}
+    assert got.keys() == want.keys()
+    for k in want:
+        assert got[k] == pytest.approx(want[k])

@@ -1,9 +1,11 @@
 """Language-model scoring by context-tree weighting.
 
-Bytes are decomposed into eight binary decisions; each decision has a context tree of depth three over the bytes before.
-Contexts name a byte by its class (64 for the last two bytes, 16 for the third), so the tree has at most 2^16 leaves and
-the model at most 2^24 entries, whatever the corpus. Every node holds a Krichevsky-Trofimov estimate; the weights of all
-depths follow from the counts of the whole training set, and scoring mixes the estimates along a text's contexts. Texts
+Bytes are decomposed into eight binary decisions; each decision has a context tree over the bytes before. Its first three
+levels name a byte by its class (64 for the last two bytes, 16 for the third); below them, contexts are the last three to
+DEPTH bytes as they are. The top has at most 2^24 counts and travels; the contexts of bytes grow with the corpus and stay
+in a table, dealt by their last three bytes, so that a subtree lies in one place. Every node holds a Krichevsky-Trofimov
+estimate; the weights of all depths follow from the counts of the whole training set, and scoring mixes the estimates
+along a text's contexts: the most frequent ones (HOT_CONTEXTS at most) travel to the texts, all others are joined. Texts
 begin in, and end with, a byte that UTF-8 never uses, so that scores of texts are probabilities.
 
 Beside it stands an add-one model of words. Its counts grow with the corpus and are never gathered in one place: the most
@@ -21,8 +23,16 @@ from pyspark.sql import functions as F
 from tapeloom.llm.common import _mix, held_out, slices, stash, text_bytes, words
 
 HOT_WORDS = 131_072
+#: Contexts with their byte that travel to the texts: 16 bytes each.
+HOT_CONTEXTS = 2_000_000
+#: Bytes of the longest context: with the byte that follows, 56 bits.
+DEPTH = 6
+#: Keys of subtrees that are weighed at a time.
+WEIGHED_KEYS = 300_000
 #: Distinct words that a task sums before it passes them on.
 HELD_WORDS = 500_000
+#: And deep keys.
+HELD_CONTEXTS = 1_200_000
 _EDGE = 0xFF
 _END = _mix(np.array([0x656E64], dtype=np.uint64)).view(np.int64)[0]
 
@@ -71,6 +81,28 @@ def context_keys(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
     return key[use], offsets + np.arange(n + 1)
 
 
+def deep_keys(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """The DEPTH bytes before every byte and each text's end, the last one highest, and below them the byte itself; ordered as context_keys."""
+    n = len(offsets) - 1
+    owner = np.repeat(np.arange(n), np.diff(offsets))
+    padded = np.full(len(data) + DEPTH * (n + 1), _EDGE, dtype=np.int64)
+    at = np.arange(len(data)) + DEPTH * (owner + 1)
+    padded[at] = data
+    use = np.zeros(len(padded), dtype=bool)
+    use[at] = use[offsets[1:] + DEPTH * np.arange(1, n + 1)] = True
+    place = np.flatnonzero(use)
+    key = padded[place]
+    for back in range(1, DEPTH + 1):
+        key |= padded[place - back] << (8 * (DEPTH + 1 - back))
+    return key
+
+
+def top_class(key: np.ndarray) -> np.ndarray:
+    """The 16 bits of classes that context_keys gives the last three bytes of deep keys."""
+    last = key >> (8 * (DEPTH - 2))
+    return _COARSE[last & 255] << 12 | _FINE[last >> 8 & 255] << 6 | _FINE[last >> 16]
+
+
 def _lgamma(x: np.ndarray) -> np.ndarray:
     """log gamma for x > 0: Stirling's series after a shift by eight."""
     shift = np.ones_like(x)
@@ -99,43 +131,140 @@ _HALF = np.log(0.5)
 
 
 def weigh(keys: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """log10 of every byte's probability in every context: 2^24 numbers, from counts of context keys."""
+    """log10 of every byte's probability in every context of classes alone: 2^24 numbers, from counts of context keys."""
+    slot, one, zero, _ = mixture(keys, counts)
+    total, at = np.zeros((len(one), 1)), 0
+    for depth in range(8):
+        nodes = slice(at, at + (1 << depth))
+        total = np.stack([total + np.log10(zero[:, nodes]), total + np.log10(one[:, nodes])], axis=-1).reshape(len(one), -1)
+        at += 1 << depth
+    return total.astype(np.float32)[slot].reshape(-1)
+
+
+def mixture(keys: np.ndarray, counts: np.ndarray, below: list[np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """What the levels of classes add to the probabilities of one and zero at each node over bytes, and the weight of what lies below.
+
+    below: keys (class context, node) and the sums of log block probabilities of the contexts of bytes there; without it
+    the classes are leaves. Contexts that weren't seen share a row; the first result has the row of each of the 2^16.
+    """
     whole = np.zeros(1 << 24, dtype=np.int64)
     whole[keys] = counts
     whole = whole.reshape(16, 64, 64, 256)
+    if below is not None:
+        order = np.argsort(below[0] >> 8 & 63, kind="stable")
+        under, value = below[0][order], below[1][order]
+        bounds = np.searchsorted(under >> 8 & 63, np.arange(65))
 
     def level(last: int):
-        """Of the contexts that end in one class: block probabilities and estimates of depths 3, 2, 1."""
-        deep = whole[:, :, last]
-        zero3, one3 = _bits(deep)
+        """Of the contexts that end in one class: block probabilities, and weights and counts of depths 3, 2, 1."""
+        zero3, one3 = _bits(whole[:, :, last])
         zero2, one2 = zero3.sum(axis=0), one3.sum(axis=0)
         zero1, one1 = zero2.sum(axis=0), one2.sum(axis=0)
-        kt2, kt1 = _kt(zero2, one2), _kt(zero1, one1)
-        below2 = _kt(zero3, one3).sum(axis=0)
-        all2 = np.logaddexp(_HALF + kt2, _HALF + below2)
+        kt3, kt2, kt1 = _kt(zero3, one3), _kt(zero2, one2), _kt(zero1, one1)
+        if below is None:
+            all3, w3 = kt3, np.ones_like(kt3)
+        else:
+            part = slice(bounds[last], bounds[last + 1])
+            deep = np.zeros((16, 64, 255))
+            deep[under[part] >> 20, under[part] >> 14 & 63, under[part] & 255] = value[part]
+            all3 = np.logaddexp(_HALF + kt3, _HALF + deep)
+            w3 = np.exp(_HALF + kt3 - all3)
+        all2 = np.logaddexp(_HALF + kt2, _HALF + all3.sum(axis=0))
         all1 = np.logaddexp(_HALF + kt1, _HALF + all2.sum(axis=0))
-        p3, p2, p1 = ((o + 0.5) / (z + o + 1) for z, o in ((zero3, one3), (zero2, one2), (zero1, one1)))
-        w2, w1 = np.exp(_HALF + kt2 - all2), np.exp(_HALF + kt1 - all1)
-        return all1, w1 * p1, 1 - w1, w2 * p2, 1 - w2, p3
+        return all1, ((np.exp(_HALF + kt1 - all1), zero1, one1), (np.exp(_HALF + kt2 - all2), zero2, one2), (w3, zero3, one3))
 
     zero0, one0 = _bits(whole.sum(axis=(0, 1, 2)))
-    below0 = sum(level(c)[0] for c in range(64))
     kt0 = _kt(zero0, one0)
-    w0 = np.exp(_HALF + kt0 - np.logaddexp(_HALF + kt0, _HALF + below0))
-    p0 = (one0 + 0.5) / (zero0 + one0 + 1)
-    out = np.empty((16, 64, 64, 256), dtype=np.float32)
+    w0 = np.exp(_HALF + kt0 - np.logaddexp(_HALF + kt0, _HALF + sum(level(c)[0] for c in range(64))))
+    slot = np.zeros((16, 64, 64), dtype=np.int64)
+    rows, size = [], 0
     for c in range(64):
-        _, part1, rest1, part2, rest2, p3 = level(c)
-        one = w0 * p0 + (1 - w0) * (part1 + rest1 * (part2 + rest2 * p3))
-        log_one, log_zero = np.log10(one), np.log10(1 - one)
-        total = np.zeros((16, 64, 1))
-        at = 0
-        for depth in range(8):
-            nodes = slice(at, at + (1 << depth))
-            total = np.stack([total + log_zero[..., nodes], total + log_one[..., nodes]], axis=-1).reshape(16, 64, -1)
-            at += 1 << depth
-        out[:, :, c] = total
-    return out.reshape(-1)
+        one, zero, rest = 0.0, 0.0, 1.0
+        for w, z, o in ((w0, zero0, one0), *level(c)[1]):
+            one, zero, rest = one + rest * w * (o + 0.5) / (z + o + 1), zero + rest * w * (z + 0.5) / (z + o + 1), rest * (1 - w)
+        seen = whole[:, :, c].any(axis=-1)
+        blank = seen.argmin(axis=0)  # a context that wasn't seen, for each class of the last byte but one
+        take = seen.copy()
+        take[blank, np.arange(64)] = True
+        own = np.full((16, 64), -1)
+        own[take] = size + np.arange(take.sum())
+        slot[:, :, c] = np.where(take, own, own[blank, np.arange(64)])
+        rows.append([np.broadcast_to(x, (16, 64, 255))[take].astype(np.float32) for x in (one, zero, rest)])
+        size += int(take.sum())
+    return slot.reshape(-1), *(np.concatenate(x) for x in zip(*rows, strict=True))
+
+
+def _nodes(key: np.ndarray, n: np.ndarray):
+    """Per level of the byte's bits, of sorted distinct deep keys with their subtrees whole: the index of each key's deepest node and its bit, and per depth 3 to DEPTH (node ids, parents' indices, zeros, ones, log KT, log block probability)."""
+    kept = []
+    for d in range(3, DEPTH + 1):
+        u, inverse = np.unique(key >> (8 * (DEPTH + 1 - d)) << 8 | key & 255, return_inverse=True)
+        kept.append((u, np.bincount(inverse, n, len(u))))
+    for bits in range(8):
+        tree = []
+        for u, count in kept:
+            ids, index = np.unique(u >> (8 - bits), return_inverse=True)
+            bit = u >> (7 - bits) & 1
+            zero, one = (np.bincount(index, count * (bit == x), len(ids)) for x in (0, 1))
+            up = np.searchsorted(tree[-1][0], ids >> (bits + 8) << bits | ids & ((1 << bits) - 1)) if tree else None
+            tree.append([ids, up, zero, one, _kt(zero, one), None])
+        tree[-1][5] = tree[-1][4]
+        for above, under in zip(tree[-2::-1], tree[:0:-1], strict=True):
+            above[5] = np.logaddexp(_HALF + above[4], _HALF + np.bincount(under[1], under[5], len(above[0])))
+        yield bits, index, bit, tree  # keys are their own at the last depth
+
+
+def under_classes(key: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For mixture: keys (class context, node) and sums of the log block probabilities of three bytes."""
+    ids, value = [], []
+    for bits, _, _, tree in _nodes(key, n):
+        node, log_all = tree[0][0], tree[0][5]
+        ids.append(top_class(node >> bits << (8 * (DEPTH - 2))) << 8 | ((1 << bits) - 1 + (node & ((1 << bits) - 1))))
+        value.append(log_all)
+    got, index = np.unique(np.concatenate(ids), return_inverse=True)
+    return got, np.bincount(index, np.concatenate(value), len(got))
+
+
+def price(key: np.ndarray, n: np.ndarray, top: tuple) -> np.ndarray:
+    """log10 of the byte's probability for each deep key; top: see mixture."""
+    slot, *parts = top
+    out = np.zeros(len(key))
+    for bits, index, bit, tree in _nodes(key, n):
+        ids = tree[0][0]
+        row = slot[top_class(ids >> bits << (8 * (DEPTH - 2)))]
+        one, zero, rest = (x[row, (1 << bits) - 1 + (ids & ((1 << bits) - 1))].astype(float) for x in parts)
+        for d, (_, up, z, o, kt, log_all) in enumerate(tree):
+            if d:
+                one, zero, rest = one[up], zero[up], rest[up]
+            w = np.exp(_HALF + kt - log_all) if d < len(tree) - 1 else 1.0
+            one, zero, rest = one + rest * w * (o + 0.5) / (z + o + 1), zero + rest * w * (z + 0.5) / (z + o + 1), rest * (1 - w)
+        out += np.log10(np.where(bit, one[index], zero[index]))
+    return out
+
+
+def _by_subtree(table: DataFrame, f, schema: str) -> DataFrame:
+    """f over (key, n) in order of the key, whole subtrees at a time; f gives a record batch."""
+
+    def run(batches):
+        held, size = [], 0
+
+        def ready(last: bool):
+            key, n = (np.concatenate(x) for x in zip(*held, strict=True))
+            cut = len(key) if last else int(np.searchsorted(key, key[-1] >> (8 * (DEPTH - 2)) << (8 * (DEPTH - 2))))
+            return (key[:cut], n[:cut]), (key[cut:], n[cut:])
+
+        for batch in batches:
+            held.append((batch.column(0).to_numpy(), batch.column(1).to_numpy()))
+            size += batch.num_rows
+            if size > WEIGHED_KEYS:
+                done, rest = ready(False)
+                if len(done[0]):
+                    yield f(*done)
+                held, size = [rest], 0 if len(done[0]) else -len(rest[0])  # a large subtree is waited for in larger steps
+        if held and len((done := ready(True)[0])[0]):
+            yield f(*done)
+
+    return table.select("key", "n").repartition(F.shiftright("key", 8 * (DEPTH - 2))).sortWithinPartitions("key").mapInArrow(run, schema)
 
 
 def _merge(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
@@ -144,11 +273,11 @@ def _merge(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.n
 
 
 def gather(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """(kind, key, n): how often each word (kind 0, by hash; the end of a text is a word) and each context key (kind 1) occurs."""
+    """(kind, key, n): how often each word (kind 0, by hash; the end of a text is a word) and each context key (kind 1) and deep key (kind 2) occurs."""
 
     def run(batches):
         contexts = np.zeros(1 << 24, dtype=np.uint32)  # 64 MB; a task reads far less than 2^32 bytes
-        held, size = [], 0
+        held, size = {0: [], 2: []}, {0: 0, 2: 0}
 
         def out(kind: int, key: np.ndarray, n: np.ndarray):
             for s in range(0, len(key), 100_000):
@@ -160,17 +289,20 @@ def gather(docs: DataFrame, text_col: str = "text") -> DataFrame:
                 keys, _ = context_keys(data, offsets)
                 np.add.at(contexts, keys, np.uint32(1))
                 h, *_ = words(data, offsets)
-                key, n = np.unique(np.append(h.view(np.int64), np.full(piece.num_rows, _END)), return_counts=True)
-                held.append((key, n))
-                size += len(key)
-                if size > HELD_WORDS:
-                    held = [_merge(held)]
-                    size = len(held[0][0])
-                    if size > HELD_WORDS // 2:
-                        yield from out(0, *held[0])
-                        held, size = [], 0
-        if held:
-            yield from out(0, *_merge(held))
+                for kind, found in ((0, np.append(h.view(np.int64), np.full(piece.num_rows, _END))), (2, deep_keys(data, offsets))):
+                    key, n = np.unique(found, return_counts=True)
+                    held[kind].append((key, n))
+                    size[kind] += len(key)
+                    most = HELD_CONTEXTS if kind else HELD_WORDS
+                    if size[kind] > most:
+                        held[kind] = [_merge(held[kind])]
+                        size[kind] = len(held[kind][0][0])
+                        if size[kind] > most // 2:
+                            yield from out(kind, *held[kind][0])
+                            held[kind], size[kind] = [], 0
+        for kind in held:
+            if held[kind]:
+                yield from out(kind, *_merge(held[kind]))
         used = np.flatnonzero(contexts)
         yield from out(1, used, contexts[used].astype(np.int64))
 
@@ -178,8 +310,13 @@ def gather(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return found.groupBy("kind", "key").agg(F.sum("n").alias("n"))
 
 
-def _most_frequent(counts: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """The words above the least count that at most `most` words reach, sorted, with their counts."""
+def _arrays(df: DataFrame) -> list[np.ndarray]:
+    """The columns of a frame of numbers, without a row object for each."""
+    return [c.to_numpy() for c in df.toArrow().columns]
+
+
+def _most_frequent(counts: DataFrame, most: int, value: str = "n") -> tuple[np.ndarray, np.ndarray]:
+    """The words (or contexts) above the least count that at most `most` reach, sorted, with their counts or another value."""
     levels = counts.groupBy("n").agg(F.count("*").alias("words"))
     total = 0
     least = None
@@ -191,12 +328,21 @@ def _most_frequent(counts: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray
         least = r["n"]
     if least is None:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    got = counts.where(F.col("n") >= least).select("key", "n").toPandas()
-    order = np.argsort(got["key"].to_numpy())
-    return got["key"].to_numpy(np.int64)[order], got["n"].to_numpy(np.int64)[order]
+    key, got = _arrays(counts.where(F.col("n") >= least).select("key", value))
+    order = np.argsort(key)
+    return key[order], got[order]
+
 
+def _rest(key: np.ndarray, owner: np.ndarray, count: int) -> tuple[pa.Array, pa.Array]:
+    """Per row the distinct keys and how often each occurs."""
+    order = np.lexsort((key, owner))
+    key, owner = key[order], owner[order]
+    new = np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (owner[1:] != owner[:-1]))) if len(key) else np.zeros(0, np.int64)
+    start = pa.array(np.searchsorted(owner[new], np.arange(count + 1)).astype(np.int32))
+    return pa.ListArray.from_arrays(start, pa.array(key[new])), pa.ListArray.from_arrays(start, pa.array(np.diff(np.append(new, len(key)))))
 
-def score(docs: DataFrame, train: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot_words: int = HOT_WORDS) -> DataFrame:
+
+def score(docs: DataFrame, train: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot_words: int = HOT_WORDS, hot_contexts: int = HOT_CONTEXTS) -> DataFrame:
     """Per row of docs: id, n_tokens, n_known, train_tokens, base_score, n_bytes, score.
 
     score: log10 of the probability that the context-tree model of train gives the text and its end. base_score: the sum
@@ -209,21 +355,37 @@ def score(docs: DataFrame, train: DataFrame, id_col: str = "doc_id", text_col: s
     counts = stash(gather(train, text_col), "counts")
     vocabulary = counts.where("kind = 0").select("key", "n")
     n_all, n_words = vocabulary.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    contexts = counts.where("kind = 1").select("key", "n").toPandas()  # at most 2^24 rows, by the width of keys
-    model = spark.sparkContext.broadcast(weigh(contexts["key"].to_numpy(np.int64), contexts["n"].to_numpy(np.int64)))
+    contexts = _arrays(counts.where("kind = 1").select("key", "n"))  # at most 2^24 rows, by the width of keys
+    deep = counts.where("kind = 2").select("key", "n")
+
+    def batch(names, *columns):
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=names)
+
+    sums = _by_subtree(deep, lambda key, n: batch(["key", "value"], *under_classes(key, n)), "key long, value double")
+    sums = _arrays(sums.groupBy("key").agg(F.sum("value").alias("value")))  # nodes of classes: at most 2^24 rows too
+    top = spark.sparkContext.broadcast(mixture(*contexts, sums))
+
+    def priced(table: DataFrame) -> DataFrame:
+        return _by_subtree(table, lambda key, n: batch(["key", "n", "value"], key, n, price(key, n, top.value)), "key long, n long, value double")
+
+    model = spark.sparkContext.broadcast(_most_frequent(stash(priced(deep), "priced"), hot_contexts, "value"))
     hot = spark.sparkContext.broadcast(_most_frequent(vocabulary, hot_words))
     floor = float(n_all + n_words + 1)
 
     def run(batches):
-        table, (hot_key, hot_n) = model.value, hot.value
+        (deep_key, deep_value), (hot_key, hot_n) = model.value, hot.value
         hot_log = np.log10((hot_n + 1) / floor)
         row, task = 0, TaskContext.get().partitionId()
         for batch in batches:
             for piece in slices(batch, text_col):
                 count = piece.num_rows
                 data, offsets = text_bytes(piece.column(text_col))
-                keys, bounds = context_keys(data, offsets)
-                value = np.add.reduceat(table[keys], bounds[:-1], dtype=np.float64)
+                found, index = np.unique(deep_keys(data, offsets), return_inverse=True)
+                writer = np.repeat(np.arange(count), np.diff(offsets) + 1)
+                place = np.minimum(np.searchsorted(deep_key, found), max(len(deep_key) - 1, 0))
+                met = deep_key[place] == found if len(deep_key) else np.zeros(len(found), bool)
+                value = np.bincount(writer, np.where(met, deep_value[place], 0.0)[index], count) if len(deep_key) else np.zeros(count)
+                far, far_often = _rest(found[index[~met[index]]], writer[~met[index]], count)
                 h, _, _, first = words(data, offsets)
                 size = np.diff(first)
                 token = np.append(h.view(np.int64), np.full(count, _END))
@@ -231,33 +393,33 @@ def score(docs: DataFrame, train: DataFrame, id_col: str = "doc_id", text_col: s
                 at = np.minimum(np.searchsorted(hot_key, token), max(len(hot_key) - 1, 0))
                 known = hot_key[at] == token if len(hot_key) else np.zeros(len(token), bool)
                 base = np.bincount(owner[known], hot_log[at[known]], count) if len(hot_key) else np.zeros(count)
-                rare, rare_owner = token[~known], owner[~known]
-                order = np.lexsort((rare, rare_owner))
-                rare, rare_owner = rare[order], rare_owner[order]
-                new = np.flatnonzero(np.append(True, (rare[1:] != rare[:-1]) | (rare_owner[1:] != rare_owner[:-1]))) if len(rare) else np.zeros(0, np.int64)
-                often = np.diff(np.append(new, len(rare)))
-                start = pa.array(np.searchsorted(rare_owner[new], np.arange(count + 1)).astype(np.int32))
+                rare, often = _rest(token[~known], owner[~known], count)
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(np.arange(row, row + count) + (task << 40)), piece.column(id_col).cast(pa.int64()), pa.array(size + 1), pa.array(np.bincount(owner[known], minlength=count)),
                         pa.array(base), pa.array(value), pa.array(np.diff(offsets)),
-                        pa.ListArray.from_arrays(start, pa.array(rare[new])), pa.ListArray.from_arrays(start, pa.array(often)),
+                        rare, often, far, far_often,
                     ],
-                    names=["row", "doc_id", "n_tokens", "known", "base", "score", "n_bytes", "rare", "often"],
+                    names=["row", "doc_id", "n_tokens", "known", "base", "score", "n_bytes", "rare", "often", "far", "far_often"],
                 )
                 row += count
 
-    schema = "row long, doc_id long, n_tokens long, known long, base double, score double, n_bytes long, rare array<long>, often array<long>"
+    schema = "row long, doc_id long, n_tokens long, known long, base double, score double, n_bytes long, rare array<long>, often array<long>, far array<long>, far_often array<long>"
     scored = stash(docs.select(id_col, text_col).mapInArrow(run, schema), "scored")
     each = scored.select("row", F.explode(F.arrays_zip("rare", "often")).alias("x")).select("row", F.col("x.rare").alias("key"), F.col("x.often").alias("times"))
     each = each.join(vocabulary, "key", "left").withColumn("c", F.coalesce("n", F.lit(0)))
     more = each.groupBy("row").agg(
         F.sum(F.col("times") * F.log10((F.col("c") + 1) / F.lit(floor))).alias("more"), F.sum(F.when(F.col("c") > 0, F.col("times")).otherwise(0)).alias("more_known")
     )
-    out = scored.drop("rare", "often").join(more, "row", "left")
+    away = scored.select("row", F.explode(F.arrays_zip("far", "far_often")).alias("x")).select("row", F.col("x.far").alias("key"), F.col("x.far_often").alias("times"))
+    # contexts of the texts that training never met take their place in the tree without counts
+    wanted = deep.unionByName(away.select("key", F.lit(0).cast("long").alias("n"))).groupBy("key").agg(F.sum("n").alias("n"))
+    prices = priced(wanted).select("key", "value")
+    deeper = away.join(prices, "key").groupBy("row").agg(F.sum(F.col("times") * F.col("value")).alias("deeper"))
+    out = scored.drop("rare", "often", "far", "far_often").join(more, "row", "left").join(deeper, "row", "left")
     return out.select(
         F.col("doc_id").alias(id_col), "n_tokens", (F.col("known") + F.coalesce("more_known", F.lit(0))).cast("long").alias("n_known"), F.lit(int(n_all)).cast("long").alias("train_tokens"),
-        (F.col("base") + F.coalesce("more", F.lit(0.0))).alias("base_score"), "n_bytes", "score",
+        (F.col("base") + F.coalesce("more", F.lit(0.0))).alias("base_score"), "n_bytes", (F.col("score") + F.coalesce("deeper", F.lit(0.0))).alias("score"),
     )
 
 

@@ -24,8 +24,6 @@ TRAIN_ROWS = 20_000
 PRIOR, PRIOR_SHARE = 500.0, 0.1
 BOUND_Z = 2.33
 LEAST_DOCS = 3
-#: Toxic training documents with the token, for each other one with it.
-LEAST_RATIO = 9
 _GAPS = np.ones(256, dtype=bool)
 _GAPS[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
 _BEGINNINGS = (4, 5)
@@ -135,7 +133,7 @@ def fit(docs: DataFrame, labels: DataFrame, target: str = "toxic", mod: int = 5,
             rate = 0.0 if not n1 else 1.0
             return Lexicon(np.zeros(0, np.int64), np.zeros(0), -1.0, 1.0, 0.1, (0.0, 20.0 if rate else -20.0))
         counted = rows.select("text", "label").mapInArrow(_counts, "token long, y1 long, y0 long").groupBy("token").agg(F.sum("y1").alias("y1"), F.sum("y0").alias("y0"))
-        found = counted.where((F.col("y1") >= LEAST_DOCS) & (F.col("y1") >= F.col("y0") * LEAST_RATIO)).toPandas()
+        found = counted.where(F.col("y1") >= LEAST_DOCS).toPandas()
         y1, y0 = found["y1"].to_numpy(float), found["y0"].to_numpy(float)
         good = log_odds(y1, y0, n1, n0) > 0
         token, y1, y0 = found["token"].to_numpy(np.int64)[good], y1[good], y0[good]
@@ -159,7 +157,7 @@ def fit(docs: DataFrame, labels: DataFrame, target: str = "toxic", mod: int = 5,
             contexts[[r["at"] for r in pairs]] = [r["count"] for r in pairs]
         spread = np.minimum(y1, contexts)
         value = log_odds(spread, y0, n1, n0)
-        keep = (value > 0) & (spread >= y0 * LEAST_RATIO)
+        keep = value > 0
         lexicon, values = token[keep], value[keep]
         return _calibrate(rows, Lexicon(lexicon, values, -0.02, 1.0, 0.1, (1.0, 0.0)), n1, n0)
     finally:

@@ -6,6 +6,8 @@ a fraction and commission in money. model_*: stand-alone models per share or per
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -52,6 +54,20 @@ def broker_commission(quantity: Column, value: Column, model: str = "tiered", mi
     return F.lit(float(minimum))
 
 
+def broker_fill(side: str, quantity: float, price: float, volume: float, slippage, commission) -> tuple[float, float, float]:
+    """Fill price, fee and slippage in money of one order, as broker_slippage and broker_commission have them, for folds."""
+    share = quantity / max(float(volume), 1.0)
+    base = slippage.base_bps / 10000.0
+    slip = {"volume_dependent": slippage.impact_factor * math.sqrt(share) + base, "almgren_chriss": 0.01 * 0.02 * share + 0.1 * 0.02 * math.sqrt(share)}.get(slippage.model, base)
+    paid = price * (1 + slip) if side == "buy" else price * (1 - slip)
+    value, c = quantity * paid, commission
+    if c.model == "tiered":
+        fee = max(0.35, min(max(0.0035, min(0.005, 1.0 / quantity)) * quantity, value * 0.01))
+    else:
+        fee = {"zero": 0.0, "per_share": max(c.min_commission, min(quantity * c.per_share, value * c.max_pct)), "percentage": value * c.per_share}.get(c.model, c.min_commission)
+    return paid, fee, slip * price * quantity
+
+
 # Stand-alone slippage, per share.
 
 
@@ -142,3 +158,19 @@ def commission(name: str, shares: Column, value: Column, **options: float) -> Co
 def crypto_fee(tier: Column, value: Column) -> Column:
     known = F.create_map(*[F.lit(x) for pair in CRYPTO_TIERS.items() for x in pair])
     return value * F.coalesce(known[tier], F.lit(CRYPTO_TIERS["standard"]))
+
+
+# Trades of a learning agent's environment.
+
+
+def environment_trade(change: Column, value: Column, price: Column, slippage: float = 0.0005, cost: float = 0.001, least: float = 0.001) -> tuple[Column, Column]:
+    """Shares bought (negative: sold) and cash paid for a change of weight: slippage against the trade, a fee on its value; none below `least`."""
+    worth = F.when(F.abs(change) < least, 0.0).otherwise(change * value)
+    shares = td(worth, price)
+    paid = F.when(shares > 0, price * F.lit(1 + slippage)).otherwise(price * F.lit(1 - slippage))
+    return shares, shares * paid + F.abs(worth) * F.lit(cost)
+
+
+def funding(exposure: Column, leverage: float, rate: float = 0.0001) -> Column:
+    """The cost of holding a leveraged position for a step."""
+    return F.abs(exposure) * F.lit(rate if leverage > 1 else 0.0)

@@ -46,15 +46,17 @@ def _ratio(a: Column, b: Column) -> Column:
     return td(a, F.greatest(b, F.lit(1e-10)))
 
 
-def summary(book: DataFrame, *keys: str) -> DataFrame:
-    """One row per key: the engine's ten figures (population deviations, floors of 1e-10), dates and capital."""
-    keys = keys or ("symbol",)
-    top = F.max("equity").over(so_far(*keys))
-    x = book.withColumn("dd", F.col("equity") / top - 1)
+def figures(x: DataFrame, *keys: str, capital: Column | None = None, trades: Column | None = None) -> DataFrame:
+    """The engine's ten figures (population deviations, floors of 1e-10), dates and capital of (keys, ts, equity, net, dd).
+
+    capital: what equity starts from, by default its first value; trades: their number, by default the changes above 0.01.
+    """
+    first = F.min_by("equity", "ts") if capital is None else F.first(capital)
+    n_trades = F.count_if(F.abs("change") > 0.01) if trades is None else F.max(trades)
     g = x.groupBy(*keys).agg(
-        F.count("net").alias("n"), F.min_by("equity", "ts").alias("initial_capital"), F.max_by("equity", "ts").alias("final_capital"), F.avg("net").alias("mean"), F.stddev_pop("net").alias("sd"),
+        F.count("net").alias("n"), first.alias("initial_capital"), F.max_by("equity", "ts").alias("final_capital"), F.avg("net").alias("mean"), F.stddev_pop("net").alias("sd"),
         F.coalesce(F.stddev_pop(F.when(F.col("net") < 0, F.col("net"))), F.lit(1e-10)).alias("down"), F.min("dd").alias("max_drawdown"),
-        F.count_if(F.abs("change") > 0.01).alias("total_trades"), F.avg(F.when(F.col("net") > 0, 1.0).when(F.col("net").isNotNull(), 0.0)).alias("win_rate"),
+        n_trades.alias("total_trades"), F.avg(F.when(F.col("net") > 0, 1.0).when(F.col("net").isNotNull(), 0.0)).alias("win_rate"),
         F.coalesce(F.sum(F.when(F.col("net") > 0, F.col("net"))), F.lit(0.0)).alias("won"), F.coalesce(F.sum(F.when(F.col("net") < 0, F.col("net"))), F.lit(0.0)).alias("lost"),
         F.min("ts").alias("start_date"), F.max("ts").alias("end_date"),
     )
@@ -69,6 +71,13 @@ def summary(book: DataFrame, *keys: str) -> DataFrame:
     )
 
 
+def summary(book: DataFrame, *keys: str) -> DataFrame:
+    """One row per key of a ledger: the engine's figures."""
+    keys = keys or ("symbol",)
+    top = F.max("equity").over(so_far(*keys))
+    return figures(book.withColumn("dd", F.col("equity") / top - 1), *keys)
+
+
 def report(result: DataFrame, *keys: str) -> DataFrame:
     """The summary as (key, metric, text)."""
     keys = keys or ("symbol",)

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tapeloom.functions.folds import fold, kind
 from tapeloom.functions.windows import ordered, so_far, td
 
 
@@ -60,18 +63,40 @@ def monitor(equity: DataFrame, key: str = "run_id", warning: float = 0.10, criti
     return series(equity, key).select(key, "ts", "dd", F.when(fall >= critical, "CRITICAL").when(fall >= warning, "WARNING").otherwise("OK").alias("level"))
 
 
-def breaker(equity: DataFrame, key: str = "run_id", limit: float = 0.15, cooldown_days: int = 60) -> DataFrame:
-    """Bars at which a circuit breaker triggers: the drawdown is at the limit and no trigger lies within the cooldown.
+def breaker(checks: DataFrame, key: str = "run_id", limit: float = 0.15, daily_limit: float = 0.03, cooldown_minutes: int = 60) -> DataFrame:
+    """checks (key, ts, drawdown, daily_loss) with what a circuit breaker does at each: reason where it triggers, active while it holds.
 
-    Triggers depend on each other, so a fold over the bars at the limit (few, and of one key) decides.
+    It triggers at a drawdown of `limit` or a daily loss of one and a half times `daily_limit` (the reason named last where
+    both hold), then holds for the cooldown; the first check later than that is judged anew. Triggers depend on each other,
+    so a fold over the checks at a limit, in order of time, finds them.
     """
-    hot = series(equity, key).where(-F.col("dd") >= limit)
-    g = hot.groupBy(key).agg(F.array_sort(F.collect_list("ts")).alias("all"))
-    kept = F.aggregate(
-        "all", F.expr("cast(array() as array<date>)"),
-        lambda acc, t: F.when((F.size(acc) == 0) | (F.datediff(t, F.element_at(acc, -1)) > cooldown_days), F.concat(acc, F.array(t))).otherwise(acc),
-    )
-    return g.select(key, F.explode(kept).alias("ts"))
+    hot = checks.where((F.col("drawdown") >= limit) | (F.col("daily_loss") >= daily_limit * 1.5))
+    wait = dt.timedelta(minutes=cooldown_minutes)
+
+    def step(last, row):
+        if last is not None and row["ts"] - last <= wait:
+            return last, []
+        reason = "daily loss" if row["daily_loss"] is not None and row["daily_loss"] >= daily_limit * 1.5 else "drawdown"
+        return row["ts"], [(row[key], row["ts"], reason)]
+
+    found = fold(hot.select(key, "ts", "daily_loss"), (key,), ("ts",), lambda: None, step, f"{key} {kind(checks, key)}, ts {kind(checks, 'ts')}, reason string")
+    since = F.last(F.when(F.col("reason").isNotNull(), F.col("ts")), ignorenulls=True).over(so_far(key))
+    x = checks.join(found, [key, "ts"], "left")
+    return x.select(*checks.columns, "reason", F.coalesce(F.col("ts") - since <= F.lit(wait), F.lit(False)).alias("active"))
+
+
+def checks(equity: DataFrame, key: str = "run_id") -> DataFrame:
+    """equity (key, ts, equity) with drawdown and daily_loss, the fall since the day's first value (0 above it), both positive."""
+    day = Window.partitionBy(key, F.to_date("ts")).orderBy("ts").rowsBetween(Window.unboundedPreceding, 0)
+    fall = 1 - F.col("equity") / F.first("equity").over(day)
+    return equity.select(key, "ts", "equity", (1 - F.col("equity") / F.max("equity").over(so_far(key))).alias("drawdown"), F.greatest(fall, F.lit(0.0)).alias("daily_loss"))
+
+
+def report(equity: DataFrame, key: str = "run_id") -> DataFrame:
+    """The summary's eight entries, per key: statistics, the number of periods and the days of the longest."""
+    n = periods(equity, key).groupBy(key).agg(F.count("*").alias("n_drawdowns"), F.max("duration_days").alias("longest_days"))
+    x = stats(equity, key).join(n, key, "left")
+    return x.select(key, "max_drawdown", "average_drawdown", "time_underwater", F.coalesce("n_drawdowns", F.lit(0)).alias("n_drawdowns"), F.coalesce("longest_days", F.lit(0)).alias("longest_days"), "recovery_factor", "ulcer_index", "pain_index")
 
 
 def lagged(equity: DataFrame, key: str = "run_id") -> DataFrame:

@@ -5,21 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: The usual shares of a day's volume in 14 half hours.
-PROFILE = (0.12, 0.09, 0.08, 0.07, 0.06, 0.05, 0.05, 0.05, 0.05, 0.06, 0.07, 0.08, 0.09, 0.08)
+#: Shares of a day's volume, from its beginning to its end.
+PROFILE = (0.15, 0.10, 0.08, 0.07, 0.06, 0.05, 0.05, 0.05, 0.05, 0.05, 0.06, 0.08, 0.10, 0.15)
 
 
-def twap(orders: DataFrame, slices: int = 10, minutes: int = 60) -> DataFrame:
-    every = minutes * 60 // slices
+def twap(orders: DataFrame, slices: int = 10, minutes: float = 30) -> DataFrame:
+    """Equal slices, an equal time apart."""
     x = orders.withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))))
-    return x.select("order_id", "slice", (F.col("quantity") / slices).alias("slice_quantity"), (F.col("slice") * every).alias("offset_seconds"))
+    return x.select("order_id", "slice", (F.col("quantity") / slices).alias("slice_quantity"), (F.col("slice") * F.lit(minutes * 60 / slices)).alias("offset_seconds"))
 
 
-def vwap(orders: DataFrame, profile: tuple[float, ...] = PROFILE) -> DataFrame:
-    """Slices by the profile, in whole units; those below one unit are left out."""
+def vwap(orders: DataFrame, profile: tuple[float, ...] = PROFILE, minutes: float = 60) -> DataFrame:
+    """Slices by the profile; those below one unit are left out, and the next follows without a wait in their place."""
     total = sum(profile)
-    x = orders.select("order_id", "quantity", F.posexplode(F.array(*[F.lit(p / total) for p in profile])).alias("slice", "share"))
-    return x.withColumn("slice_quantity", F.floor(F.col("quantity") * F.col("share"))).where("slice_quantity >= 1").select("order_id", "slice", "slice_quantity", (F.col("slice") * 1800).alias("offset_seconds"))
+    parts = F.array(*[F.struct(F.lit(i).alias("slice"), (F.col("quantity") * F.lit(p / total)).alias("q")) for i, p in enumerate(profile)])
+    x = orders.select("order_id", F.posexplode(F.filter(parts, lambda x: x["q"] >= 1)).alias("sent", "x"))
+    return x.select("order_id", "x.slice", F.col("x.q").alias("slice_quantity"), (F.col("sent") * F.lit(minutes * 60 / len(profile))).alias("offset_seconds"))
 
 
 def iceberg(orders: DataFrame, visible: int = 10) -> DataFrame:

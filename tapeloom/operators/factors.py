@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import ast
+import itertools
 import math
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tapeloom.functions import windows as w
+from tapeloom.functions.folds import fold, kind
 from tapeloom.functions.windows import td
 
 _K = "symbol"
@@ -88,7 +91,7 @@ def factor(panel: DataFrame, formula: str, name: str = "value") -> DataFrame:
     return f.df.select("symbol", "ts", out.alias(name))
 
 
-#: Published formulas (arXiv 1601.00991), and simple custom ones.
+#: Published formulas (arXiv 1601.00991), and simple custom ones; the first of these sums the returns of the year before the last month.
 ALPHAS = {
     "alpha_001": "rank(ts_argmax(signedpower(where(returns < 0, ts_std(returns, 20), close), 2), 5)) - 0.5",
     "alpha_002": "-1 * ts_corr(rank(delta(log(volume), 2)), rank((close - open) / open), 6)",
@@ -101,10 +104,10 @@ ALPHAS = {
     "alpha_101": "(close - open) / ((high - low) + 0.001)",
 }
 CUSTOM = {
-    "momentum_12m_1m": "delay(close, 21) / delay(close, 252) - 1",
-    "reversal_5d": "-1 * (close / delay(close, 5) - 1)",
-    "volume_momentum": "ts_mean(volume, 5) / ts_mean(volume, 20)",
-    "price_range": "(high - low) / close",
+    "momentum_12m_1m": "ts_sum(delay(returns, 21), 231)",
+    "reversal_5d": "-1 * ts_sum(returns, 5)",
+    "volume_momentum": "ts_mean(volume, 5) / ts_mean(volume, 20) - 1",
+    "price_range": "(ts_max(high, 20) - ts_min(low, 20)) / close",
     "overnight_return": "open / delay(close, 1) - 1",
 }
 
@@ -159,6 +162,24 @@ def student_p(t: float, freedom: int = 250) -> float:
     return 1 - value if swap else value
 
 
+def student_p_column(t: Column, freedom: int = 250) -> Column:
+    """student_p() of a column, for an even number of degrees of freedom: a finite sum of powers of a cosine."""
+    if freedom % 2 or freedom < 2:
+        raise ValueError("the degrees of freedom must be even")
+    angle = F.atan(F.abs(t) / F.lit(math.sqrt(freedom)))
+    square = F.cos(angle) * F.cos(angle)
+    terms = F.aggregate(
+        F.sequence(F.lit(1), F.lit(max(freedom // 2 - 1, 1))), F.struct(F.lit(1.0).alias("term"), F.lit(1.0).alias("total")),
+        lambda acc, i: F.struct((acc["term"] * square * (2 * i - 1) / (2 * i)).alias("term"), (acc["total"] + acc["term"] * square * (2 * i - 1) / (2 * i)).alias("total")), lambda acc: acc["total"],
+    )
+    return F.greatest(1 - F.sin(angle) * (terms if freedom > 2 else F.lit(1.0)), F.lit(0.0))
+
+
+def significance(summaries: DataFrame, name: str = "factor", t: str = "t_stat", freedom: int = 250, alpha: float = 0.05) -> DataFrame:
+    """multiple_testing() of t statistics (name, t)."""
+    return multiple_testing(summaries.select(F.col(name).alias("name"), student_p_column(F.col(t), freedom).alias("p")), alpha)
+
+
 def multiple_testing(tests: DataFrame, alpha: float = 0.05) -> DataFrame:
     """tests (name, p) with the decisions of Bonferroni, Holm (step down) and Benjamini-Hochberg (step up)."""
     order, every = Window.orderBy("p", "name"), Window.partitionBy()
@@ -181,18 +202,147 @@ def equal_weight(panel: DataFrame, *columns: str) -> DataFrame:
     return x.select("symbol", "ts", F.when(n > 0, total / n).alias("combined"))
 
 
+def _scores(panel: DataFrame, columns: tuple[str, ...]) -> DataFrame:
+    """(symbol, ts, factor, value, z) of several factors."""
+    long = panel.select("symbol", "ts", F.explode(F.array(*[F.struct(F.lit(c).alias("factor"), F.col(c).cast("double").alias("value")) for c in columns])).alias("x")).select("symbol", "ts", "x.factor", "x.value")
+    return long.withColumn("z", w.zscore(F.col("value"), "ts", "factor"))
+
+
 def ic_weighted(panel: DataFrame, forward: DataFrame, columns: tuple[str, ...], lookback: int = 60, horizon: int = 1) -> DataFrame:
-    """Z-scores weighted by each factor's trailing mean IC (negative ones 0, all 0: equal); ICs enter once they are known."""
-    long = panel.select("symbol", "ts", F.explode(F.array(*[F.struct(F.lit(c).alias("factor"), F.col(c).alias("value")) for c in columns])).alias("x")).select("symbol", "ts", "x.factor", "x.value")
-    long = long.withColumn("z", w.zscore(F.col("value"), "ts", "factor"))
+    """Z-scores weighted by each factor's mean IC over the `lookback` dates before (negative ones 0, all 0: equal), and equally until there are as many.
+
+    For a horizon above one the dates end so much earlier that their forward returns are known.
+    """
+    long = _scores(panel, columns)
     y = long.join(forward, ["symbol", "ts"]).where(F.col("value").isNotNull() & F.col("fwd").isNotNull())
     y = y.withColumn("a", w.pct_rank(F.col("value"), "ts", "factor")).withColumn("b", w.pct_rank(F.col("fwd"), "ts", "factor"))
     ics = long.select("ts", "factor").distinct().join(y.groupBy("ts", "factor").agg(F.corr("a", "b").alias("ic")), ["ts", "factor"], "left")
-    past = Window.partitionBy("factor").orderBy("ts").rowsBetween(-lookback - horizon + 1, -horizon)
-    weight = ics.withColumn("raw", F.greatest(F.coalesce(F.avg("ic").over(past), F.lit(0.0)), F.lit(0.0)))
+    dates = Window.partitionBy("factor").orderBy("ts")
+    past = dates.rowsBetween(-lookback - horizon + 1, -horizon)
+    known = F.when(~F.isnan("ic"), F.col("ic"))
+    weight = ics.withColumn("raw", F.greatest(F.coalesce(F.avg(known).over(past), F.lit(0.0)), F.lit(0.0))).withColumn("full", F.row_number().over(dates) > lookback)
     total = F.sum("raw").over(Window.partitionBy("ts"))
-    weight = weight.select("ts", "factor", F.when(total > 0, td(F.col("raw"), total)).otherwise(1.0 / len(columns)).alias("weight"))
-    return long.join(weight, ["ts", "factor"]).groupBy("symbol", "ts").agg(F.sum(F.col("z") * F.col("weight")).alias("combined"))
+    weight = weight.select("ts", "factor", F.when(F.col("full") & (total > 0), td(F.col("raw"), total)).otherwise(1.0 / len(columns)).alias("weight"))
+    return long.join(weight, ["ts", "factor"]).groupBy("symbol", "ts").agg(F.coalesce(F.sum(F.col("z") * F.col("weight")), F.lit(0.0)).alias("combined"))
+
+
+def ridge_weights(panel: DataFrame, forward: DataFrame, columns: tuple[str, ...], alpha: float = 0.01, train_end: str | None = None) -> list[float]:
+    """Weights of the factors' z-scores that explain forward returns, with an intercept and a penalty on squared weights.
+
+    The sums of products of a few columns are added up where the rows are; only they come to the driver.
+    """
+    x = panel.select("symbol", "ts", *[w.zscore(F.col(c).cast("double"), "ts").alias(c) for c in columns]).join(forward, ["symbol", "ts"])
+    if train_end is not None:
+        x = x.where(F.col("ts") <= F.lit(train_end).cast("date"))
+    x = x.dropna(subset=[*columns, "fwd"])
+    every = [F.col(c) for c in (*columns, "fwd")]
+    k = len(columns)
+    sums = x.agg(F.count("*").alias("n"), *[F.sum(c).alias(f"s{i}") for i, c in enumerate(every)], *[F.sum(every[i] * every[j]).alias(f"p{i}_{j}") for i in range(k + 1) for j in range(i, k + 1)]).first()
+    n = sums["n"]
+    if not n:
+        return [0.0] * k
+    mean = [sums[f"s{i}"] / n for i in range(k + 1)]
+    cross = np.array([[sums[f"p{min(i, j)}_{max(i, j)}"] - n * mean[i] * mean[j] for j in range(k + 1)] for i in range(k + 1)])
+    return np.linalg.solve(cross[:k, :k] + alpha * np.eye(k), cross[:k, k]).tolist()
+
+
+def ridge(panel: DataFrame, forward: DataFrame, columns: tuple[str, ...], alpha: float = 0.01, train_end: str | None = None) -> DataFrame:
+    """(symbol, ts, combined): the z-scores of all rows by ridge_weights(); missing ones count 0."""
+    weights = ridge_weights(panel, forward, columns, alpha, train_end)
+    x = panel.select("symbol", "ts", *[w.zscore(F.col(c).cast("double"), "ts").alias(c) for c in columns])
+    return x.select("symbol", "ts", sum((F.coalesce(F.col(c), F.lit(0.0)) * F.lit(v) for c, v in zip(columns, weights, strict=True)), F.lit(0.0)).alias("combined"))
+
+
+def ensemble(predictions: DataFrame, columns: tuple[str, ...], method: str = "average", weights: dict[str, float] | None = None) -> DataFrame:
+    """(symbol, ts, combined) of several models' predictions: their mean, a weighted sum, or the mean of their ranks among all rows (vote)."""
+    if method == "average":
+        out = sum((F.col(c) for c in columns[1:]), F.col(columns[0])) / len(columns)
+    elif method == "weighted":
+        out = sum((F.col(c) * F.lit(float(weights[c])) for c in columns), F.lit(0.0))
+    elif method == "vote":
+        long = predictions.select("symbol", "ts", F.explode(F.array(*[F.struct(F.lit(c).alias("model"), F.col(c).alias("v")) for c in columns])).alias("x")).select("symbol", "ts", "x.model", "x.v")
+        return mean_ranks(long)
+    else:
+        raise ValueError(f"unknown method {method!r}")
+    return predictions.select("symbol", "ts", out.alias("combined"))
+
+
+def mean_ranks(long: DataFrame) -> DataFrame:
+    """(symbol, ts, combined): the mean over models of the rank (ties: their mean) of v among the model's values.
+
+    Values are counted per model first and ranks are sums of counts, so that rows aren't sorted in one task.
+    """
+    counts = long.where("v is not null").groupBy("model", "v").agg(F.count("*").alias("n"))
+    below = F.sum("n").over(Window.partitionBy("model").orderBy("v").rowsBetween(Window.unboundedPreceding, 0))
+    ranks = counts.withColumn("rank", below - (F.col("n") - 1) / 2).select("model", "v", "rank")
+    return long.join(ranks, ["model", "v"]).groupBy("symbol", "ts").agg(F.avg("rank").alias("combined"))
+
+
+def ensemble_weights(long: DataFrame, forward: DataFrame) -> DataFrame:
+    """(model, weight): each model's mean IC, at least 0, as a share; long: (symbol, ts, model, v)."""
+    y = long.withColumnRenamed("v", "value").join(forward, ["symbol", "ts"]).where(F.col("value").isNotNull() & F.col("fwd").isNotNull())
+    y = y.withColumn("a", w.pct_rank(F.col("value"), "ts", "model")).withColumn("b", w.pct_rank(F.col("fwd"), "ts", "model")).groupBy("ts", "model").agg(F.corr("a", "b").alias("ic"))
+    g = y.where(F.col("ic").isNotNull() & ~F.isnan("ic")).groupBy("model").agg(F.greatest(F.avg("ic"), F.lit(0.0)).alias("raw"))
+    return g.select("model", td(F.col("raw"), F.sum("raw").over(Window.partitionBy())).alias("weight"))
+
+
+def dated_folds(ics: DataFrame, n_splits: int = 5, embargo: int = 5) -> DataFrame:
+    """(fold, train_days, test_days, test_ic, test_ir) of ICs by date (ts, ic), null where there's none: folds of consecutive dates, training on all other dates but `embargo` on either side."""
+    x, n = _placed(ics)
+    size = F.floor(n / n_splits)
+    x = x.withColumn("fold", F.least(F.floor(td(F.col("at"), size)), F.lit(n_splits - 1)).cast("int")).withColumn("n", n)
+    g = x.groupBy("fold").agg(F.first("n").alias("n"), F.count("*").alias("test_days"), F.min("at").alias("low"), F.max("at").alias("high"), F.avg("ic").alias("test_ic"), F.stddev_samp("ic").alias("sd"))
+    off = F.least(F.col("low"), F.lit(embargo)) + F.least(F.col("n") - 1 - F.col("high"), F.lit(embargo))
+    return g.select("fold", (F.col("n") - F.col("test_days") - off).alias("train_days"), "test_days", "test_ic", F.when(F.col("sd") > 0, td(F.col("test_ic"), F.col("sd"))).otherwise(0.0).alias("test_ir"))
+
+
+def _placed(ics: DataFrame) -> tuple[DataFrame, Column]:
+    """ICs with their place among the dates, and the number of dates; there's one row per date."""
+    x = ics.select("ts", F.when(~F.isnan("ic"), F.col("ic")).alias("ic")).withColumn("at", F.row_number().over(Window.orderBy("ts")) - 1)
+    return x, F.count("*").over(Window.partitionBy())
+
+
+def combinatorial_dated(ics: DataFrame, n_splits: int = 5, n_test: int = 2, embargo_days: int = 5) -> DataFrame:
+    """(test_folds, train_days, test_ic, test_ir) of every set of n_test folds of dates; training dates lie embargo_days or more from all test folds."""
+    x, n = _placed(ics)
+    x = x.withColumn("fold", F.least(F.floor(td(F.col("at"), F.floor(n / n_splits))), F.lit(n_splits - 1)).cast("int"))
+    spans = x.groupBy("fold").agg(F.min("ts").alias("a"), F.max("ts").alias("b"))
+    sets = [(",".join(map(str, c)), list(c)) for c in itertools.combinations(range(n_splits), n_test)]
+    combos = ics.sparkSession.createDataFrame(sets, "test_folds string, folds array<int>")
+    each = combos.select("test_folds", F.explode("folds").alias("fold"))
+    tested = x.join(F.broadcast(each), "fold").groupBy("test_folds").agg(F.avg("ic").alias("test_ic"), F.stddev_samp("ic").alias("sd"))
+    held = each.join(spans, "fold").groupBy("test_folds").agg(F.collect_list(F.struct("a", "b")).alias("spans"))  # a few rows
+    near = F.exists("spans", lambda s: (F.col("ts") >= F.date_sub(s["a"], embargo_days)) & (F.col("ts") <= F.date_add(s["b"], embargo_days)))
+    trained = x.crossJoin(F.broadcast(held)).groupBy("test_folds").agg(F.count_if(~near).alias("train_days"))  # dates times sets of folds
+    return tested.join(trained, "test_folds").select("test_folds", "train_days", "test_ic", F.when(F.col("sd") > 0, td(F.col("test_ic"), F.col("sd"))).otherwise(0.0).alias("test_ir"))
+
+
+def combinatorial_summary(paths: DataFrame) -> DataFrame:
+    ic_ = F.col("test_ic")
+    return paths.agg(F.avg(ic_).alias("mean_ic"), F.stddev_pop(ic_).alias("std_ic"), F.min(ic_).alias("min_ic"), F.max(ic_).alias("max_ic"), F.count("*").alias("num_paths"), F.avg((ic_ > 0).cast("double")).alias("pct_positive"))
+
+
+def walk_forward_train(panel: DataFrame, forward: DataFrame, column: str, train: int = 252, test: int = 21, step: int = 21, gap: int = 5) -> DataFrame:
+    """(window_id, slope, n_train, n_test, train_start, train_end, test_start, test_end, ic): a least-squares line from one z-scored factor to forward returns, trained and tested by dates with a gap between.
+
+    Windows are whole; each one's sums are added up where the rows are. ic: the mean over test dates of the correlation by
+    rank of prediction and return.
+    """
+    dates = panel.select("ts").distinct()
+    n = dates.count()
+    last = max(-1, n - gap - test - train)  # the last row at which a window may start
+    starts = [s for s in range(0, max(last + 1, 0), step) if s + train - 1 + gap + test < n and (s == 0 or s + train - 1 < n - gap - test)]
+    at = dates.withColumn("at", F.row_number().over(Window.orderBy("ts")) - 1)
+    x = panel.select("symbol", "ts", w.zscore(F.col(column).cast("double"), "ts").alias("x")).join(forward, ["symbol", "ts"]).join(F.broadcast(at), "ts").dropna(subset=["x", "fwd"])
+    lo = F.greatest(F.lit(0), F.ceil((F.col("at") - train - gap - test + 1) / step).cast("int"))
+    hi = F.least(F.lit(len(starts) - 1), F.floor(F.col("at") / step).cast("int"))
+    x = x.withColumn("lo", lo).withColumn("hi", hi).where("lo <= hi").withColumn("window_id", F.explode(F.sequence("lo", "hi"))).withColumn("off", F.col("at") - F.col("window_id") * step)
+    fit = x.where(F.col("off") < train).groupBy("window_id").agg(td(F.covar_pop("x", "fwd"), F.var_pop("x")).alias("slope"), F.count("*").alias("n_train"), F.min("ts").alias("train_start"), F.max("ts").alias("train_end"))
+    y = x.where(F.col("off") >= train + gap).join(F.broadcast(fit.select("window_id", "slope")), "window_id")
+    y = y.withColumn("a", w.pct_rank(F.col("x") * F.col("slope"), "ts", "window_id")).withColumn("b", w.pct_rank(F.col("fwd"), "ts", "window_id"))
+    daily = y.groupBy("window_id", "ts").agg(F.corr("a", "b").alias("ic"), F.count("*").alias("n"))
+    tested = daily.groupBy("window_id").agg(F.avg(F.when(~F.isnan("ic"), F.col("ic"))).alias("ic"), F.sum("n").alias("n_test"), F.min("ts").alias("test_start"), F.max("ts").alias("test_end"))
+    return fit.join(tested, "window_id").select("window_id", "slope", "n_train", "n_test", "train_start", "train_end", "test_start", "test_end", "ic")
 
 
 def rsi(panel: DataFrame, n: int = 14) -> DataFrame:
@@ -214,16 +364,53 @@ def atr(panel: DataFrame, n: int = 14) -> DataFrame:
     return x.select("symbol", "ts", w.ts_mean(F.col("tr"), n, _K).alias("atr"))
 
 
-def macd(panel: DataFrame, fast: int = 12, slow: int = 26, signal: int = 9, reach: int = 200) -> DataFrame:
-    """Difference of exponential means and its signal line; weights beyond `reach` bars, below 1e-6, are left out."""
-
-    def ema(x: str, n: int) -> Column:
-        seen = F.collect_list(x).over(w.last_rows(reach, _K))
-        a = 2.0 / (n + 1)
-        return F.aggregate(F.slice(seen, 2, reach), F.element_at(seen, 1), lambda acc, v: acc * F.lit(1 - a) + v * F.lit(a))
-
-    x = panel.withColumn("_fast", ema("close", fast)).withColumn("_slow", ema("close", slow)).withColumn("macd", F.col("_fast") - F.col("_slow"))
-    return x.withColumn("signal", ema("macd", signal)).select("symbol", "ts", "macd", "signal")
+def macd(panel: DataFrame, fast: int = 12, slow: int = 26, signal: int = 9) -> DataFrame:
+    """Difference of exponential means from a symbol's first bar on, and its signal line: a fold carries the three means."""
+    a, b, c = (2.0 / (n + 1) for n in (fast, slow, signal))
+
+    def step(state, row):
+        x = row["close"]
+        if x is None:
+            return state, [(row["symbol"], row["ts"], None, None)]
+        if state is None:
+            state = (x, x, 0.0)
+        else:
+            f, s = state[0] * (1 - a) + x * a, state[1] * (1 - b) + x * b
+            state = (f, s, state[2] * (1 - c) + (f - s) * c)
+        return state, [(row["symbol"], row["ts"], state[0] - state[1], state[2])]
+
+    return fold(panel.select("symbol", "ts", "close"), (_K,), ("ts",), lambda: None, step, f"symbol {kind(panel, 'symbol')}, ts {kind(panel, 'ts')}, macd double, signal double")
+
+
+def volume_ratio(panel: DataFrame, n: int = 20) -> DataFrame:
+    """Volume over its mean of the last n bars."""
+    v = F.col("volume").cast("double")
+    return panel.select("symbol", "ts", td(v, w.ts_mean(v, n, _K)).alias("volume_ratio"))
+
+
+def features(panel: DataFrame, formulas: dict[str, str], indicators: tuple[str, ...] = (), periods: tuple[int, ...] = (), normalise: bool = True) -> DataFrame:
+    """(symbol, ts, one column per formula, and per indicator and period as rsi_14): missing values take the symbol's last ones, then each date is z-scored.
+
+    Indicators: rsi, macd, bb_position, atr, volume_ratio. Joins are on the panel's key; a deviation gets 1e-8 more.
+    """
+    known = {
+        "rsi": lambda n: rsi(panel, n), "macd": lambda n: macd(panel, n, 2 * n).select("symbol", "ts", "macd"), "bb_position": lambda n: bollinger(panel, n), "atr": lambda n: atr(panel, n), "volume_ratio": lambda n: volume_ratio(panel, n),
+    }
+    out, names = panel.select("symbol", "ts"), []
+    parts = [(name, factor(panel, f, name)) for name, f in formulas.items()]
+    parts += [(f"{i}_{n}", (lambda d, c: d.select("symbol", "ts", F.col(d.columns[2]).alias(c)))(known[i](n), f"{i}_{n}")) for i in indicators for n in periods]
+    for name, part in parts:
+        out, names = out.join(part, ["symbol", "ts"]), [*names, name]
+    out = out.select("symbol", "ts", *[w.forward_fill(F.col(c), _K).alias(c) for c in names])
+    if not normalise:
+        return out
+    day = Window.partitionBy("ts")
+    return out.select("symbol", "ts", *[((F.col(c) - F.avg(c).over(day)) / (F.stddev_samp(c).over(day) + F.lit(1e-8))).alias(c) for c in names])
+
+
+def save(values: DataFrame, path: str) -> None:
+    """Factor values as Parquet, a folder a year."""
+    values.withColumn("year", F.year("ts")).repartition("year").sortWithinPartitions("ts").write.mode("overwrite").partitionBy("year").option("compression", "zstd").parquet(path)
 
 
 def blend(panel: DataFrame, weights: dict[str, float]) -> DataFrame:

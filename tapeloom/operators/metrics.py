@@ -63,3 +63,21 @@ def long_form(wide: DataFrame, key: str = "run_id") -> DataFrame:
     """(key, metric, value) of a one-row-per-key report."""
     numbers = [c for c in wide.columns if c != key]
     return wide.select(key, *[F.col(c).cast("double").alias(c) for c in numbers]).unpivot(key, numbers, "metric", "value")
+
+
+#: Entries of the report in their order, with how they are written.
+ENTRIES = {
+    "total_return": "%.2f%%", "annual_return": "%.2f%%", "volatility": "%.2f%%", "sharpe_ratio": "%.2f", "sortino_ratio": "%.2f", "calmar_ratio": "%.2f", "max_drawdown": "%.2f%%", "var": "%.2f%%", "cvar": "%.2f%%",
+    "skewness": "%.2f", "kurtosis": "%.2f", "tail_ratio": "%.2f", "win_rate": "%.2f%%", "profit_factor": "%.2f", "omega_ratio": "%.2f", "n": "%.0f",
+}
+
+
+def written(wide: DataFrame, key: str = "run_id") -> DataFrame:
+    """(key, metric, text): the report's sixteen entries as text, shares in per cent."""
+    parts = [F.format_string(f, F.col(c).cast("double") * (100 if f.endswith("%%") else 1)).alias(c) for c, f in ENTRIES.items()]
+    return wide.select(key, *parts).unpivot(key, list(ENTRIES), "metric", "text")
+
+
+def monthly_returns(returns: DataFrame, key: str = "run_id") -> DataFrame:
+    """(key, month, monthly_return)."""
+    return clean(returns).groupBy(key, F.trunc("ts", "month").alias("month")).agg((F.product(1 + F.col("r")) - 1).alias("monthly_return"))

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -13,11 +13,17 @@ from tapeloom.functions.windows import forbid_lookahead, last_rows, row_index, s
 
 @dataclass(frozen=True)
 class Strategy:
-    """signal(keys) gives the position a bar decides on, in -1..1; event: whether it also trades bar by bar."""
+    """signal(keys) gives the position a bar decides on, in -1..1.
+
+    event: whether the event-driven engine knows its decisions; on_bar: what decides bar by bar otherwise (see
+    orders.run_on_bar). A strategy may have either or both; params are those it was made with.
+    """
 
     name: str
-    signal: Callable[..., Column]
+    signal: Callable[..., Column] | None = None
     event: bool = False
+    on_bar: Callable | None = None
+    params: dict = field(default_factory=dict)
 
 
 def momentum(lookback: int = 20) -> Strategy:
@@ -26,7 +32,7 @@ def momentum(lookback: int = 20) -> Strategy:
     def signal(*keys: str) -> Column:
         return F.when(F.col("row_idx") < lookback, 0.0).otherwise(F.signum(F.avg("ret").over(last_rows(lookback, *keys))))
 
-    return Strategy(f"momentum({lookback})", signal)
+    return Strategy(f"momentum({lookback})", signal, params={"lookback": lookback})
 
 
 def ma_cross(fast: int = 10, slow: int = 30) -> Strategy:
@@ -38,7 +44,7 @@ def ma_cross(fast: int = 10, slow: int = 30) -> Strategy:
         above = F.avg("close").over(last_rows(fast, *keys)) > F.avg("close").over(last_rows(slow, *keys))
         return F.when(F.col("row_idx") < slow - 1, 0.0).otherwise(F.when(above, 1.0).otherwise(-1.0))
 
-    return Strategy(f"ma_cross({fast},{slow})", signal, event=True)
+    return Strategy(f"ma_cross({fast},{slow})", signal, event=True, params={"fast": fast, "slow": slow})
 
 
 def prepared(bars: DataFrame, *keys: str) -> DataFrame:

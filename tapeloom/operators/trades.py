@@ -35,17 +35,38 @@ def stats(trades: DataFrame, *keys: str) -> DataFrame:
 
 
 def streaks(trades: DataFrame, *keys: str) -> DataFrame:
-    """The longest runs of wins and of losses, in order of time and id; a flat trade ends both."""
-    order = Window.partitionBy(*keys).orderBy("timestamp", "trade_id")
-    x = trades.select(*keys, "timestamp", "trade_id", F.signum("pnl").alias("s"))
-    same = Window.partitionBy(*keys, "s").orderBy("timestamp", "trade_id")
-    x = x.withColumn("island", F.row_number().over(order) - F.row_number().over(same))
-    runs = x.groupBy(*keys, "s", "island").count()
-    return runs.groupBy(*keys).agg(
-        F.coalesce(F.max(F.when(F.col("s") > 0, F.col("count"))), F.lit(0)).alias("max_consecutive_wins"), F.coalesce(F.max(F.when(F.col("s") < 0, F.col("count"))), F.lit(0)).alias("max_consecutive_losses")
+    """The longest runs of wins and of losses, in order of time and id; a flat trade ends both.
+
+    Runs are found within months, each a task's worth; of a month only its first and last run and its longest ones go on,
+    and those of neighbouring months are joined. So no task sees all trades of a key.
+    """
+    part = [*keys, F.date_trunc("month", "timestamp").alias("month")]
+    x = trades.select(*part, "timestamp", "trade_id", F.signum(F.coalesce("pnl", F.lit(0.0))).alias("s"))
+    order, same = (Window.partitionBy(*keys, "month", *more).orderBy("timestamp", "trade_id") for more in ((), ("s",)))
+    x = x.withColumn("n", F.row_number().over(order)).withColumn("island", F.col("n") - F.row_number().over(same))
+    runs = x.groupBy(*keys, "month", "s", "island").agg(F.count("*").alias("size"), F.min("n").alias("at"))
+    run = F.struct("at", "s", "size")
+    m = runs.groupBy(*keys, "month").agg(F.min(run).alias("head"), F.max(run).alias("tail"), *[F.max(F.when(F.col("s") == sign, F.col("size"))).alias(f"most{sign}") for sign in (1, -1)])
+    # a month of several runs breaks the chain between its first and its last
+    ends = F.when(F.col("head.at") == F.col("tail.at"), F.array("head")).otherwise(F.array("head", F.struct(F.lit(0).alias("at"), F.lit(0.0).alias("s"), F.lit(0).cast("long").alias("size")), "tail"))
+    e = m.select(*keys, "month", F.posexplode(ends).alias("pos", "x")).select(*keys, "month", "pos", "x.s", "x.size")
+    order, same = (Window.partitionBy(*keys, *more).orderBy("month", "pos") for more in ((), ("s",)))
+    e = e.withColumn("island", F.row_number().over(order) - F.row_number().over(same))
+    joined = e.groupBy(*keys, "s", "island").agg(F.sum("size").alias("size"))
+    every = joined.select(*keys, "s", "size")
+    for sign in (1, -1):
+        every = every.unionByName(m.where(F.col(f"most{sign}").isNotNull()).select(*keys, F.lit(float(sign)).alias("s"), F.col(f"most{sign}").alias("size")))
+    return every.groupBy(*keys).agg(
+        F.coalesce(F.max(F.when(F.col("s") > 0, F.col("size"))), F.lit(0)).alias("max_consecutive_wins"), F.coalesce(F.max(F.when(F.col("s") < 0, F.col("size"))), F.lit(0)).alias("max_consecutive_losses")
     )
 
 
+def summary(trades: DataFrame) -> DataFrame:
+    """The summary's fifteen entries in one row: statistics and longest runs."""
+    s = stats(trades).drop("avg_holding_period")
+    return s.join(F.broadcast(streaks(_with_pnl(trades))), F.lit(True))  # one row each
+
+
 def monthly(trades: DataFrame) -> DataFrame:
     """Trades, total and mean pnl by month; without a pnl column the latter two are counts."""
     month = F.date_trunc("month", "timestamp").cast("date").alias("month")

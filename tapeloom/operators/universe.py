@@ -11,6 +11,17 @@ def load_csv(spark: SparkSession, path: str) -> DataFrame:
     return x.withColumn("reason", F.coalesce("reason", F.lit("")))
 
 
+def add_member(members: DataFrame, symbol: str, start: str, end: str | None = None, reason: str = "") -> DataFrame:
+    """members and one more."""
+    row = members.sparkSession.createDataFrame([(symbol, start, end, reason)], "symbol string, start_date string, end_date string, reason string")
+    return members.unionByName(row.select(*[F.col(f.name).cast(f.dataType) for f in members.schema.fields]))
+
+
+def export(members: DataFrame) -> DataFrame:
+    """Members in the order of symbol and start, as a table to keep."""
+    return members.select("symbol", "start_date", "end_date", F.coalesce("reason", F.lit("")).alias("reason")).orderBy("symbol", "start_date")
+
+
 def active(members: DataFrame, dates: DataFrame) -> DataFrame:
     """(d, symbol) of the members on each date, ends included, open-ended ones always.
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import datetime as dt
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -38,6 +41,12 @@ def panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _priced(li.select(symbol.alias("symbol"), F.date_trunc("month", "l_shipdate").cast("date").alias("ts"), _cents("l_extendedprice").alias("cents"), F.col("l_quantity").alias("units")))
 
 
+def by_supplier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Daily bars of each supplier's lines, with gaps."""
+    li = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    return _priced(li.select(F.concat(F.lit("S"), F.col("l_suppkey").cast("string")).alias("symbol"), F.col("l_shipdate").cast("date").alias("ts"), _cents("l_extendedprice").alias("cents"), F.col("l_quantity").alias("units")))
+
+
 def ticks(events: DataFrame) -> DataFrame:
     """(symbol, ts, value, event_id) of an event table."""
     return events.select(F.col("event_type").alias("symbol"), F.col("ts"), "value", "event_id")
@@ -154,6 +163,27 @@ def missing_rows(stored: DataFrame, fetched: DataFrame) -> DataFrame:
     return fetched.join(stored.select("symbol", "ts"), ["symbol", "ts"], "left_anti")
 
 
+def read_through(spark: SparkSession, path: str, timeframe: str, symbol: str, start: str, end: str, fetch: Callable[[str, str], DataFrame]) -> DataFrame:
+    """The bars of a symbol from the store; what lies after the last stored one is fetched (from the day after it on), stored, and returned with the rest.
+
+    fetch(start, end) gives bars; nothing is fetched if the store reaches `end`.
+    """
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    there = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop)
+    last = load(spark, path, timeframe, symbol).agg(F.max("ts").alias("last")).first()["last"] if there else None
+    if last is None or str(last) < end:
+        new = fetch(start if last is None else str(last + dt.timedelta(days=1)), end)
+        old = load(spark, path, timeframe, symbol) if there else None
+        # partitions are written anew as wholes, so the years that the new bars touch are read first
+        whole = new.select(*COLUMNS) if old is None else upsert(old, new.select(*COLUMNS))
+        staged = f"{path.rstrip('/')}-staged-{symbol}"
+        whole.write.mode("overwrite").parquet(staged)
+        save(spark.read.parquet(staged), path, timeframe)
+        held = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(staged)
+        held.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(held, True)
+    return load(spark, path, timeframe, symbol, start, end)
+
+
 def route(symbol: Column) -> Column:
     """The connector of a symbol: crypto pairs go to the crypto one."""
     return F.when(symbol.contains("/") | symbol.endswith("USDT") | symbol.endswith("BTC"), "crypto").otherwise("equity")

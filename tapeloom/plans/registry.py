@@ -5,6 +5,7 @@ Results that accumulate rounding are cut to six decimals at the very end, by the
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -13,7 +14,8 @@ from pyspark.sql import functions as F
 from tapeloom.functions import costs
 from tapeloom.functions import windows as w
 from tapeloom.operators import backtest, drawdown, execution, factors, metrics, orders, portfolio, risk, signals, text, trades, universe
-from tapeloom.plans import optimize
+from tapeloom.plans import engine, optimize
+from tapeloom.session import shared_place
 from tapeloom.sources import bars
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -126,34 +128,53 @@ def _(spark, sf):
     return bars.daily_events(spark, sf)
 
 
+#: Bars with every kind of fault, by month: missing and negative values, highs too low, repeated keys.
+_FAULTY = f"""{WEEKLY}, faulty AS (SELECT symbol, ts, CASE WHEN month(ts) = 2 THEN NULL ELSE open END AS open, CASE WHEN month(ts) IN (3, 4) THEN low * CAST(0.5 AS DOUBLE) ELSE high END AS high, low,
+  CASE WHEN month(ts) = 5 THEN -close ELSE close END AS close, CASE WHEN month(ts) = 6 THEN -volume ELSE volume END AS volume FROM bars)"""
+
+
+def _faulty(spark: SparkSession, sf: str) -> DataFrame:
+    month = F.month("ts")
+    return bars.weekly(spark, sf).select(
+        "symbol", "ts", F.when(month != 2, F.col("open")).alias("open"), F.when(month.isin(3, 4), F.col("low") * 0.5).otherwise(F.col("high")).alias("high"), "low",
+        F.when(month == 5, -F.col("close")).otherwise(F.col("close")).alias("close"), F.when(month == 6, -F.col("volume")).otherwise(F.col("volume")).alias("volume"),
+    )
+
+
 @query(
     "bars_validate",
-    f"""WITH {WEEKLY} SELECT symbol, CAST(sum(n) AS BIGINT) AS n_rows, count(*) FILTER (n > 1) AS duplicate_keys, CAST(sum(nu) AS BIGINT) AS nulls, CAST(sum(neg) AS BIGINT) AS negatives, CAST(sum(hl) AS BIGINT) AS high_below_low,
+    f"""WITH {_FAULTY}, twice AS (SELECT * FROM faulty UNION ALL SELECT * FROM faulty WHERE month(ts) = 7)
+    SELECT symbol, CAST(sum(n) AS BIGINT) AS n_rows, count(*) FILTER (n > 1) AS duplicate_keys, CAST(sum(nu) AS BIGINT) AS nulls, CAST(sum(neg) AS BIGINT) AS negatives, CAST(sum(hl) AS BIGINT) AS high_below_low,
     CAST(sum(ho) AS BIGINT) AS high_below_open, CAST(sum(hc) AS BIGINT) AS high_below_close FROM (SELECT symbol, ts, count(*) AS n,
     count(*) FILTER (open IS NULL) + count(*) FILTER (high IS NULL) + count(*) FILTER (low IS NULL) + count(*) FILTER (close IS NULL) + count(*) FILTER (volume IS NULL) AS nu,
     count(*) FILTER (open < 0 OR high < 0 OR low < 0 OR close < 0 OR volume < 0) AS neg, count(*) FILTER (high < low) AS hl, count(*) FILTER (high < open) AS ho, count(*) FILTER (high < close) AS hc
-    FROM bars GROUP BY 1, 2) GROUP BY symbol""",
+    FROM twice GROUP BY 1, 2) GROUP BY symbol""",
 )
 def _(spark, sf):
-    return bars.validate(bars.weekly(spark, sf))
+    b = _faulty(spark, sf)
+    return bars.validate(b.unionByName(b.where(F.month("ts") == 7)))
 
 
 @query(
     "bars_repair",
-    f"WITH {WEEKLY}, {READY} SELECT symbol, ts, open, greatest(high, open, close) AS high, least(low, open, close) AS low, close, greatest(volume, 0) AS volume, coalesce(abs(ret) > 0.5, false) AS jump FROM r",
+    f"""WITH {_FAULTY} SELECT symbol, ts, open, greatest(high, open, close) AS high, least(low, open, close) AS low, close, greatest(volume, 0) AS volume,
+    coalesce(abs((close - lag(close) OVER (PARTITION BY symbol ORDER BY ts)) / lag(close) OVER (PARTITION BY symbol ORDER BY ts)) > 0.5, false) AS jump FROM faulty""",
 )
 def _(spark, sf):
-    return bars.repair(bars.weekly(spark, sf))
+    return bars.repair(_faulty(spark, sf))
+
+
+_DAILY = _BARS.format(sym="concat('S', CAST(l_suppkey AS VARCHAR))", unit="day")
 
 
 @query(
     "bars_gap_detect",
-    f"""WITH {WEEKLY}, st AS (SELECT symbol, ts, CAST(date_diff('day', lag(ts) OVER (PARTITION BY symbol ORDER BY ts), ts) AS INTEGER) AS gap FROM bars),
+    f"""WITH {_DAILY}, st AS (SELECT symbol, ts, CAST(date_diff('day', lag(ts) OVER (PARTITION BY symbol ORDER BY ts), ts) AS INTEGER) AS gap FROM bars),
     us AS (SELECT symbol, gap AS usual FROM (SELECT symbol, gap, row_number() OVER (PARTITION BY symbol ORDER BY count(*) DESC, gap) AS k FROM st WHERE gap IS NOT NULL GROUP BY 1, 2) WHERE k = 1)
-    SELECT symbol, ts, gap, usual FROM st JOIN us USING (symbol) WHERE gap > 1 * usual""",
+    SELECT symbol, ts, gap, usual FROM st JOIN us USING (symbol) WHERE gap > 5 * usual""",
 )
 def _(spark, sf):
-    return bars.gaps(bars.weekly(spark, sf), factor=1)
+    return bars.gaps(bars.by_supplier(spark, sf))
 
 
 @query(
@@ -171,9 +192,31 @@ def _(spark, sf):
     return bars.upsert(b, b.where("symbol = 'A'").withColumn("close", F.col("close") * 2))
 
 
-@query("bars_time_filter", f"WITH {WEEKLY} SELECT * FROM bars WHERE ts BETWEEN DATE '1994-01-01' AND DATE '1995-12-31' AND symbol = 'N'")
+@query("bars_time_filter", f"WITH {WEEKLY} SELECT * FROM bars WHERE ts BETWEEN DATE '1996-03-01' AND DATE '1998-12-31' AND symbol = 'N'")
+def _(spark, sf):
+    """From a store, of which only the symbol's years are read."""
+    path = shared_place(spark, "bars")
+    bars.save(bars.weekly(spark, sf), path, "1w")
+    return bars.load(spark, path, "1w", "N", "1996-03-01", "1998-12-31")
+
+
+@query("bars_read_through", f"WITH {WEEKLY} SELECT * FROM bars WHERE ts BETWEEN DATE '1995-06-01' AND DATE '2000-12-31' AND symbol = 'R'")
+def _(spark, sf):
+    """The store has the first years, the rest is fetched."""
+    path, b = shared_place(spark, "bars"), bars.weekly(spark, sf)
+    bars.save(b.where(F.col("ts") <= F.lit("1997-06-30").cast("date")), path, "1w")
+
+    def fetch(start, end):
+        return b.where((F.col("symbol") == "R") & F.col("ts").between(F.lit(start).cast("date"), F.lit(end).cast("date")))
+
+    return bars.read_through(spark, path, "1w", "R", "1995-06-01", "2000-12-31", fetch)
+
+
+@query("bars_store_stats", f"WITH {WEEKLY} SELECT count(DISTINCT (symbol, year(ts))) AS n_files FROM bars")
 def _(spark, sf):
-    return bars.weekly(spark, sf).where((F.col("symbol") == "N") & F.col("ts").between(F.lit("1994-01-01").cast("date"), F.lit("1995-12-31").cast("date")))
+    path = shared_place(spark, "bars")
+    bars.save(bars.weekly(spark, sf), path, "1w")
+    return bars.store_stats(spark, path).select("n_files")
 
 
 @query("bars_incremental", f"WITH {WEEKLY} SELECT * FROM bars WHERE ts > DATE '1996-06-30'")
@@ -182,15 +225,28 @@ def _(spark, sf):
     return bars.missing_rows(b.where(F.col("ts") <= F.lit("1996-06-30").cast("date")), b)
 
 
-@query("connector_routing", "SELECT o_orderpriority AS symbol, CASE WHEN o_orderpriority LIKE '%/%' OR o_orderpriority LIKE '%USDT' OR o_orderpriority LIKE '%BTC' THEN 'crypto' ELSE 'equity' END AS connector, count(*) AS n FROM orders GROUP BY 1, 2")
+_PAIRS = ("/USD", "USDT", "BTC", "-BTC-X", "")
+
+
+@query(
+    "connector_routing",
+    "WITH s AS (SELECT concat(o_orderstatus, " + "CASE o_orderkey % 5 " + " ".join(f"WHEN {i} THEN '{x}'" for i, x in enumerate(_PAIRS)) + " END) AS symbol FROM orders) SELECT symbol, CASE WHEN symbol LIKE '%/%' OR symbol LIKE '%USDT' OR symbol LIKE '%BTC' THEN 'crypto' ELSE 'equity' END AS connector, count(*) AS n FROM s GROUP BY 1, 2",
+)
 def _(spark, sf):
-    o = spark.read.parquet(f"{sf}/orders.parquet").select(F.col("o_orderpriority").alias("symbol"))
+    end = F.element_at(F.array(*map(F.lit, _PAIRS)), (F.col("o_orderkey") % 5 + 1).cast("int"))
+    o = spark.read.parquet(f"{sf}/orders.parquet").select(F.concat("o_orderstatus", end).alias("symbol"))
     return o.withColumn("connector", bars.route(F.col("symbol"))).groupBy("symbol", "connector").agg(F.count("*").alias("n"))
 
 
-@query("json_normalise", "SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events")
+@query("json_normalise", "SELECT event_type AS symbol, date_trunc('millisecond', ts) AS ts, value AS open, value + 1 AS high, value - 1 AS low, value AS close, CAST(event_id AS DOUBLE) AS volume, CASE WHEN event_id % 2 = 0 THEN value END AS vwap, user_id AS trade_count FROM events")
 def _(spark, sf):
-    return spark.read.parquet(f"{sf}/events.parquet").select("event_id", F.get_json_object("props", "$.k").cast("long").alias("k"))
+    """Vendor messages made of the event table."""
+    e, v = spark.read.parquet(f"{sf}/events.parquet"), F.col("value")
+    raw = F.to_json(F.struct(
+        F.col("event_type").alias("S"), F.date_format(F.date_trunc("millisecond", "ts"), "yyyy-MM-dd'T'HH:mm:ss.SSS").alias("t"), v.alias("o"), (v + 1).alias("h"), (v - 1).alias("l"), v.alias("c"),
+        F.col("event_id").cast("double").alias("v"), F.when(F.col("event_id") % 2 == 0, v).alias("vw"), F.col("user_id").alias("n"),
+    ))
+    return bars.normalise_json(e.select(raw.alias("raw"))).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
 
 
 # Signals.
@@ -341,9 +397,30 @@ _metric_query("perf_tail_omega", "tail_ratio", "omega_ratio")
 _metric_query("perf_moments", "skewness", "kurtosis")
 
 
-@query("perf_report", f"{_METRICS}, rr AS (SELECT run_id, {qs('total_return', 'volatility', 'sharpe_ratio', 'win_rate')} FROM rep) UNPIVOT rr ON total_return, volatility, sharpe_ratio, win_rate INTO NAME metric VALUE value")
+_ENTRIES = ", ".join(metrics.ENTRIES)
+
+
+@query("perf_report", f"{_METRICS}, rr AS (SELECT run_id, {qs(*[e for e in metrics.ENTRIES if e != 'n'])}, CAST(n AS DOUBLE) AS n FROM rep) UNPIVOT rr ON {_ENTRIES} INTO NAME metric VALUE value")
+def _(spark, sf):
+    """All sixteen entries."""
+    return cut(metrics.long_form(metrics.report(_returns(spark, sf)).select("run_id", *metrics.ENTRIES)))
+
+
+@query(
+    "perf_thresholds",
+    f"""WITH {_RET}, e AS (SELECT *, r - CAST(0.02 AS DOUBLE) / 252 AS ex FROM x), g AS (SELECT run_id, avg(ex) AS m, stddev_samp(ex) AS s, stddev_samp(ex) FILTER (ex < 0.01) AS d, stddev_samp(r) FILTER (r < 0.01) AS dn,
+    sum(greatest(r - CAST(0.01 AS DOUBLE), 0.0)) AS above, sum(greatest(CAST(0.01 AS DOUBLE) - r, 0.0)) AS below, quantile_cont(r, 0.1) AS vr FROM e GROUP BY 1)
+    SELECT run_id, {q('m / s * sqrt(252.0)', 'sharpe_ratio')}, {q('m / d * sqrt(252.0)', 'sortino_ratio')}, {q('dn * sqrt(252.0)', 'downside_volatility')}, {q('above / below', 'omega_ratio')}, {q('vr', 'var')} FROM g""",
+)
+def _(spark, sf):
+    """A risk-free rate, a threshold and a confidence other than the usual."""
+    x = metrics.report(_returns(spark, sf), rf=0.02, threshold=0.01, confidence=0.9)
+    return cut(x.select("run_id", "sharpe_ratio", "sortino_ratio", "downside_volatility", "omega_ratio", "var"))
+
+
+@query("perf_monthly", f"WITH {_RET}, g AS (SELECT run_id, CAST(date_trunc('month', ts) AS DATE) AS month, product(1 + r) - 1 AS monthly_return FROM x GROUP BY 1, 2) SELECT run_id, month, {qs('monthly_return')} FROM g")
 def _(spark, sf):
-    return cut(metrics.long_form(metrics.report(_returns(spark, sf)).select("run_id", "total_return", "volatility", "sharpe_ratio", "win_rate")))
+    return cut(metrics.monthly_returns(_returns(spark, sf)))
 
 
 @query(
@@ -404,13 +481,36 @@ def _(spark, sf):
     return cut(drawdown.monitor(_curve(spark, sf)))
 
 
+@query(
+    "drawdown_report",
+    f"""{_PERIODS}, g AS (SELECT run_id, min(dd) AS max_drawdown, coalesce(avg(dd) FILTER (dd < 0), 0.0) AS average_drawdown, avg(CASE WHEN dd < 0 THEN 1.0 ELSE 0.0 END) AS time_underwater, arg_max(equity, ts) / arg_min(equity, ts) - 1 AS gain,
+    sqrt(avg(dd * dd)) AS ulcer_index, abs(avg(dd)) AS pain_index FROM d GROUP BY 1), n AS (SELECT run_id, count(*) AS n_drawdowns, max(duration_days) AS longest_days FROM per GROUP BY 1)
+    SELECT run_id, {qs('max_drawdown', 'average_drawdown', 'time_underwater')}, coalesce(n_drawdowns, 0) AS n_drawdowns, coalesce(longest_days, 0) AS longest_days, {q('CASE WHEN max_drawdown = 0 THEN 0.0 ELSE gain / abs(max_drawdown) END', 'recovery_factor')}, {qs('ulcer_index', 'pain_index')}
+    FROM g LEFT JOIN n USING (run_id)""",
+)
+def _(spark, sf):
+    return cut(drawdown.report(_curve(spark, sf)))
+
+
+def _account(spark: SparkSession, sf: str) -> DataFrame:
+    """An account's worth at every event."""
+    return spark.read.parquet(f"{sf}/events.parquet").select(F.col("event_type").alias("run_id"), "ts", (2000 + F.col("value")).alias("equity"))
+
+
+_ACCOUNT = """a0 AS (SELECT event_type AS run_id, ts, 2000 + value AS equity FROM events),
+ck AS (SELECT run_id, ts, 1 - equity / max(equity) OVER (PARTITION BY run_id ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS drawdown,
+  greatest(1 - equity / first(equity) OVER (PARTITION BY run_id, CAST(ts AS DATE) ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 0.0) AS daily_loss FROM a0)"""
+
+
 @query(
     "circuit_breaker",
-    f"""WITH RECURSIVE {_CURVE}, hot AS (SELECT run_id, ts FROM d WHERE -dd >= 0.15), f AS (SELECT run_id, min(ts) AS ts FROM hot GROUP BY 1 UNION ALL
-    SELECT run_id, nxt FROM (SELECT f.run_id, (SELECT min(h.ts) FROM hot h WHERE h.run_id = f.run_id AND h.ts > f.ts + 60) AS nxt FROM f) WHERE nxt IS NOT NULL) SELECT run_id, ts FROM f""",
+    f"""WITH RECURSIVE {_ACCOUNT}, hot AS (SELECT run_id, ts, CASE WHEN daily_loss >= 0.03 * 1.5 THEN 'daily loss' ELSE 'drawdown' END AS reason FROM ck WHERE drawdown >= 0.15 OR daily_loss >= 0.03 * 1.5),
+    f AS (SELECT run_id, min(ts) AS ts FROM hot GROUP BY 1 UNION ALL SELECT run_id, nxt FROM (SELECT f.run_id, (SELECT min(h.ts) FROM hot h WHERE h.run_id = f.run_id AND h.ts > f.ts + INTERVAL 60 MINUTE) AS nxt FROM f) WHERE nxt IS NOT NULL),
+    t AS (SELECT hot.* FROM hot JOIN f USING (run_id, ts)), s AS (SELECT ck.run_id, ck.ts, t.reason, max(t.ts) OVER (PARTITION BY ck.run_id ORDER BY ck.ts ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS since FROM ck LEFT JOIN t ON t.run_id = ck.run_id AND t.ts = ck.ts)
+    SELECT run_id, ts, reason, coalesce(ts - since <= INTERVAL 60 MINUTE, false) AS active FROM s""",
 )
 def _(spark, sf):
-    return drawdown.breaker(_curve(spark, sf))
+    return drawdown.breaker(drawdown.checks(_account(spark, sf))).select("run_id", "ts", "reason", "active")
 
 
 # Trades.
@@ -447,6 +547,22 @@ def _(spark, sf):
     return trades.streaks(bars.order_trades(spark, sf))
 
 
+@query(
+    "trade_summary",
+    f"""WITH {TRADES}, {_TSTATS.format(k='', g='')}, x AS (SELECT sign(pnl) AS s, row_number() OVER (ORDER BY timestamp, trade_id) - row_number() OVER (PARTITION BY sign(pnl) ORDER BY timestamp, trade_id) AS i FROM t), c AS (SELECT s, i, count(*) AS n FROM x GROUP BY 1, 2)
+    SELECT total_trades, winning_trades, losing_trades, {_T_SQL}, (SELECT coalesce(max(n) FILTER (s > 0), 0) FROM c) AS max_consecutive_wins, (SELECT coalesce(max(n) FILTER (s < 0), 0) FROM c) AS max_consecutive_losses FROM st""",
+)
+def _(spark, sf):
+    """All fifteen entries."""
+    return _cents_down(trades.summary(bars.order_trades(spark, sf)), *_T_COLS)
+
+
+@query("trade_streaks_by_symbol", f"""WITH {TRADES}, x AS (SELECT symbol, sign(pnl) AS s, row_number() OVER (PARTITION BY symbol ORDER BY timestamp, trade_id) - row_number() OVER (PARTITION BY symbol, sign(pnl) ORDER BY timestamp, trade_id) AS i FROM t),
+    c AS (SELECT symbol, s, i, count(*) AS n FROM x GROUP BY 1, 2, 3) SELECT symbol, coalesce(max(n) FILTER (s > 0), 0) AS max_consecutive_wins, coalesce(max(n) FILTER (s < 0), 0) AS max_consecutive_losses FROM c GROUP BY 1""")
+def _(spark, sf):
+    return trades.streaks(bars.order_trades(spark, sf), "symbol")
+
+
 @query("trade_monthly", f"WITH {TRADES} SELECT CAST(date_trunc('month', timestamp) AS DATE) AS month, count(price) AS n_trades, floor(sum(pnl) * 1e2 + 0.5) / 1e2 AS total_pnl, floor(avg(pnl) * 1e2 + 0.5) / 1e2 AS mean_pnl FROM t GROUP BY 1")
 def _(spark, sf):
     x = trades.monthly(bars.order_trades(spark, sf))
@@ -470,10 +586,36 @@ def _(spark, sf):
 _GRID = [5, 10, 20, 30, 40]
 
 
-def _sweep_sql(tail: str) -> str:
-    sig = "CASE " + " ".join(f"WHEN lookback = {n} THEN {MOM.format(n=n, m=n - 1, k='symbol, combo_idx')}" for n in _GRID) + " END"
-    values = ", ".join(f"({i}, {n})" for i, n in enumerate(_GRID))
-    return f"WITH {WEEKLY}, {READY}, par(combo_idx, lookback) AS (VALUES {values}), rp AS (SELECT * FROM r CROSS JOIN par), {_ledger(sig, 'symbol, combo_idx', 'rp')}, {_summary('symbol, combo_idx')}, res AS (SELECT * FROM summ JOIN par USING (combo_idx)) {tail}"
+_MA_GRID = {"fast": [5, 10], "slow": [20, 30, 40]}
+
+
+def _sweep_sql(tail: str, ma: bool = False) -> str:
+    if ma:
+        combos = list(itertools.product(*_MA_GRID.values()))
+        mean = "avg(close) OVER (PARTITION BY symbol, combo_idx ORDER BY ts ROWS BETWEEN {} PRECEDING AND CURRENT ROW)"
+        sig = "CASE " + " ".join(f"WHEN combo_idx = {i} THEN CASE WHEN row_idx < {b - 1} THEN 0.0 WHEN {mean.format(a - 1)} > {mean.format(b - 1)} THEN 1.0 ELSE -1.0 END" for i, (a, b) in enumerate(combos)) + " END"
+        values, names = ", ".join(f"({i}, {a}, {b})" for i, (a, b) in enumerate(combos)), "fast, slow"
+    else:
+        sig = "CASE " + " ".join(f"WHEN lookback = {n} THEN {MOM.format(n=n, m=n - 1, k='symbol, combo_idx')}" for n in _GRID) + " END"
+        values, names = ", ".join(f"({i}, {n})" for i, n in enumerate(_GRID)), "lookback"
+    return f"WITH {WEEKLY}, {READY}, par(combo_idx, {names}) AS (VALUES {values}), rp AS (SELECT * FROM r CROSS JOIN par), {_ledger(sig, 'symbol, combo_idx', 'rp')}, {_summary('symbol, combo_idx')}, res AS (SELECT * FROM summ JOIN par USING (combo_idx)) {tail}"
+
+
+@query("grid_search_ma", _sweep_sql(f"SELECT symbol, combo_idx, fast, slow, {_SUMM}, CAST(row_number() OVER (PARTITION BY symbol ORDER BY sharpe_ratio DESC NULLS LAST, combo_idx) AS INTEGER) AS place FROM res", ma=True))
+def _(spark, sf):
+    """Two parameters, in one plan of windows."""
+    return cut(optimize.ranked(optimize.sweep(bars.weekly(spark, sf), signals.ma_cross, _MA_GRID), "sharpe_ratio", "symbol"))
+
+
+@query("sweep_series_ma", _sweep_sql(f"SELECT symbol, combo_idx, fast, slow, {_SUMM} FROM res", ma=True))
+def _(spark, sf):
+    """The same as matrices over whole series."""
+    return cut(optimize.sweep_series(bars.weekly(spark, sf), "ma_cross", _MA_GRID))
+
+
+@query("sweep_series_momentum", _sweep_sql(f"SELECT symbol, combo_idx, lookback, {_SUMM} FROM res"))
+def _(spark, sf):
+    return cut(optimize.sweep_series(bars.weekly(spark, sf), "momentum", {"lookback": _GRID}))
 
 
 @query("grid_search", _sweep_sql(f"SELECT symbol, combo_idx, lookback, {qs('sharpe_ratio', 'total_return', 'max_drawdown')}, total_trades, CAST(row_number() OVER (PARTITION BY symbol ORDER BY sharpe_ratio DESC NULLS LAST, combo_idx) AS INTEGER) AS place FROM res"))
@@ -501,12 +643,13 @@ def _(spark, sf):
 _WF_GRID = [5, 10, 20]
 
 
-def _wf_sql(tail: str) -> str:
+def _wf_sql(tail: str, anchored: bool = False) -> str:
     k = "symbol, window_id, role, combo_idx"
+    low = "0" if anchored else "k * 30"
     sig = "CASE " + " ".join(f"WHEN lookback = {n} THEN {MOM.format(n=n, m=n - 1, k=k)}" for n in _WF_GRID) + " END"
     values = ", ".join(f"({i}, {n})" for i, n in enumerate(_WF_GRID))
     return f"""WITH {WEEKLY}, i0 AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts) - 1 AS ri, count(*) OVER (PARTITION BY symbol) AS nn FROM bars),
-    wn AS (SELECT i0.*, k AS window_id, CASE WHEN ri - k * 30 < 100 THEN 'train' ELSE 'test' END AS role FROM i0, range(0, 200) t(k) WHERE k * 30 + 130 <= nn AND ri BETWEEN k * 30 AND k * 30 + 129),
+    wn AS (SELECT i0.*, k AS window_id, CASE WHEN ri - k * 30 < 100 THEN 'train' ELSE 'test' END AS role FROM i0, range(0, 200) t(k) WHERE k * 30 + 130 <= nn AND ri BETWEEN {low} AND k * 30 + 129),
     par(combo_idx, lookback) AS (VALUES {values}),
     wr AS (SELECT symbol, ts, close, volume, window_id, role, combo_idx, lookback, row_number() OVER o - 1 AS row_idx, (close - lag(close) OVER o) / lag(close) OVER o AS ret FROM wn CROSS JOIN par WINDOW o AS (PARTITION BY {k} ORDER BY ts)),
     {_ledger(sig, k, 'wr')}, {_summary(k)},
@@ -524,6 +667,11 @@ def _(spark, sf):
     return cut(_walk(spark, sf))
 
 
+@query("walk_forward_anchored", _wf_sql(f"SELECT symbol, window_id, train_start, train_end, test_start, test_end, lookback, {qs('train_sharpe', 'train_return', 'test_sharpe', 'test_return', 'degradation')} FROM wf", anchored=True))
+def _(spark, sf):
+    return cut(optimize.walk_forward(bars.weekly(spark, sf), signals.momentum, {"lookback": _WF_GRID}, 100, 30, min_trades=5, anchored=True))
+
+
 @query(
     "wf_summary",
     _wf_sql(
@@ -564,19 +712,19 @@ def _(spark, sf):
     return universe.active(_members(spark, sf), days)
 
 
-@query("universe_additions", f"WITH {MEMBERS} SELECT * FROM m WHERE start_date BETWEEN DATE '1992-01-01' AND DATE '1992-01-20'")
+@query("universe_additions", f"WITH {MEMBERS} SELECT * FROM m WHERE start_date BETWEEN DATE '1995-01-01' AND DATE '1995-01-05'")
 def _(spark, sf):
-    return universe.additions(_members(spark, sf), "1992-01-01", "1992-01-20")
+    return universe.additions(_members(spark, sf), "1995-01-01", "1995-01-05")
 
 
-@query("universe_removals", f"WITH {MEMBERS} SELECT * FROM m WHERE end_date BETWEEN DATE '1998-11-01' AND DATE '1998-12-31'")
+@query("universe_removals", f"WITH {MEMBERS} SELECT * FROM m WHERE end_date BETWEEN DATE '2001-10-25' AND DATE '2001-11-04'")
 def _(spark, sf):
-    return universe.removals(_members(spark, sf), "1998-11-01", "1998-12-31")
+    return universe.removals(_members(spark, sf), "2001-10-25", "2001-11-04")
 
 
-@query("universe_changes", f"WITH {MEMBERS} SELECT symbol, start_date AS d, 'added' AS change FROM m WHERE start_date BETWEEN DATE '1992-01-10' AND DATE '1998-11-15' UNION ALL SELECT symbol, end_date, 'removed' FROM m WHERE end_date BETWEEN DATE '1992-01-10' AND DATE '1998-11-15'")
+@query("universe_changes", f"WITH {MEMBERS} SELECT symbol, start_date AS d, 'added' AS change FROM m WHERE start_date BETWEEN DATE '1995-01-03' AND DATE '2001-10-31' UNION ALL SELECT symbol, end_date, 'removed' FROM m WHERE end_date BETWEEN DATE '1995-01-03' AND DATE '2001-10-31'")
 def _(spark, sf):
-    return universe.changes(_members(spark, sf), "1992-01-10", "1998-11-15")
+    return universe.changes(_members(spark, sf), "1995-01-03", "2001-10-31")
 
 
 @query("universe_snapshot_asof", f"WITH {WEEKLY} SELECT a.symbol, a.ts, b.close AS snapshot FROM bars a ASOF LEFT JOIN (SELECT symbol, ts, close FROM bars WHERE day(ts) <= 7) b ON a.symbol = b.symbol AND a.ts >= b.ts")
@@ -599,15 +747,14 @@ def _(spark, sf):
 _EVENT = f"""WITH RECURSIVE {WEEKLY}, e0 AS (SELECT *, row_number() OVER o - 1 AS ri, sign(avg(close) OVER (PARTITION BY symbol ORDER BY ts ROWS BETWEEN 9 PRECEDING AND CURRENT ROW) - avg(close) OVER (PARTITION BY symbol ORDER BY ts ROWS BETWEEN 29 PRECEDING AND CURRENT ROW)) AS sg,
   lead(ts) OVER o AS fts, lead(open) OVER o AS fo, lead(volume) OVER o AS fv FROM bars WINDOW o AS (PARTITION BY symbol ORDER BY ts)),
 e1 AS (SELECT *, CASE WHEN ri >= 29 THEN sg END AS c FROM e0),
-e2 AS (SELECT *, last_value(nullif(c, 0) IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS st FROM e1),
-e3 AS (SELECT *, coalesce(lag(st) OVER (PARTITION BY symbol ORDER BY ts), 0) AS pst FROM e2),
-dec AS (SELECT symbol, fts, fo, fv, close, side, row_number() OVER (PARTITION BY symbol ORDER BY ts) AS n FROM (SELECT *, CASE WHEN c = 1 AND pst <> 1 THEN 'buy' WHEN c = -1 AND pst = 1 THEN 'sell' END AS side FROM e3) WHERE side IS NOT NULL AND fts IS NOT NULL),
+dec AS (SELECT symbol, fts, fo, fv, close, c, row_number() OVER (PARTITION BY symbol ORDER BY ts) AS n FROM e1 WHERE c IN (1, -1) AND fts IS NOT NULL),
 fo AS (SELECT symbol, CAST(0 AS BIGINT) AS n, CAST(NULL AS DATE) AS ts, CAST(NULL AS VARCHAR) AS side, CAST(0 AS DOUBLE) AS quantity, CAST(0 AS DOUBLE) AS price, CAST(0 AS DOUBLE) AS commission, CAST(100000 AS DOUBLE) AS cash, CAST(0 AS DOUBLE) AS position FROM (SELECT DISTINCT symbol FROM dec)
-UNION ALL SELECT symbol, n, ts, side, quantity, price, fee, CASE WHEN side = 'buy' THEN cash - (quantity * price + fee) ELSE cash + (quantity * price - fee) END, CASE WHEN side = 'buy' THEN position + quantity ELSE position - quantity END FROM (
-  SELECT *, greatest(CAST(0.35 AS DOUBLE), least(greatest(CAST(0.0035 AS DOUBLE), least(CAST(0.005 AS DOUBLE), 1.0 / quantity)) * quantity, quantity * price * CAST(0.01 AS DOUBLE))) AS fee FROM (
+UNION ALL SELECT symbol, n, ts, side, quantity, price, fee, CASE WHEN side = 'buy' THEN cash - (quantity * price + fee) WHEN side = 'sell' THEN cash + (quantity * price - fee) ELSE cash END, CASE WHEN side = 'buy' THEN position + quantity WHEN side = 'sell' THEN position - quantity ELSE position END FROM (
+  SELECT *, CASE WHEN side IS NULL THEN 0.0 ELSE greatest(CAST(0.35 AS DOUBLE), least(greatest(CAST(0.0035 AS DOUBLE), least(CAST(0.005 AS DOUBLE), 1.0 / quantity)) * quantity, quantity * price * CAST(0.01 AS DOUBLE))) END AS fee FROM (
   SELECT *, CASE WHEN side = 'buy' THEN fo * (1 + slip) ELSE fo * (1 - slip) END AS price FROM (SELECT *, CAST(0.1 AS DOUBLE) * sqrt(quantity / greatest(CAST(fv AS DOUBLE), 1.0)) + 5.0 / 10000.0 AS slip FROM (
-  SELECT d.symbol, d.n, d.fts AS ts, d.side, d.fo, d.fv, f.cash, f.position, CASE WHEN d.side = 'buy' THEN floor(f.cash * CAST(0.95 AS DOUBLE) / d.close) ELSE f.position END AS quantity FROM fo f JOIN dec d ON d.symbol = f.symbol AND d.n = f.n + 1))))),
-fills AS (SELECT * FROM fo WHERE n > 0),
+  SELECT *, CASE side WHEN 'buy' THEN floor(cash * CAST(0.95 AS DOUBLE) / close) WHEN 'sell' THEN position ELSE 0.0 END AS quantity FROM (
+  SELECT d.symbol, d.n, d.fts AS ts, d.fo, d.fv, d.close, f.cash, f.position, CASE WHEN d.c = 1 AND f.position <= 0 AND floor(f.cash * CAST(0.95 AS DOUBLE) / d.close) > 0 THEN 'buy' WHEN d.c = -1 AND f.position > 0 THEN 'sell' END AS side FROM fo f JOIN dec d ON d.symbol = f.symbol AND d.n = f.n + 1)))))),
+fills AS (SELECT symbol, row_number() OVER (PARTITION BY symbol ORDER BY n) AS n, ts, side, quantity, price, commission, cash, position FROM fo WHERE side IS NOT NULL),
 curve AS (SELECT b.symbol, b.ts, coalesce(last_value(f.cash IGNORE NULLS) OVER o, 100000.0) + coalesce(last_value(f.position IGNORE NULLS) OVER o, 0.0) * b.close AS equity FROM bars b LEFT JOIN fills f ON f.symbol = b.symbol AND f.ts = b.ts
   WINDOW o AS (PARTITION BY b.symbol ORDER BY b.ts ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))"""
 
@@ -628,17 +775,57 @@ def _(spark, sf):
     return cut(_event(spark, sf)[2])
 
 
-@query(
-    "event_metrics_ma",
-    f"""{_EVENT}, ev AS (SELECT *, equity / coalesce(lag(equity) OVER (PARTITION BY symbol ORDER BY ts), 100000.0) - 1 AS r, equity / greatest(max(equity) OVER (PARTITION BY symbol ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 100000.0) - 1 AS dd FROM curve),
-    eg AS (SELECT symbol, arg_max(equity, ts) AS final_capital, avg(r) AS m, stddev_pop(r) AS s, min(dd) AS max_drawdown, avg(CASE WHEN r > 0 THEN 1.0 ELSE 0.0 END) AS win FROM ev GROUP BY 1), en AS (SELECT symbol, count(*) AS total_trades FROM fills GROUP BY 1)
-    SELECT symbol, {q('final_capital / 100000.0 - 1', 'total_return')}, {q('m / greatest(s, 1e-10) * sqrt(252.0)', 'sharpe_ratio')}, {q('max_drawdown')}, coalesce(total_trades, 0) AS total_trades, {q('CASE WHEN coalesce(total_trades, 0) > 0 THEN win ELSE 0.0 END', 'win_rate')}, {q('final_capital')} FROM eg LEFT JOIN en USING (symbol)""",
-)
+_EV_BOOK = """ev AS (SELECT *, equity / coalesce(lag(equity) OVER (PARTITION BY symbol ORDER BY ts), 100000.0) - 1 AS net, equity / greatest(max(equity) OVER (PARTITION BY symbol ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 100000.0) - 1 AS dd FROM curve),
+    en AS (SELECT symbol, count(*) AS total_trades FROM fills GROUP BY 1),
+    g AS (SELECT symbol, count(net) AS n, 100000.0::DOUBLE AS initial_capital, arg_max(equity, ts) AS final_capital, avg(net) AS mean, stddev_pop(net) AS sd, coalesce(stddev_pop(CASE WHEN net < 0 THEN net END), 1e-10) AS down, min(dd) AS max_drawdown,
+      avg(CASE WHEN net > 0 THEN 1.0 ELSE 0.0 END) AS win, coalesce(sum(CASE WHEN net > 0 THEN net END), 0.0) AS won, coalesce(sum(CASE WHEN net < 0 THEN net END), 0.0) AS lost, min(ts) AS start_date, max(ts) AS end_date FROM ev GROUP BY 1),
+    h AS (SELECT *, final_capital / initial_capital - 1 AS total_return, coalesce(total_trades, 0) AS tt FROM g LEFT JOIN en USING (symbol)),
+    h2 AS (SELECT *, CASE WHEN total_return > -1 THEN pow(1 + total_return, 1 / greatest(n / 252.0, 0.01)) END - 1 AS annual_return FROM h),
+    summ AS (SELECT symbol, total_return, annual_return, mean / greatest(sd, 1e-10) * sqrt(252.0) AS sharpe_ratio, mean / greatest(down, 1e-10) * sqrt(252.0) AS sortino_ratio, max_drawdown, annual_return / greatest(abs(max_drawdown), 1e-10) AS calmar_ratio,
+      tt AS total_trades, CASE WHEN tt > 0 THEN win ELSE 0.0 END AS win_rate, CASE WHEN tt > 0 THEN won / greatest(abs(lost), 1e-10) ELSE 0.0 END AS profit_factor, CASE WHEN tt > 0 THEN mean ELSE 0.0 END AS avg_trade_return, start_date, end_date, initial_capital, final_capital FROM h2)"""
+
+
+@query("event_metrics_ma", f"{_EVENT}, {_EV_BOOK} SELECT symbol, {_SUMM} FROM summ")
 def _(spark, sf):
     _, fills, curve = _event(spark, sf)
     return cut(orders.summary(curve, fills))
 
 
+@query("engine_run_event", f"{_EVENT}, {_EV_BOOK} SELECT symbol, {_SUMM} FROM summ")
+def _(spark, sf):
+    return cut(engine.run(bars.weekly(spark, sf), signals.ma_cross(), "event_driven").summary)
+
+
+@query("engine_run_auto", f"{_WEEKLY_MOM}, {_summary()} SELECT symbol, {_SUMM} FROM summ")
+def _(spark, sf):
+    """Without a mode the strategy decides."""
+    return cut(engine.run(bars.weekly(spark, sf), signals.momentum(20)).summary)
+
+
+def _event_sql(fast: int, slow: int) -> str:
+    return _EVENT.replace("BETWEEN 9 PRECEDING", f"BETWEEN {fast - 1} PRECEDING").replace("BETWEEN 29 PRECEDING", f"BETWEEN {slow - 1} PRECEDING").replace("ri >= 29", f"ri >= {slow - 1}")
+
+
+@query("event_batch", " UNION ALL ".join(f"SELECT * FROM ({_event_sql(f, 30)}, {_EV_BOOK} SELECT symbol, {i} AS combo_idx, {f} AS fast, 30 AS slow, {_SUMM} FROM summ) x{i}" for i, f in enumerate((5, 10))))
+def _(spark, sf):
+    return cut(engine.run_batch(bars.weekly(spark, sf), signals.ma_cross, {"fast": [5, 10], "slow": [30]}, "event_driven"))
+
+
+def _hold_one(bar: dict, position: float, cash: float):
+    return ("buy", 10.0) if position == 0 else None
+
+
+@query(
+    "event_on_bar",
+    f"""WITH {WEEKLY}, k AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts) AS n FROM bars), f AS (SELECT symbol, open * (1 + (CAST(0.1 AS DOUBLE) * sqrt(10 / greatest(CAST(volume AS DOUBLE), 1.0)) + 5.0 / 10000.0)) AS price FROM k WHERE n = 2),
+    c AS (SELECT symbol, 100000 - (10 * price + greatest(CAST(0.35 AS DOUBLE), least(10 * CAST(0.005 AS DOUBLE), 10 * price * CAST(0.01 AS DOUBLE)))) AS cash FROM f)
+    SELECT symbol, ts, {q('CASE WHEN n = 1 THEN 100000 ELSE cash END', 'cash')}, CASE WHEN n = 1 THEN 0.0 ELSE 10.0 END AS position, {q('CASE WHEN n = 1 THEN 100000 ELSE cash + 10 * close END', 'equity')} FROM k JOIN c USING (symbol)""",
+)
+def _(spark, sf):
+    """The general fold: a strategy that buys once and holds."""
+    return cut(orders.run_on_bar(bars.weekly(spark, sf), _hold_one))
+
+
 @query(
     "compare_modes",
     f"""{_EVENT}, {READY.replace('r AS', 'rv AS')}, {_ledger(MA, 'symbol', 'rv')}, {_summary()}, ev AS (SELECT *, equity / coalesce(lag(equity) OVER (PARTITION BY symbol ORDER BY ts), 100000.0) - 1 AS r FROM curve),
@@ -646,13 +833,11 @@ def _(spark, sf):
     SELECT symbol, {q('sharpe_ratio - es', 'sharpe_gap')}, {q('total_return - er', 'return_gap')} FROM summ JOIN eg USING (symbol)""",
 )
 def _(spark, sf):
-    b, fills, curve = _event(spark, sf)
-    v = backtest.summary(backtest.run(b, signals.ma_cross())).select("symbol", "sharpe_ratio", "total_return")
-    e = orders.summary(curve, fills).select("symbol", F.col("sharpe_ratio").alias("es"), F.col("total_return").alias("er"))
-    return cut(v.join(e, "symbol").select("symbol", (F.col("sharpe_ratio") - F.col("es")).alias("sharpe_gap"), (F.col("total_return") - F.col("er")).alias("return_gap")))
+    return cut(engine.compare_modes(bars.weekly(spark, sf), signals.ma_cross()))
 
 
-_LIMITS = """lo AS (SELECT concat(symbol, CAST(ts AS VARCHAR)) AS order_id, symbol, ts, CASE WHEN ri % 2 = 0 THEN 'buy' ELSE 'sell' END AS side, close * CASE WHEN ri % 2 = 0 THEN CAST(0.97 AS DOUBLE) ELSE CAST(1.03 AS DOUBLE) END AS lim FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts) - 1 AS ri FROM bars) WHERE ri % 10 < 2)"""
+def _limits_sql(buy: str, sell: str) -> str:
+    return f"""lo AS (SELECT concat(symbol, CAST(ts AS VARCHAR)) AS order_id, symbol, ts, CASE WHEN ri % 2 = 0 THEN 'buy' ELSE 'sell' END AS side, close * CASE WHEN ri % 2 = 0 THEN CAST({buy} AS DOUBLE) ELSE CAST({sell} AS DOUBLE) END AS lim FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts) - 1 AS ri FROM bars))"""
 
 
 def _limits(b):
@@ -662,7 +847,7 @@ def _limits(b):
 
 @query(
     "limit_order_fills",
-    f"""WITH {WEEKLY}, {_LIMITS}, c AS (SELECT order_id, lo.symbol, side, lim, b.ts AS fill_ts, CASE WHEN side = 'buy' THEN least(lim, open) ELSE greatest(lim, open) END AS fill_price, row_number() OVER (PARTITION BY order_id ORDER BY b.ts) AS k
+    f"""WITH {WEEKLY}, {_limits_sql('0.97', '1.03')}, c AS (SELECT order_id, lo.symbol, side, lim, b.ts AS fill_ts, CASE WHEN side = 'buy' THEN least(lim, open) ELSE greatest(lim, open) END AS fill_price, row_number() OVER (PARTITION BY order_id ORDER BY b.ts) AS k
     FROM lo JOIN bars b ON b.symbol = lo.symbol AND b.ts > lo.ts AND CASE WHEN side = 'buy' THEN low <= lim ELSE high >= lim END) SELECT order_id, symbol, side, {q('lim', '"limit"')}, fill_ts, {q('fill_price')} FROM c WHERE k = 1""",
 )
 def _(spark, sf):
@@ -670,11 +855,72 @@ def _(spark, sf):
     return cut(orders.limit_fills(_limits(b), b))
 
 
-@query("round_trips")
+@query(
+    "stop_order_fills",
+    f"""WITH {WEEKLY}, {_limits_sql('1.03', '0.97')}, c AS (SELECT order_id, lo.symbol, side, lim, b.ts AS fill_ts, CASE WHEN side = 'buy' THEN greatest(lim, open) ELSE least(lim, open) END AS fill_price, row_number() OVER (PARTITION BY order_id ORDER BY b.ts) AS k
+    FROM lo JOIN bars b ON b.symbol = lo.symbol AND b.ts > lo.ts AND CASE WHEN side = 'buy' THEN high >= lim ELSE low <= lim END) SELECT order_id, symbol, side, {q('lim', 'stop')}, fill_ts, {q('fill_price')} FROM c WHERE k = 1""",
+)
+def _(spark, sf):
+    b = bars.weekly(spark, sf)
+    side = F.when(F.col("side") == "buy", 1.03).otherwise(0.97)
+    x = _limits(b).drop("limit").join(b.select("symbol", "ts", "close"), ["symbol", "ts"])
+    return cut(orders.stop_fills(x.withColumn("stop", F.col("close") * side), b))
+
+
+@query(
+    "round_trips",
+    f"""WITH RECURSIVE {TRADES}, s AS (SELECT symbol, timestamp AS ts, price, CASE WHEN side = 'buy' THEN CAST(quantity AS DOUBLE) ELSE -CAST(quantity AS DOUBLE) END AS q, row_number() OVER (PARTITION BY symbol ORDER BY timestamp, trade_id) AS n FROM t),
+    f AS (SELECT symbol, CAST(0 AS BIGINT) AS n, CAST(NULL AS DATE) AS ts, 0.0::DOUBLE AS qty, 0.0::DOUBLE AS av, CAST(NULL AS DOUBLE) AS shut, 0.0::DOUBLE AS entry, 0.0::DOUBLE AS exit_, 0.0::DOUBLE AS pnl FROM (SELECT DISTINCT symbol FROM s)
+    UNION ALL SELECT s.symbol, s.n, s.ts, CASE WHEN abs(f.qty + s.q) <= 1e-4 THEN 0.0 ELSE f.qty + s.q END,
+      CASE WHEN f.qty = 0 OR sign(f.qty) = sign(s.q) THEN (f.av * abs(f.qty) + s.price * abs(s.q)) / abs(f.qty + s.q) WHEN abs(f.qty + s.q) <= 1e-4 THEN 0.0 WHEN sign(f.qty + s.q) <> sign(f.qty) THEN s.price ELSE f.av END,
+      CASE WHEN f.qty = 0 OR sign(f.qty) = sign(s.q) THEN NULL ELSE least(abs(s.q), abs(f.qty)) END, f.av, s.price, (s.price - f.av) * least(abs(s.q), abs(f.qty)) * sign(f.qty) FROM f JOIN s ON s.symbol = f.symbol AND s.n = f.n + 1)
+    SELECT symbol, CAST(row_number() OVER (PARTITION BY symbol ORDER BY n) - 1 AS INTEGER) AS n, ts, shut AS quantity, floor(entry * 1e3 + 0.5) / 1e3 AS entry, exit_ AS exit, floor(pnl * 1e2 + 0.5) / 1e2 AS pnl FROM f WHERE shut IS NOT NULL""",
+)
+def _(spark, sf):
+    """Fills of the order table in order of time."""
+    t = bars.order_trades(spark, sf).select("symbol", F.col("timestamp").alias("ts"), F.col("trade_id").alias("seq"), "side", "quantity", "price")
+    x = orders.round_trips(t).drop("pnl_pct")
+    return x.withColumn("entry", F.floor(F.col("entry") * F.lit(1e3) + F.lit(0.5)) / F.lit(1e3)).withColumn("pnl", F.floor(F.col("pnl") * F.lit(1e2) + F.lit(0.5)) / F.lit(1e2))
+
+
+@query("position_ledger")
 def _(spark, sf):
-    """Fills of the order table in order of time; a fold per symbol, held against a plain loop in the tests."""
+    """The live ledger after each fill; held against a plain loop in the tests."""
     t = bars.order_trades(spark, sf).select("symbol", F.col("timestamp").alias("ts"), F.col("trade_id").alias("seq"), "side", "quantity", "price")
-    return orders.round_trips(t)
+    return orders.positions(t)
+
+
+@query(
+    "order_lifecycle",
+    """WITH u AS (SELECT l_orderkey AS order_id, CAST(l_shipdate AS DATE) AS seq, sum(l_quantity) AS q, sum(CAST(floor(l_extendedprice * 100 + 0.5) AS BIGINT)) AS c FROM lineitem GROUP BY 1, 2),
+    c AS (SELECT order_id, seq, sum(q) OVER (PARTITION BY order_id ORDER BY seq) AS filled_quantity, CAST(c AS DOUBLE) / (100 * q) AS filled_price FROM u),
+    j AS (SELECT o_orderkey AS order_id, 60.0 AS quantity, seq, filled_quantity, filled_price FROM orders LEFT JOIN c ON order_id = o_orderkey),
+    k AS (SELECT *, max(CASE WHEN filled_quantity >= quantity THEN 1 ELSE 0 END) OVER (PARTITION BY order_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS done FROM j)
+    SELECT order_id, seq, filled_quantity, filled_price, CAST(CASE WHEN seq IS NOT NULL THEN 1.0 END AS DOUBLE) AS commission, CAST(quantity - coalesce(filled_quantity, 0) AS DOUBLE) AS remaining, CASE WHEN seq IS NULL THEN 'submitted' WHEN filled_quantity >= quantity THEN 'filled' ELSE 'partial' END AS status FROM k WHERE coalesce(done, 0) = 0""",
+)
+def _(spark, sf):
+    """Orders of 60 units, filled by the lines that are shipped."""
+    o = spark.read.parquet(f"{sf}/orders.parquet").select(F.col("o_orderkey").alias("order_id"), F.lit(60.0).alias("quantity"))
+    li = spark.read.parquet(f"{sf}/lineitem.parquet").groupBy(F.col("l_orderkey").alias("order_id"), F.col("l_shipdate").cast("date").alias("seq"))
+    u = li.agg(F.sum("l_quantity").alias("q"), F.sum(F.floor(F.col("l_extendedprice") * 100 + F.lit(0.5)).cast("long")).alias("c"))
+    u = u.select("order_id", "seq", F.sum("q").over(w.so_far("order_id", by="seq")).alias("filled_quantity"), (F.col("c").cast("double") / (100 * F.col("q"))).alias("filled_price"), F.lit(1.0).alias("commission"))
+    return orders.lifecycle(o, u)
+
+
+_STRATEGY = "WITH f AS (SELECT o_orderpriority AS symbol, concat('s', CAST(o_custkey % 3 AS VARCHAR)) AS strategy, CASE WHEN o_orderkey % 2 = 0 THEN 1 + o_custkey % 100 ELSE -(1 + o_custkey % 100) END AS q FROM orders), p AS (SELECT strategy, symbol, sum(q) AS q FROM f GROUP BY 1, 2), m AS (SELECT o_orderpriority AS symbol, max(o_totalprice) AS price FROM orders GROUP BY 1)"
+
+
+@query("strategy_exposure", f"{_STRATEGY} SELECT strategy, floor(sum(abs(q * price)) * 1e2 + 0.5) / 1e2 AS exposure FROM p JOIN m USING (symbol) GROUP BY 1")
+def _(spark, sf):
+    t = bars.order_trades(spark, sf).join(spark.read.parquet(f"{sf}/orders.parquet").select(F.col("o_orderkey").alias("trade_id"), F.concat(F.lit("s"), (F.col("o_custkey") % 3).cast("string")).alias("strategy")), "trade_id")
+    x = orders.strategy_exposure(t, t.groupBy("symbol").agg(F.max("price").alias("price")))
+    return x.select("strategy", (F.floor(F.col("exposure") * F.lit(1e2) + F.lit(0.5)) / F.lit(1e2)).alias("exposure"))
+
+
+@query("positions_marked", "WITH m AS (SELECT p_partkey AS symbol, CAST(p_partkey % 9 - 4 AS DOUBLE) AS quantity, p_retailprice AS avg_price FROM part) SELECT symbol, quantity, avg_price, avg_price * CAST(1.1 AS DOUBLE) AS price, abs(quantity) * (avg_price * CAST(1.1 AS DOUBLE)) AS market_value, abs(quantity) * avg_price AS cost_basis, (avg_price * CAST(1.1 AS DOUBLE) - avg_price) * quantity AS unrealised FROM m")
+def _(spark, sf):
+    p = spark.read.parquet(f"{sf}/part.parquet").select(F.col("p_partkey").alias("symbol"), (F.col("p_partkey") % 9 - 4).cast("double").alias("quantity"), F.col("p_retailprice").alias("avg_price"))
+    return orders.marked(p, p.select("symbol", (F.col("avg_price") * F.lit(1.1)).alias("price")))
 
 
 @query("exposure", f"WITH {TRADES} SELECT {q('sum(abs(quantity * price)) / 1e6', 'gross')}, {q('sum(quantity * price) / 1e6', 'net')}, count(*) FILTER (quantity <> 0) AS open_positions FROM t")

@@ -41,10 +41,11 @@ def test_every_order_is_scheduled(spark, name):
     want = set()
     for key, cust in duckdb.sql(f"SELECT o_orderkey, o_custkey FROM '{SF}/orders.parquet'").fetchall():
         n = 1 + cust % 200
-        if name == "twap_schedule":
-            want |= {(key, k, n / 10, k * 360) for k in range(10)}
-        elif name == "vwap_schedule":
-            want |= {(key, k, math.floor(n * (p / sum(PROFILE))), k * 1800) for k, p in enumerate(PROFILE) if math.floor(n * (p / sum(PROFILE))) >= 1}
+        if name == "twap_schedule":  # half an hour in ten slices
+            want |= {(key, k, n / 10, k * 180.0) for k in range(10)}
+        elif name == "vwap_schedule":  # an hour by the profile; a slice below one unit takes no time
+            sent = [(k, n * (p / sum(PROFILE))) for k, p in enumerate(PROFILE) if n * (p / sum(PROFILE)) >= 1]
+            want |= {(key, k, q, i * (3600 / 14)) for i, (k, q) in enumerate(sent)}
         else:
             want |= {(key, k, min(10, n - 10 * k)) for k in range(math.ceil(n / 10))}
     got = [tuple(r) for r in registry.QUERIES[name](spark, SF).collect()]

@@ -5,7 +5,6 @@ from __future__ import annotations
 import gc
 import tempfile
 import uuid
-import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -21,15 +20,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_OWN: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where the session names none (tests)."""
+    """The folder that driver and executors share; a temporary one where the session names none, which only local mode may do (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         jvm_dir = spark.sparkContext._jsc.sc().getCheckpointDir()
         found = jvm_dir.get() if jvm_dir.isDefined() else None
     if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="tapeloom-")
-        spark.conf.set("spark.checkpoint.dir", found)
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
+        found = _OWN.setdefault("folder", "file://" + tempfile.mkdtemp(prefix="tapeloom-"))
     return found.rstrip("/")
 
 
@@ -53,7 +57,16 @@ def stash(df: DataFrame, name: str) -> DataFrame:
     df.write.option("compression", "zstd").parquet(path)
     gc.collect()
     spark.sparkContext._jvm.System.gc()
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stash_path = path
+    return out
+
+
+def unstash(df: DataFrame) -> None:
+    """Deletes a stash after its last reader."""
+    spark = df.sparkSession
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df.stash_path)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 #: Ids that may be broadcast: 8 bytes each, so 16 MB.
@@ -70,11 +83,6 @@ def restrict(df: DataFrame, ids: DataFrame, column: str, keep: bool) -> DataFram
     return df.join(ids, column, "left_semi" if keep else "left_anti")
 
 
-def remainder(ids: np.ndarray, mod: int) -> np.ndarray:
-    """crc32 of each id's decimal text, modulo mod; ids may hold None, which gives 0 as the empty text does."""
-    return np.array([zlib.crc32(b"" if i is None else str(i).encode()) % mod for i in ids], dtype=np.int64)
-
-
 def slices(batch: pa.RecordBatch, column: str):
     """Cuts a batch into pieces of about SLICE_BYTES of text, one row at least."""
     sizes = pc.binary_length(batch.column(column)).fill_null(0).to_pylist()
@@ -203,11 +211,13 @@ def shingles(h: np.ndarray, bounds: np.ndarray, k: int) -> tuple[np.ndarray, np.
 def labelled(docs: DataFrame, labels: DataFrame, target: str, mod: int, bound: int) -> DataFrame:
     """(doc_id, text, label) of at most bound labelled rows whose crc32(doc_id as text) mod `mod` isn't 0, in an order by hash.
 
-    Only these rows' labels are ever read. Rows without an id or label are left out; of repeated ids one row is taken.
+    Only these rows' labels are ever read. Rows without an id or label are left out; of repeated ids, among the labels as
+    among the documents, one is taken (the largest label, the least text), so that no more than `bound` rows come out.
     """
     ok = labels.where(F.col("doc_id").isNotNull() & F.col(target).isNotNull() & (F.crc32(F.col("doc_id").cast("string").cast("binary")) % mod != 0))
     picked = ok.groupBy("doc_id").agg(F.max(target).cast("int").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound)
-    return docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")  # bound rows at most
+    joined = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")  # bound rows at most
+    return joined.groupBy("doc_id").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"), F.max("label").alias("label"))
 
 
 def held_out(mod: int, rest: int, id_col: str = "doc_id"):

@@ -6,14 +6,16 @@ D in a band of sizes; the sketch of a band falls into D + 1 + s pieces, so linke
 (pigeonhole). A piece is a wide sketch of its own, held as the XOR of the 64-bit codes of its flipped bits. Pieces without
 a flipped bit say nothing and aren't joined where a document has s of them at most: it still agrees in a full one.
 
-1. Two passes over the texts: set size, set digest and fixed sketch of each document; then its piece keys. Documents of
-   equal sets are one node. Keys travel packed by range, about 12 bytes each, and become rows where they are sorted.
-2. Buckets: keys that several nodes share. Each member is verified against its bucket's least node only (a star).
-3. Components of the verified links. Buckets within one component are done; in the others, taken once where several have
-   the same members, members of different components are compared, in blocks, by Hamming distance of fixed sketches, and
-   what passes is verified.
-
-Step 3 makes the result exact; a group of near copies costs a star of links, not all pairs.
+1. Two passes over the texts: set size, set digest and sketch of each document; then its piece keys. Documents of equal
+   sets are one node. Keys travel packed by range, about 12 bytes each, and become rows where they are sorted. Sketches have
+   four bits or more for each shingle that linked sets of the size may differ in, so they tell most near misses.
+2. Buckets: keys that several nodes share. Each member is compared with its bucket's least node only (a star): by sketches,
+   then by whole sets. A node's pairs are cut by salts, so that one with very many is dealt to many tasks.
+3. Components of the verified links. Buckets within one component are done. In the others, taken together where they have
+   nearly the same members, members of different components are compared, in blocks, by sketches; first a spanning forest of
+   what passes is verified and joins components, then every pair that is left between different ones.
+
+Step 3 makes the result exact; a group of near copies costs a star and a forest of links, not all pairs.
 """
 
 from __future__ import annotations
@@ -23,15 +25,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tapeloom.llm.common import _mix, restrict, shingles, slices, stash, text_bytes, words
+from tapeloom.llm.common import _mix, restrict, shingles, slices, stash, text_bytes, unstash, words
 from tapeloom.llm.components import components
 
-#: 64-bit words of the fixed sketch that is compared within blocks.
-SKETCH_WORDS = 32
 #: Members of a block.
 BLOCK = 256
 #: Keys and nodes that a task gathers before it packs them.
 PACK_KEYS, PACK_NODES = 1 << 20, 30_000
+#: Pairs of one node that are verified together, and the nodes with more that may be broadcast (16 MB).
+HUB_PAIRS, HUBS = 1024, 1_000_000
+#: Wanted documents and their pairs that may be broadcast to the texts (24 bytes each, 40 MB); more are joined by shuffle.
+BROADCAST_ROWS, BROADCAST_ITEMS = 300_000, 1_000_000
 _RATIO = 1.5
 
 
@@ -109,14 +113,28 @@ def piece_keys(x: np.ndarray, owner: np.ndarray, size: np.ndarray, percent: int)
     empty = prints == 0
     side = 2 * text + upper
     many = np.bincount(side[empty], minlength=2 * n)
-    keep = ~empty | (many[side] > (spare[band] if len(spare) else 0))
+    extra = (spare[band] if len(spare) else 0) - many[side]
+    # with fewer empty pieces than s, a document's last full ones aren't needed: of two linked documents the one that leaves
+    # out from the lower place on leaves out s - e pieces, and they agree in s + 1 - e full ones at least
+    full = np.cumsum(~empty)
+    last = np.zeros(2 * n, np.int64)
+    np.maximum.at(last, side, full)
+    keep = np.where(extra >= 0, ~empty & (full <= last[side] - extra), True)
     return keys[keep], np.bincount(text[keep], minlength=n)
 
 
-def fixed_sketch(x: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
-    out = np.zeros((n, SKETCH_WORDS), np.uint64)
-    at = (x % np.uint64(64 * SKETCH_WORDS)).astype(np.int64)
-    np.bitwise_xor.at(out.reshape(-1), owner * SKETCH_WORDS + at // 64, np.uint64(1) << (at % 64).astype(np.uint64))
+def sketch_words(size: np.ndarray, percent: int) -> np.ndarray:
+    """64-bit words of the sketch of sets of a size, a power of two: four bits or more for each shingle that linked sets may differ in."""
+    most = (size + size * 100 // percent) * (100 - percent) // (100 + percent)
+    return np.int64(1) << np.ceil(np.log2(np.maximum((most + 15) // 16, 1))).astype(np.int64)
+
+
+def flat_sketch(x: np.ndarray, owner: np.ndarray, width: np.ndarray) -> np.ndarray:
+    """The sketches of all texts, joined; width: the words of each."""
+    start = np.cumsum(width) - width
+    out = np.zeros(int(width.sum()), np.uint64)
+    at = x & (width[owner].astype(np.uint64) * np.uint64(64) - np.uint64(1))
+    np.bitwise_xor.at(out, start[owner] + (at >> np.uint64(6)).astype(np.int64), np.uint64(1) << (at & np.uint64(63)))
     return out
 
 
@@ -148,9 +166,10 @@ def sketch(docs: DataFrame, id_col: str, text_col: str, k: int, percent: int, se
                 node, check = set_digest(x, size)
                 none = size == 0
                 use = _fresh(piece.column(id_col), node, seen) & ~none
-                flat = fixed_sketch(x[use[owner]], owner[use[owner]], len(size))[use].reshape(-1)
+                width = np.where(use, sketch_words(size, percent), 0)
+                flat = flat_sketch(x[use[owner]], owner[use[owner]], width)
                 yield pa.RecordBatch.from_arrays(
-                    [piece.column(id_col).cast(pa.int64()), pa.array(size), pa.array(node, mask=none), pa.array(check, mask=none), _lists(flat, np.where(use, SKETCH_WORDS, 0))],
+                    [piece.column(id_col).cast(pa.int64()), pa.array(size), pa.array(node, mask=none), pa.array(check, mask=none), _lists(flat, width)],
                     names=["doc_id", "n_shingles", "node", "check", "sketch"],
                 )
 
@@ -221,47 +240,168 @@ def piece_rows(docs: DataFrame, id_col: str, text_col: str, k: int, percent: int
     return each.select("part", key.alias("key"), F.get("nodes", F.get("at", F.col("p")).cast("int")).alias("node"))
 
 
-def node_sets(docs: DataFrame, text_col: str, k: int, seed: int = 0) -> DataFrame:
-    """(node, shingles) of each text that has words."""
+def _matrix(values: np.ndarray, start: np.ndarray, width: np.ndarray, rows: np.ndarray, w: int) -> np.ndarray:
+    """The sketches of some rows, each folded to w words: bits are taken modulo a power of two, so halves are XORed."""
+    out = np.zeros((len(rows), w), np.uint64)
+    for many in np.unique(width[rows]):
+        own = np.flatnonzero(width[rows] == many)
+        got = values[start[rows[own]][:, None] + np.arange(many)]
+        out[own] = np.bitwise_xor.reduce(got.reshape(len(own), many // w, w), axis=1)
+    return out
+
+
+def _sketches(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All words, and the first word and the number of words of each row."""
+    offsets = column.offsets.to_numpy()
+    return column.values.to_numpy(zero_copy_only=False).view(np.uint64), offsets[:-1].astype(np.int64), np.diff(offsets).astype(np.int64)
+
+
+def _distances(left, right, p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Hamming distance of the sketches of left rows p and right rows q, at the smaller width of each pair."""
+    (xa, sa, wa), (xb, sb, wb) = left, right
+    out = np.zeros(len(p), np.int64)
+    least = np.minimum(wa[p], wb[q])
+    for w in np.unique(least).tolist():
+        mine = np.flatnonzero(least == w)
+        rows_a, at_a = np.unique(p[mine], return_inverse=True)
+        rows_b, at_b = np.unique(q[mine], return_inverse=True)
+        a, b = _matrix(xa, sa, wa, rows_a, w), _matrix(xb, sb, wb, rows_b, w)
+        step = max(1, (1 << 18) // w)
+        for s in range(0, len(mine), step):
+            out[mine[s : s + step]] = np.bitwise_count(a[at_a[s : s + step]] ^ b[at_b[s : s + step]]).sum(axis=1, dtype=np.int64)
+    return out
+
+
+def _similar(na: np.ndarray, nb: np.ndarray, percent: int) -> np.ndarray:
+    return np.minimum(na, nb) * 100 >= np.maximum(na, nb) * percent
+
+
+def salted(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """pairs (a, b), stashed, with a salt that cuts the pairs of each a into groups of about HUB_PAIRS; and (a, salts) of those cut.
+
+    The second has a row for every HUB_PAIRS pairs at most, and no more than HUBS rows, so it may be broadcast.
+    """
+    if not hasattr(pairs, "stash_path"):
+        pairs = stash(pairs, "pairs")
+    most = max(HUB_PAIRS, pairs.count() // HUBS + 1)
+    hubs = stash(pairs.groupBy("a").count().where(F.col("count") > most).select("a", F.ceil(F.col("count") / most).cast("int").alias("salts")), "hubs")
+    salt = F.pmod(F.xxhash64("b"), F.coalesce("salts", F.lit(1))).cast("int")
+    return pairs.join(F.broadcast(hubs), "a", "left").select("a", "b", salt.alias("salt")), hubs
+
+
+def near(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """Those of pairs (a, b) that sizes and sketches leave possible, with their salt."""
+    cut, hubs = salted(pairs)
+    right = sketches.select(F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("sketch").alias("s_b"))
+    left = sketches.select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("sketch").alias("s_a"))
+    left = left.join(F.broadcast(hubs), "a", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1))).drop("salts")
 
     def run(batches):
         for batch in batches:
-            for piece in slices(batch, text_col):
-                x, owner, size = sets(piece.column(text_col), k, seed)
-                node, _ = set_digest(x, size)
-                out = pa.RecordBatch.from_arrays([pa.array(node), _lists(x, size)], names=["node", "shingles"])
-                yield out.filter(pa.array(size > 0))
+            na, nb = (batch.column(c).to_numpy() for c in ("n_a", "n_b"))
+            rows = np.flatnonzero(_similar(na, nb, percent))
+            d = _distances(_sketches(batch.column("s_a")), _sketches(batch.column("s_b")), rows, rows)
+            keep = rows[d * (100 + percent) <= (na + nb)[rows] * (100 - percent)]
+            yield batch.select(["a", "b", "salt"]).take(pa.array(keep))
 
-    return docs.select(text_col).mapInArrow(run, "node long, shingles array<long>")
+    return cut.join(right, "b").join(left, ["a", "salt"]).select("a", "b", "salt", "n_a", "n_b", "s_a", "s_b").mapInArrow(run, "a long, b long, salt int")
 
 
 class Verifier:
-    """Tells which pairs of nodes link: by sizes and sketches first, by whole sets for those that pass."""
+    """Tells by whole sets which pairs of nodes link."""
 
-    def __init__(self, docs: DataFrame, id_col: str, text_col: str, k: int, percent: int, seed: int, nodes: DataFrame, sketches: DataFrame):
-        self.docs, self.id_col, self.text_col, self.k, self.percent, self.seed = docs, id_col, text_col, k, percent, seed
-        self.nodes, self.sketches = nodes, sketches
+    def __init__(self, docs: DataFrame, id_col: str, text_col: str, k: int, percent: int, seed: int, nodes: DataFrame):
+        self.docs, self.id_col, self.text_col, self.k, self.percent, self.seed, self.nodes = docs, id_col, text_col, k, percent, seed, nodes
 
     def __call__(self, pairs: DataFrame) -> DataFrame:
-        """Those of pairs (a, b) whose sets link."""
-        p = self.percent
-        left = self.sketches.select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("sketch").alias("s_a"))
-        right = self.sketches.select(F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("sketch").alias("s_b"))
-        total = F.col("n_a") + F.col("n_b")
-        distance = F.aggregate(F.zip_with("s_a", "s_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda acc, v: acc + v)
-        sizes = F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * p
-        near = F.when(sizes, distance * (100 + p) <= total * (100 - p)).otherwise(False)
-        near = stash(pairs.join(right, "b").join(left, "a").where(near).select("a", "b", total.alias("total")), "near")
-        ends = near.select(F.col("a").alias("node")).union(near.select(F.col("b").alias("node"))).distinct()
-        wanted = ends.join(self.nodes, "node").select(F.col("first_id").alias(self.id_col)).distinct()
-        full = stash(node_sets(restrict(self.docs, wanted, self.id_col, True), self.text_col, self.k, self.seed), "sets")
-        one, two = (full.select(F.col("node").alias(end), F.col("shingles").alias(f"x_{end}")) for end in ("a", "b"))
-        common = F.size(F.array_intersect("x_a", "x_b"))
-        return near.join(two, "b").join(one, "a").where(common * (100 + p) >= F.col("total") * p).select("a", "b").distinct()
-
-
-def _across(percent: int):
-    """Pairs of two blocks' members, of different labels, that sizes and sketches leave possible."""
+        """Those of pairs (a, b, salt) whose sets link, stashed.
+
+        The set of b goes to each of its a's once, that of a to each of its salts: one shuffle, in which a task holds one
+        set of an a and sees the others pass.
+        """
+        text_col, k, percent, seed = self.text_col, self.k, self.percent, self.seed
+        pairs = stash(pairs, "near")
+        to = pairs.groupBy(F.col("b").alias("node")).agg(F.collect_list(F.struct("a", "salt")).alias("to")).withColumn("salts", F.lit(0))
+        hub = pairs.groupBy(F.col("a").alias("node")).agg((F.max("salt") + 1).alias("salts"))
+        hub = hub.select("node", F.expr("cast(array() as array<struct<a: bigint, salt: int>>)").alias("to"), "salts")
+        ends = to.unionByName(hub).groupBy("node").agg(F.flatten(F.collect_list("to")).alias("to"), F.max("salts").alias("salts"))
+        wanted = stash(ends.join(self.nodes.select("node", F.col("first_id").alias("_first")), "node"), "wanted")
+        rows, items = wanted.agg(F.count("*"), F.coalesce(F.sum(F.size("to")), F.lit(0))).first()
+        listed = F.broadcast(wanted) if rows <= BROADCAST_ROWS and items <= BROADCAST_ITEMS else wanted
+        found = self.docs.select(F.col(self.id_col).alias("_id"), F.col(text_col).alias("_text")).join(listed, F.col("_id") == F.col("_first")).select("_text", "node", "to", "salts")
+
+        def emit(batches):
+            for batch in batches:
+                for piece in slices(batch, "_text"):
+                    x, owner, size = sets(piece.column("_text"), k, seed)
+                    node, _ = set_digest(x, size)
+                    ends, mine = np.cumsum(size), piece.column("node").to_numpy()
+                    out, held = [[], [], [], []], 0
+                    for i in np.flatnonzero(node == mine).tolist():  # rows that share an id may hold other texts
+                        own = x[ends[i] - size[i] : ends[i]].view(np.int64)
+                        listed = piece.column("to")[i].values
+                        to = [(int(node[i]), s, None) for s in range(piece.column("salts")[i].as_py())]
+                        to += zip(listed.field("a").to_pylist(), listed.field("salt").to_pylist(), [int(node[i])] * len(listed), strict=True)
+                        for a, salt, b in to:
+                            for column, value in zip(out, (a, salt, b, own), strict=True):
+                                column.append(value)
+                            held += len(own)
+                            if held > PACK_KEYS // 2:
+                                yield _set_rows(out)
+                                out, held = [[], [], [], []], 0
+                    if held:
+                        yield _set_rows(out)
+
+        def check(batches):
+            at, own = None, None
+            for batch in batches:
+                a, salt, b = (batch.column(c).to_pylist() for c in ("a", "salt", "b"))
+                column = batch.column("shingles")
+                offsets, values = column.offsets.to_numpy(), column.values.to_numpy(zero_copy_only=False).view(np.uint64)
+                keep = []
+                for i in range(batch.num_rows):
+                    x = values[offsets[i] : offsets[i + 1]]
+                    if b[i] is None:
+                        at, own = (a[i], salt[i]), x.copy()
+                    elif at == (a[i], salt[i]):
+                        place = np.minimum(np.searchsorted(own, x), len(own) - 1)
+                        common = int((own[place] == x).sum())
+                        if common * (100 + percent) >= (len(own) + len(x)) * percent:
+                            keep.append(i)
+                yield batch.select(["a", "b"]).take(pa.array(keep, pa.int64()))
+
+        rows = found.mapInArrow(emit, "a long, salt int, b long, shingles array<long>")
+        linked = stash(rows.repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first()).mapInArrow(check, "a long, b long"), "linked")
+        for done in (pairs, wanted):
+            unstash(done)
+        return linked
+
+
+def _set_rows(columns: list[list]) -> pa.RecordBatch:
+    a, salt, b, shingle = columns
+    size = np.array([len(x) for x in shingle], dtype=np.int64)
+    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(salt, pa.int32()), pa.array(b, pa.int64()), _lists(np.concatenate(shingle), size)], names=["a", "salt", "b", "shingles"])
+
+
+def _forest(label_a: np.ndarray, label_b: np.ndarray, count: int) -> np.ndarray:
+    """Of edges between labels 0 to count - 1, best first, those of a spanning forest."""
+    root = np.arange(count)
+    out: list[int] = []
+    while True:
+        ends = np.stack([root[label_a], root[label_b]], axis=1)
+        live = np.flatnonzero(ends[:, 0] != ends[:, 1])
+        if not len(live):
+            return np.array(sorted(out), dtype=np.int64)
+        best = np.unique(np.unique(ends[live].reshape(-1), return_index=True)[1] // 2)  # the best edge of each tree
+        for e in live[best].tolist():
+            x, y = root[label_a[e]], root[label_b[e]]
+            if x != y:
+                root[root == max(x, y)] = min(x, y)
+                out.append(e)
+
+
+def _across(percent: int, forest: bool):
+    """Pairs of two blocks' members, of different labels, that sizes and sketches leave possible: all, or a spanning forest of them."""
 
     def run(batches):
         for batch in batches:
@@ -270,40 +410,74 @@ def _across(percent: int):
                 for name in ("left", "right"):
                     flat = batch.column(name)[i].values
                     node, label, n = (flat.field(f).to_numpy(zero_copy_only=False) for f in ("node", "label", "n"))
-                    words = flat.field("sketch").flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(-1, SKETCH_WORDS)
-                    sides.append((node, label, n, words))
-                (a, la, na, wa), (b, lb, nb, wb) = sides
-                ok = (la[:, None] != lb[None, :]) & (np.minimum(na[:, None], nb[None, :]) * 100 >= np.maximum(na[:, None], nb[None, :]) * percent)
-                p, q = np.nonzero(ok)
-                for s in range(0, len(p), 1 << 15):
-                    ps, qs = p[s : s + (1 << 15)], q[s : s + (1 << 15)]
-                    d = np.bitwise_count(wa[ps] ^ wb[qs]).sum(axis=1, dtype=np.int64)
-                    near = d * (100 + percent) <= (na[ps] + nb[qs]) * (100 - percent)
-                    x, y = a[ps[near]], b[qs[near]]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"])
+                    sides.append((node, label, n, _sketches(flat.field("sketch"))))
+                (a, la, na, xa), (b, lb, nb, xb) = sides
+                twice = len(a) == len(b) and bool((a == b).all())  # a block and itself: each pair once
+                p, q = np.nonzero((la[:, None] != lb[None, :]) & _similar(na[:, None], nb[None, :], percent) & (a[:, None] < b[None, :] if twice else True))
+                if not len(p):
+                    continue
+                d, total = _distances(xa, xb, p, q), na[p] + nb[q]
+                keep = np.flatnonzero(d * (100 + percent) <= total * (100 - percent))
+                if forest:
+                    keep = keep[np.argsort(d[keep] / total[keep], kind="stable")]
+                    names, index = np.unique(np.concatenate([la[p[keep]], lb[q[keep]]]), return_inverse=True)
+                    keep = keep[_forest(index[: len(keep)], index[len(keep) :], len(names))]
+                x, y = a[p[keep]], b[q[keep]]
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"])
 
     return run
 
 
-def residual(members: DataFrame, labels: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of different labels that share a bucket and may link."""
-    m = members.select("key", "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+def residual(members: DataFrame, labels: DataFrame, sketches: DataFrame, percent: int, forest: bool) -> DataFrame:
+    """Pairs (a, b) of different labels that share a bucket and may link, but for those with a bucket's least node.
+
+    Members of a bucket's most frequent label, which may be nearly all, aren't compared with one another.
+    """
+    m = members.where("node <> lo").select("key", "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     same = [F.bit_xor(F.xxhash64("node", F.lit(i))).alias(f"d{i}") for i in (1, 2)]
-    mixed = m.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("size"), *same).where("lo <> hi")
+    each = m.groupBy("key", "label").agg(F.count("*").alias("many"), *same)
+    mixed = each.groupBy("key").agg(F.sum("many").alias("size"), F.max(F.struct("many", "label")).alias("top"), *[F.bit_xor(f"d{i}").alias(f"d{i}") for i in (1, 2)]).where("top.many < size")
     # near misses share many pieces: of buckets with the same members one is compared
-    mixed = mixed.groupBy("size", "d1", "d2").agg(F.min("key").alias("key")).select("key", "size")
-    m = m.join(mixed, "key").join(sketches, "node")
-    m = m.withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("node", F.lit(1)), F.col("blocks")).cast("int"))
-    block = stash(m.groupBy("key", "blocks", "block").agg(F.collect_set(F.struct("node", "label", "n", "sketch")).alias("left")), "blocks")
-    whole = block.where("blocks = 1").select("left", F.col("left").alias("right"))
-    cut = block.where("blocks > 1")
+    mixed = mixed.groupBy("size", "d1", "d2").agg(F.min(F.struct("key", "top.label")).alias("x")).select("x.key", "size", F.col("x.label").alias("first"))
+    m = stash(m.join(mixed, "key"), "mixed")
+    # and buckets with one most frequent label are one where their members together make fewer pairs than each bucket for itself
+    cost = m.select("key", "size", "first").distinct().groupBy("first").agg(F.sum(F.col("size").cast("double") * F.col("size")).alias("apart"), F.count("*").alias("keys"))
+    joint = m.join(cost.where("keys > 1"), "first").groupBy("first", "node").agg(F.first("apart").alias("apart")).groupBy("first").agg(F.count("*").alias("n"), F.first("apart").alias("apart"))
+    joint = joint.where(F.col("n").cast("double") * F.col("n") <= F.col("apart")).select("first", F.lit(True).alias("joint"))
+    m = m.join(joint, "first", "left").select(F.when(F.col("joint"), F.xxhash64("first", F.lit(1))).otherwise(F.col("key")).alias("key"), "first", "node", "label").distinct()
+    m = stash(m, "compared")
+    count = m.groupBy("key").agg(F.count("*").alias("size"), F.count_if(F.col("label") == F.col("first")).alias("many"))
+    small = F.col("size") <= BLOCK
+    tops = F.when(small, 1).otherwise(F.greatest(F.ceil(F.col("many") / BLOCK), F.lit(1))).cast("int")
+    rests = F.when(small, 0).otherwise(F.ceil((F.col("size") - F.col("many")) / BLOCK)).cast("int")
+    x = m.join(count, "key").join(sketches, "node").withColumn("tops", tops).withColumn("rests", rests)
+    h = F.xxhash64("node", F.lit(1))
+    at = F.when((F.col("rests") == 0) | (F.col("label") == F.col("first")), F.pmod(h, F.col("tops"))).otherwise(F.col("tops") + F.pmod(h, F.greatest("rests", F.lit(1)))).cast("int")
+    block = stash(x.withColumn("block", at).groupBy("key", "tops", "rests", "block").agg(F.collect_list(F.struct("node", "label", "n", "sketch")).alias("left")), "blocks")
+    whole = block.where("rests = 0").select("left", F.col("left").alias("right"))
+    cut = block.where("rests > 0")
     other = cut.select("key", F.col("block").alias("other"), F.col("left").alias("right"))
-    pairs = cut.withColumn("other", F.explode(F.sequence("block", F.col("blocks") - 1))).join(other, ["key", "other"])
-    return whole.union(pairs.select("left", "right")).mapInArrow(_across(percent), "a long, b long").distinct()
+    # a block of the rest meets all blocks of the first label and those of the rest from itself on
+    meets = F.concat(F.sequence(F.lit(0), F.col("tops") - 1), F.sequence("block", F.col("tops") + F.col("rests") - 1))
+    pairs = cut.where("block >= tops").withColumn("other", F.explode(meets)).join(other, ["key", "other"])
+    found = stash(whole.unionByName(pairs.select("left", "right")).mapInArrow(_across(percent, forest), "a long, b long").distinct(), "across")
+    unstash(block)
+    unstash(m)
+    return found
+
+
+def merge(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """labels (node, label) with those joined that further links (a, b) connect; links may name nodes without a label."""
+    named = links
+    for end in ("a", "b"):
+        named = named.join(labels.select(F.col("node").alias(end), F.col("label").alias("up")), end, "left").withColumn(end, F.coalesce("up", end)).drop("up")
+    upper = components(named).select(F.col("node").alias("label"), F.col("label").alias("up"))
+    single = links.select(F.col("a").alias("node")).union(links.select(F.col("b").alias("node"))).distinct().join(labels, "node", "left_anti").select("node", F.col("node").alias("label"))
+    return stash(labels.unionByName(single).join(upper, "label", "left").select("node", F.coalesce("up", "label").alias("label")), "merged")
 
 
 def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 3, percent: int = 90) -> tuple[DataFrame, DataFrame]:
-    """The sketched documents, and (node, label) of the nodes that link with another."""
+    """The sketched documents, and (node, label, first_id) of the nodes that link with another."""
     seed = 0
     while True:
         base = stash(sketch(docs, id_col, text_col, k, percent, seed), "sketch")
@@ -317,17 +491,13 @@ def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: in
     members = stash(each.where("lo <> hi").select("part", "key", "node", "lo").distinct().drop("part"), "members")
     held = base.where(F.size("sketch") > 0).groupBy("node").agg(F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"))
     sketches = stash(held.join(members.select("node").distinct(), "node", "left_semi"), "sketches")
-    verify = Verifier(docs, id_col, text_col, k, percent, seed, nodes, sketches)
-    star = verify(members.where("node <> lo").select(F.col("lo").alias("a"), F.col("node").alias("b")).distinct())
-    labels = components(stash(star, "star"))
-    more = stash(verify(residual(members, labels, sketches, percent)), "more")
-    named = more
-    for end in ("a", "b"):
-        named = named.join(labels.select(F.col("node").alias(end), F.col("label").alias("up")), end, "left").withColumn(end, F.coalesce("up", end)).drop("up")
-    upper = components(named).select(F.col("node").alias("label"), F.col("label").alias("up"))
-    single = more.select(F.col("a").alias("node")).union(more.select(F.col("b").alias("node"))).distinct().join(labels, "node", "left_anti").select("node", F.col("node").alias("label"))
-    labels = labels.unionByName(single).join(upper, "label", "left").select("node", F.coalesce("up", "label").alias("label"))
-    return base, nodes.select("node", "first_id").join(labels, "node", "left")
+    verify = Verifier(docs, id_col, text_col, k, percent, seed, nodes)
+    labels = components(verify(near(members.where("node <> lo").select(F.col("lo").alias("a"), F.col("node").alias("b")).distinct(), sketches, percent)))
+    for forest in (True, False):  # most links by few pairs; then every pair that is left
+        labels = merge(labels, verify(salted(residual(members, labels, sketches, percent, forest))[0]))
+    for done in (members, sketches):
+        unstash(done)
+    return base, labels.join(nodes.select("node", "first_id"), "node")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
@@ -339,10 +509,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     null. The id column must hold integers. Other columns are left out; an empty table gives no rows.
     """
     base, nodes = links(docs, id_col, text_col, k, percent)
-    first = nodes.groupBy("label").agg(F.min("first_id").alias("least")).where(F.col("label").isNotNull())
-    named = nodes.join(first, "label", "left").select("node", F.coalesce("least", "first_id").alias("component_id"))
-    out = base.select("doc_id", "n_shingles", "node").join(named, "node", "left")
-    return out.select(F.col("doc_id").alias(id_col), "n_shingles", F.coalesce("component_id", F.when(F.col("node").isNull(), F.col("doc_id"))).alias("component_id"))
+    first = nodes.groupBy("label").agg(F.min("first_id").alias("least"))
+    named = nodes.join(first, "label").select(F.col("node").alias("_node"), "least")
+    known = base.where(F.col("doc_id").isNotNull() & F.col("node").isNotNull()).groupBy(F.col("node").alias("_node")).agg(F.min("doc_id").alias("first_id"))
+    known = known.join(named, "_node", "left").select("_node", F.coalesce("least", "first_id").alias("component_id"))
+    # texts without words have no node: they are dealt by their ids
+    out = base.select("doc_id", "n_shingles", "node", F.coalesce("node", F.xxhash64("doc_id")).alias("_node")).join(known, "_node", "left")
+    component = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
+    return out.select(F.col("doc_id").alias(id_col), "n_shingles", component.alias("component_id"))
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80) -> DataFrame:

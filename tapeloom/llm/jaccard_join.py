@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tapeloom.llm.common import _mix, restrict, shingles, slices, stash, text_bytes, unstash, words
+from tapeloom.llm.common import _mix, checked_broadcast, restrict, shingles, slices, stash, text_bytes, unstash, words
 from tapeloom.llm.components import components
 
 #: Members of a block.
@@ -34,6 +34,8 @@ BLOCK = 256
 PACK_KEYS, PACK_NODES = 1 << 20, 30_000
 #: Pairs of one node that are verified together, and the nodes with more that may be broadcast (16 MB).
 HUB_PAIRS, HUBS = 1024, 1_000_000
+#: Labels, with a number each, that may be broadcast (16 MB).
+LABELS = 1_000_000
 #: Wanted documents and their pairs that may be broadcast to the texts (24 bytes each, 40 MB); more are joined by shuffle.
 BROADCAST_ROWS, BROADCAST_ITEMS = 300_000, 1_000_000
 _RATIO = 1.5
@@ -439,12 +441,14 @@ def residual(members: DataFrame, labels: DataFrame, sketches: DataFrame, percent
     mixed = each.groupBy("key").agg(F.sum("many").alias("size"), F.max(F.struct("many", "label")).alias("top"), *[F.bit_xor(f"d{i}").alias(f"d{i}") for i in (1, 2)]).where("top.many < size")
     # near misses share many pieces: of buckets with the same members one is compared
     mixed = mixed.groupBy("size", "d1", "d2").agg(F.min(F.struct("key", "top.label")).alias("x")).select("x.key", "size", F.col("x.label").alias("first"))
-    m = stash(m.join(mixed, "key"), "mixed")
+    mixed = stash(mixed, "mixed")
+    m = m.join(mixed, "key")
     # and buckets with one most frequent label are one where their members together make fewer pairs than each bucket for itself
-    cost = m.select("key", "size", "first").distinct().groupBy("first").agg(F.sum(F.col("size").cast("double") * F.col("size")).alias("apart"), F.count("*").alias("keys"))
-    joint = m.join(cost.where("keys > 1"), "first").groupBy("first", "node").agg(F.first("apart").alias("apart")).groupBy("first").agg(F.count("*").alias("n"), F.first("apart").alias("apart"))
-    joint = joint.where(F.col("n").cast("double") * F.col("n") <= F.col("apart")).select("first", F.lit(True).alias("joint"))
-    m = m.join(joint, "first", "left").select(F.when(F.col("joint"), F.xxhash64("first", F.lit(1))).otherwise(F.col("key")).alias("key"), "first", "node", "label").distinct()
+    cost = mixed.groupBy("first").agg(F.sum(F.col("size").cast("double") * F.col("size")).alias("apart"), F.count("*").alias("keys")).where("keys > 1")
+    cost = stash(cost.select("first", "apart"), "cost")
+    joint = m.join(checked_broadcast(cost, LABELS), "first").groupBy("first", "node").agg(F.first("apart").alias("apart")).groupBy("first").agg(F.count("*").alias("n"), F.first("apart").alias("apart"))
+    joint = stash(joint.where(F.col("n").cast("double") * F.col("n") <= F.col("apart")).select("first", F.lit(True).alias("joint")), "joint")
+    m = m.join(checked_broadcast(joint, LABELS), "first", "left").select(F.when(F.col("joint"), F.xxhash64("first", F.lit(1))).otherwise(F.col("key")).alias("key"), "first", "node", "label").distinct()
     m = stash(m, "compared")
     count = m.groupBy("key").agg(F.count("*").alias("size"), F.count_if(F.col("label") == F.col("first")).alias("many"))
     small = F.col("size") <= BLOCK

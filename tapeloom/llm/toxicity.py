@@ -3,12 +3,14 @@
 Tokens are words of letters and digits, and their four- and five-byte beginnings. A token's score is the lower bound of its
 log-odds between toxic and other training documents under an informative Dirichlet prior (the tokens' overall rates);
 toxic documents count once for each left neighbour of the token, so that words that merely stand in copies of a toxic text
-aren't listed. A linear-time scan finds all maximal scoring segments of a text; their
-scores are calibrated by the extreme-value law of Karlin and Altschul, and one logistic curve maps the result to 0..1.
+aren't listed. A linear-time scan finds all maximal scoring segments of a text. Their scores are calibrated by the
+extreme-value law of Karlin and Altschul, its two parameters fitted to the clean texts; the law of sums of the highest
+scores aggregates all passages of a text, and one logistic curve maps the result to 0..1.
 """
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 import numpy as np
@@ -24,6 +26,11 @@ TRAIN_ROWS = 20_000
 PRIOR, PRIOR_SHARE = 500.0, 0.1
 BOUND_Z = 2.33
 LEAST_DOCS = 3
+#: A listed token's rate in toxic documents is so many times that in others. Of so many tokens some look toxic by chance,
+#: but only by little; and the ordinary words among them would make long segments of any text.
+LEAST_RATIO = 9.0
+#: Share of clean texts by whose highest scores K is fitted.
+TAIL = 0.005
 _GAPS = np.ones(256, dtype=bool)
 _GAPS[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
 _BEGINNINGS = (4, 5)
@@ -67,6 +74,29 @@ class Lexicon:
         expected = self.factor * np.maximum(size, 1) * np.exp(-self.decay * np.maximum(best, 0))
         return np.where(best > 0, np.clip(-np.log10(np.maximum(-np.expm1(-expected), 1e-300)), 0, _MOST), 0.0)
 
+    def evidence(self, cuts: list[list[tuple[int, int, float]]], size: np.ndarray) -> np.ndarray:
+        """-log10 of the chance that a clean text of that many words has passages as telling as these, all of them together.
+
+        The r highest scores, each times lambda less ln(K n), sum to T with a chance of about exp(-T) T^(r-1) / (r! (r-1)!);
+        the most telling r counts, at half the weight for each further passage.
+        """
+        out = self.significance(np.array([max((x[2] for x in c), default=0.0) for c in cuts]), size)
+        shift = np.log(self.factor * np.maximum(size, 1))
+        for i, c in enumerate(cuts):
+            if len(c) < 2:
+                continue
+            total, best = 0.0, out[i]
+            for r, v in enumerate(sorted((x[2] for x in c), reverse=True), 1):
+                one = self.decay * v - shift[i]
+                if one <= 0:
+                    break  # not above what a clean text shows
+                total += one
+                if r > 1:
+                    log_p = -total + (r - 1) * math.log(total) - math.lgamma(r + 1) - math.lgamma(r) + r * math.log(2)
+                    best = max(best, -log_p / math.log(10))
+            out[i] = min(best, _MOST)
+        return out
+
 
 def segments(score: np.ndarray) -> list[tuple[int, int, float]]:
     """All maximal scoring segments (first, end, score), left to right, in linear time.
@@ -135,7 +165,7 @@ def fit(docs: DataFrame, labels: DataFrame, target: str = "toxic", mod: int = 5,
         counted = rows.select("text", "label").mapInArrow(_counts, "token long, y1 long, y0 long").groupBy("token").agg(F.sum("y1").alias("y1"), F.sum("y0").alias("y0"))
         found = counted.where(F.col("y1") >= LEAST_DOCS).toPandas()
         y1, y0 = found["y1"].to_numpy(float), found["y0"].to_numpy(float)
-        good = log_odds(y1, y0, n1, n0) > 0
+        good = (log_odds(y1, y0, n1, n0) > 0) & (y1 / n1 >= LEAST_RATIO * y0 / n0)
         token, y1, y0 = found["token"].to_numpy(np.int64)[good], y1[good], y0[good]
         order = np.argsort(token)
         token, y1, y0 = token[order], y1[order], y0[order]
@@ -157,9 +187,9 @@ def fit(docs: DataFrame, labels: DataFrame, target: str = "toxic", mod: int = 5,
             contexts[[r["at"] for r in pairs]] = [r["count"] for r in pairs]
         spread = np.minimum(y1, contexts)
         value = log_odds(spread, y0, n1, n0)
-        keep = value > 0
+        keep = (value > 0) & (spread / n1 >= LEAST_RATIO * y0 / n0)
         lexicon, values = token[keep], value[keep]
-        return _calibrate(rows, Lexicon(lexicon, values, -0.02, 1.0, 0.1, (1.0, 0.0)), n1, n0)
+        return _calibrate(rows, Lexicon(lexicon, values, -0.02, 1.0, 0.1, (1.0, 0.0)), y0[keep])
     finally:
         rows.unpersist()
 
@@ -173,36 +203,57 @@ def _best(model: Lexicon, piece: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray
     return best, np.diff(bounds), listed, cuts
 
 
-def _calibrate(rows: DataFrame, model: Lexicon, n1: float, n0: float) -> Lexicon:
-    """The score of unlisted words from their rates in both classes, lambda from the clean texts, and the curve."""
+def _calibrate(rows: DataFrame, model: Lexicon, clean: np.ndarray) -> Lexicon:
+    """The score of unlisted words from their rates in both classes, lambda and K from the clean texts, and the curve.
+
+    clean: the clean documents with each listed token.
+    """
 
     def numbers(of: Lexicon):
         def run(batches):
             for batch in batches:
                 for piece in slices(batch, "text"):
-                    best, size, listed, _ = _best(of, piece)
-                    yield pa.RecordBatch.from_arrays([piece.column("label").cast(pa.int64()), pa.array(best), pa.array(size), pa.array(listed)], names=["label", "best", "size", "listed"])
+                    best, size, listed, cuts = _best(of, piece)
+                    yield pa.RecordBatch.from_arrays([piece.column("label").cast(pa.int64()), pa.array(best), pa.array(size), pa.array(listed), pa.array(of.evidence(cuts, size))], names=["label", "best", "size", "listed", "x"])
 
-        got = rows.select("text", "label").mapInArrow(run, "label long, best double, size long, listed long").toPandas()
-        return (got["label"].to_numpy() > 0), got["best"].to_numpy(), got["size"].to_numpy(float), got["listed"].to_numpy(float)
+        got = rows.select("text", "label").mapInArrow(run, "label long, best double, size long, listed long, x double").toPandas()
+        return (got["label"].to_numpy() > 0), got["best"].to_numpy(), got["size"].to_numpy(float), got["listed"].to_numpy(float), got["x"].to_numpy()
 
-    y, _, size, listed = numbers(model)
+    y, _, size, listed, _ = numbers(model)
     rate1 = (listed[y].sum() + 0.5) / (size[y].sum() + 1)
     rate0 = (listed[~y].sum() + 0.5) / (size[~y].sum() + 1)
     other = min(-1e-3, float(np.log((1 - rate1) / (1 - rate0))) if rate1 < 1 else -1.0)
-    mean = float(model.value.mean()) if len(model.value) else 1.0
+    share = (clean + 0.5) / (size[~y].sum() + len(clean) + 1)
     lo, hi = 1e-6, 50.0
     for _ in range(80):  # lambda: the positive root of E[exp(lambda s)] = 1 over clean words
         mid = (lo + hi) / 2
-        lo, hi = (mid, hi) if rate0 * np.exp(min(mid * mean, 700)) + (1 - rate0) * np.exp(mid * other) < 1 else (lo, mid)
+        lo, hi = (mid, hi) if (share * np.exp(np.minimum(mid * model.value, 700))).sum() + (1 - share.sum()) * np.exp(mid * other) < 1 else (lo, mid)
     model = Lexicon(model.token, model.value, other, max(lo, 0.05), 0.1, (1.0, 0.0))
-    y, best, size, _ = numbers(model)
-    x = model.significance(best, size)
+    y, best, size, _, _ = numbers(model)
+    model = Lexicon(model.token, model.value, other, model.decay, _factor(best[~y], size[~y], model), (1.0, 0.0))
+    y, _, _, _, x = numbers(model)
     order = np.lexsort((x, y))
     w = fit_logistic(x[order][:, None], y[order].astype(float), ridge=1e-5)
     return Lexicon(model.token, model.value, model.other, model.decay, model.factor, (float(w[0]), float(w[1])))
 
 
+def _factor(best: np.ndarray, size: np.ndarray, model: Lexicon) -> float:
+    """K of the extreme-value law: so that as many clean texts are expected to show a high score as did.
+
+    That score is the one that TAIL of them reach, which a few wrong labels don't move; it is a listed word's least score if
+    so many don't reach even that.
+    """
+    if not len(best) or not len(model.value):
+        return 0.1
+    level = max(float(np.quantile(best, 1 - TAIL, method="higher")), float(model.value.min()))
+    met = max(float((best >= level).sum()), 0.5)
+    lo, hi = 1e-9, 1e6
+    for _ in range(100):
+        mid = (lo * hi) ** 0.5
+        lo, hi = (mid, hi) if -np.expm1(-mid * np.maximum(size, 1) * np.exp(-model.decay * level)).sum() < met else (lo, mid)
+    return lo
+
+
 def score(docs: DataFrame, model: Lexicon, text_col: str = "text", keep_text: bool = True, with_segments: bool = True) -> DataFrame:
     """docs with score (0 to 1) and segments, each (first word, end word, score, significance) of a toxic passage.
 
@@ -218,8 +269,8 @@ def score(docs: DataFrame, model: Lexicon, text_col: str = "text", keep_text: bo
     def run(batches):
         for batch in batches:
             for piece in slices(batch, text_col):
-                best, size, _, cuts = _best(model, pa.RecordBatch.from_arrays([piece.column(text_col)], names=["text"]))
-                value = 1 / (1 + np.exp(-np.clip(model.curve[0] * model.significance(best, size) + model.curve[1], -30, 30)))
+                _, size, _, cuts = _best(model, pa.RecordBatch.from_arrays([piece.column(text_col)], names=["text"]))
+                value = 1 / (1 + np.exp(-np.clip(model.curve[0] * model.evidence(cuts, size) + model.curve[1], -30, 30)))
                 columns = [*(piece.column(n) for n in names), pa.array(value)]
                 fields = [*(piece.schema.field(n) for n in names), pa.field("score", pa.float64())]
                 if with_segments:

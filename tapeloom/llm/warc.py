@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 # The digits of base 32 as Java's conv() and as RFC 4648 write them.
 _CONV, _RFC = "0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 _DATE = "2024-01-01T00:00:00Z"
-#: Rows of an archive file, so that a file stays of a size that one task reads.
-FILE_ROWS = 20_000
+#: Rows of an archive file, and bytes of payloads, so that a file stays of a size that one task reads; it's read whole.
+FILE_ROWS, FILE_BYTES = 20_000, 256 << 20
 
 
 def base32_sha1(data: Column) -> Column:
@@ -64,8 +64,11 @@ def write(pages: DataFrame, path: str, min_bytes: int = 0) -> None:
     """Writes one capture per row of pages (page_id, url, html) to gzip archives under path.
 
     Control characters and blanks in a URL are written as %20, a null URL as about:blank; an empty table writes archives
-    without records. Extra columns are ignored.
+    without records. Extra columns are ignored. A file has no more than FILE_ROWS captures, and fewer where a payload is so
+    long that FILE_BYTES could be passed; a payload longer than that has a file of its own.
     """
+    longest = pages.agg(F.max(F.octet_length(F.coalesce("html", F.lit("")))).alias("n")).first()["n"] or 0
+    most = max(1, min(FILE_ROWS, FILE_BYTES // max(longest, 1)))
     rows = plan(pages, min_bytes)
     name = F.coalesce(F.col("page_id").cast("string"), F.lit("null"))
 
@@ -83,17 +86,11 @@ def write(pages: DataFrame, path: str, min_bytes: int = 0) -> None:
     capture = _record(F.col("record_type"), main, body, "application/http; msgtype=response", target, F.concat(F.lit("WARC-Payload-Digest: sha1:"), F.col("digest")), refers, profile)
     asked = F.concat(F.lit("GET "), uri, F.lit(" HTTP/1.1\r\nAccept: text/html\r\n\r\n"))
     request = _record("request", ident("request", name), asked, "application/http; msgtype=request", target, beside)
-    facts = F.concat_ws(
-        "\r\n",
-        F.concat(F.lit("pageId: "), F.col("page_id").cast("string")),
-        F.concat(F.lit("payloadLength: "), F.col("n_bytes").cast("string")),
-        F.concat(F.lit("refersToPage: "), F.col("refers_to").cast("string")),
-        F.lit(""),
-    )
+    facts = F.concat_ws("\r\n", F.concat(F.lit("pageId: "), F.col("page_id").cast("string")), F.lit(""))
     metadata = _record("metadata", ident("metadata", name), facts, "application/warc-fields", target, beside)
     whole = F.concat(request, capture, metadata)
     text = rows.select(F.substring(whole, F.lit(1), F.length(whole) - 1).alias("value"))
-    text.write.option("lineSep", "\n").option("compression", "gzip").option("maxRecordsPerFile", FILE_ROWS).text(path)
+    text.write.option("lineSep", "\n").option("compression", "gzip").option("maxRecordsPerFile", most).text(path)
 
 
 def _b32(payload: bytes) -> str:
@@ -129,7 +126,8 @@ def read(spark: SparkSession, path: str, with_payload: bool = True) -> DataFrame
     """One row per record of the archives (.warc, or gzip of any number of members) under path.
 
     HTTP blocks are split into head and payload, whose length and digest are computed from the bytes read; warc-fields
-    blocks give a map. A file is parsed as a stream by one task, a damaged one raises ValueError.
+    blocks give a map. A file is read whole by one task (below 2 GB as it lies there) and unpacked record by record; a
+    damaged one raises ValueError.
     """
     schema = _SCHEMA + (", payload binary" if with_payload else "")
     fields = _FIELDS if with_payload else _FIELDS[:-1]
@@ -168,10 +166,10 @@ def read(spark: SparkSession, path: str, with_payload: bool = True) -> DataFrame
 
 
 def assemble(records: DataFrame) -> DataFrame:
-    """One nested row per capture: its response or revisit, with request and metadata found by their concurrent-to id.
+    """One nested row per capture: its response or revisit, with request and metadata found by their concurrent-to id, and of a revisit the response that it refers to.
 
-    A capture that lacks a request or metadata keeps null there; of several, any one is taken (a repeated capture repeats
-    them alike); requests and metadata that name no capture are left out. Repeated responses stay repeated.
+    A capture that lacks a request, metadata or what it refers to keeps null there; of several, any one is taken (a repeated
+    capture repeats them alike); requests and metadata that name no capture are left out. Repeated responses stay repeated.
     """
     record = F.struct(*[c for c in records.columns if c not in ("concurrent_to", "record_id")])
 
@@ -181,19 +179,24 @@ def assemble(records: DataFrame) -> DataFrame:
         return mine.groupBy(F.col("concurrent_to").alias("capture_id")).agg(F.first(kept).alias(kind))
 
     main = records.where(F.col("record_type").isin("response", "revisit")).select(F.col("record_id").alias("capture_id"), record.alias("response"))
-    return main.join(beside("request"), "capture_id", "left").join(beside("metadata"), "capture_id", "left")
+    whole = main.join(beside("request"), "capture_id", "left").join(beside("metadata"), "capture_id", "left")
+    first = whole.where("response.record_type = 'response'").groupBy(F.col("capture_id").alias("_refers")).agg(
+        F.first(F.struct(F.col("metadata.fields").alias("fields"), F.col("response.payload_bytes").alias("payload_bytes"), F.col("response.payload_digest").alias("payload_digest"))).alias("referred")
+    )
+    # what refers to nothing is dealt by its own id
+    return whole.withColumn("_refers", F.coalesce("response.refers_to_id", "capture_id")).join(first, "_refers", "left").withColumn("referred", F.when(F.col("response.record_type") == "revisit", F.col("referred"))).drop("_refers")
 
 
 def digest(captures: DataFrame) -> DataFrame:
-    """Per capture: page_id, payload_bytes, payload_digest, record_type, refers_to; of the full payload, also for revisits."""
-    r, facts = "response", F.col("metadata.fields")
-    revisit = F.col(f"{r}.record_type") == "revisit"
+    """Per capture: page_id, payload_bytes, payload_digest, record_type, refers_to; of the full payload, which for revisits is that of the response referred to."""
+    r = F.col("response")
+    revisit = r["record_type"] == "revisit"
     return captures.select(
-        facts["pageId"].cast("long").alias("page_id"),
-        F.when(revisit, facts["payloadLength"].cast("long")).otherwise(F.col(f"{r}.payload_bytes")).alias("payload_bytes"),
-        F.when(revisit, F.col(f"{r}.declared_digest")).otherwise(F.col(f"{r}.payload_digest")).alias("payload_digest"),
-        F.col(f"{r}.record_type").alias("record_type"),
-        facts["refersToPage"].cast("long").alias("refers_to"),
+        F.col("metadata.fields")["pageId"].cast("long").alias("page_id"),
+        F.when(revisit, F.col("referred.payload_bytes")).otherwise(r["payload_bytes"]).alias("payload_bytes"),
+        F.when(revisit, F.col("referred.payload_digest")).otherwise(r["payload_digest"]).alias("payload_digest"),
+        r["record_type"].alias("record_type"),
+        F.when(revisit, F.col("referred.fields")["pageId"].cast("long")).alias("refers_to"),
     )
 
 

@@ -83,6 +83,11 @@ def restrict(df: DataFrame, ids: DataFrame, column: str, keep: bool) -> DataFram
     return df.join(ids, column, "left_semi" if keep else "left_anti")
 
 
+def checked_broadcast(df: DataFrame, most: int) -> DataFrame:
+    """df, a stash of narrow rows, marked for broadcast if it has no more than `most`; else as it is, for a join by shuffle."""
+    return F.broadcast(df) if df.count() <= most else df
+
+
 def slices(batch: pa.RecordBatch, column: str):
     """Cuts a batch into pieces of about SLICE_BYTES of text, one row at least."""
     sizes = pc.binary_length(batch.column(column)).fill_null(0).to_pylist()

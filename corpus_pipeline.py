@@ -1,7 +1,11 @@
 """The corpus pipeline: from raw documents to token ids.
 
-Each stage takes (spark, docs, sf_dir) and returns the documents it keeps, with their columns; the last returns ids. A
-stage's result is written and read again before the next one.
+Each stage takes (spark, docs, sf_dir) and returns the documents it keeps, with their columns, whatever they are called; the
+last returns ids. A stage's result is written and read again before the next one.
+
+Null texts count as empty ones and stay null. Rows that share an id are each scored, redacted and encoded on its own, and as
+near duplicates they count as one document. An empty table of documents gives no rows; without labels nothing is rejected,
+without a benchmark nothing is contaminated.
 """
 
 from __future__ import annotations
@@ -20,28 +24,44 @@ SHINGLE_WORDS, SIMILARITY = 5, 80
 WINDOW_WORDS = 10
 
 
+def _bare(docs: DataFrame) -> DataFrame:
+    """doc_id, text, and all other columns in one, so that none can clash with what an operator adds."""
+    rest = [F.col(c) for c in docs.columns if c not in ("doc_id", "text")] or [F.lit(None).cast("string").alias("none")]
+    return docs.select("doc_id", "text", F.struct(*rest).alias("_rest"))
+
+
+def _whole(bare: DataFrame, docs: DataFrame) -> DataFrame:
+    """The columns of docs again."""
+    return bare.select(*[F.col(c) if c in ("doc_id", "text") else F.col("_rest")[c].alias(c) for c in docs.columns])
+
+
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents that score LEAST_QUALITY or more; empty texts are scored like others, and a tie with it stays."""
     model = quality.fit(docs, table(spark, sf_dir, "labels"))
-    return quality.score(docs, model).where(F.col("score") >= LEAST_QUALITY).select(*docs.columns)
+    return _whole(quality.score(_bare(docs), model).where(F.col("score") >= LEAST_QUALITY), docs)
 
 
 def keep_one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each component the rows of the smallest id; texts without words and rows without an id stay."""
     return jaccard_join.deduplicate(docs, k=SHINGLE_WORDS, percent=SIMILARITY)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return decontam.drop_contaminated(docs, table(spark, sf_dir, "benchmark"), n=WINDOW_WORDS)
+    """The documents in which no window of the benchmark occurs; empty texts have none."""
+    return _whole(decontam.drop_contaminated(_bare(docs), table(spark, sf_dir, "benchmark"), n=WINDOW_WORDS), docs)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    redacted = secrets.redact(secrets.scan(docs))
-    return redacted.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    """All documents, secrets in their texts replaced, n_chars (where there is such a column) counted anew; null texts stay null."""
+    redacted = _whole(secrets.redact(secrets.scan(_bare(docs))), docs)
+    return redacted.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else redacted
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    coded = bpe.encode_decode(docs, tokenizer_path("word_bpe_49k.json"))
+    """(doc_id, lang, source, n_tokens, ids) of all documents, in place of the texts and any other columns; an empty text has no ids."""
+    coded = bpe.encode_decode(_bare(docs), tokenizer_path("word_bpe_49k.json"))
     ids = F.when(F.col("n_tokens") > 0, F.split("ids", " ").cast("array<int>")).otherwise(F.array().cast("array<int>"))
-    return coded.select("doc_id", "lang", "source", "n_tokens", ids.alias("ids"))
+    return coded.select("doc_id", "_rest.lang", "_rest.source", "n_tokens", ids.alias("ids"))
 
 
 STAGES = [

@@ -76,7 +76,7 @@ def sweep_series(bars: DataFrame, kind: str, values: dict[str, list], *keys: str
     stamp = bars.schema["ts"].dataType.simpleString()
     series = bars.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("ts", F.col("close").cast("double").alias("close"), F.col("volume").cast("double").alias("volume")))).alias("bars"))
     parts = -(-len(combos) // chunk)
-    dealt = series.crossJoin(F.broadcast(bars.sparkSession.range(parts).withColumnRenamed("id", "part"))).repartition(min(parts * 64, 4096), *keys, "part")  # combos times keys
+    dealt = series.crossJoin(F.broadcast(bars.sparkSession.range(parts).withColumnRenamed("id", "part"))).repartition(4 * bars.sparkSession.sparkContext.defaultParallelism, *keys, "part")  # combos times keys
 
     def rolling(x: np.ndarray, n: int) -> np.ndarray:
         """Means of the last n values from the n-th on, of values less the first, so that equal values have equal means."""

@@ -41,6 +41,12 @@ def panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _priced(li.select(symbol.alias("symbol"), F.date_trunc("month", "l_shipdate").cast("date").alias("ts"), _cents("l_extendedprice").alias("cents"), F.col("l_quantity").alias("units")))
 
 
+def daily_total(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One series, ALL, of daily bars of all lines."""
+    li = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    return _priced(li.select(F.lit("ALL").alias("symbol"), F.col("l_shipdate").cast("date").alias("ts"), _cents("l_extendedprice").alias("cents"), F.col("l_quantity").alias("units")))
+
+
 def by_supplier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Daily bars of each supplier's lines, with gaps."""
     li = spark.read.parquet(f"{sf_dir}/lineitem.parquet")

@@ -408,6 +408,11 @@ def features(panel: DataFrame, formulas: dict[str, str], indicators: tuple[str,
     return out.select("symbol", "ts", *[((F.col(c) - F.avg(c).over(day)) / (F.stddev_samp(c).over(day) + F.lit(1e-8))).alias(c) for c in names])
 
 
+def ranked_importance(found: DataFrame) -> DataFrame:
+    """(feature, importance) with its place, the most important first; there's a row per feature."""
+    return found.withColumn("place", F.row_number().over(Window.orderBy(F.desc("importance"), "feature")))
+
+
 def save(values: DataFrame, path: str) -> None:
     """Factor values as Parquet, a folder a year."""
     values.withColumn("year", F.year("ts")).repartition("year").sortWithinPartitions("ts").write.mode("overwrite").partitionBy("year").option("compression", "zstd").parquet(path)

@@ -86,32 +86,42 @@ def recent_correlation(returns: DataFrame, key: str = "strategy", n: int = 60) -
     return found.withColumn("_many", F.count("*").over(Window.partitionBy())).where("_many > 1").drop("_many")
 
 
-def _bounded_simplex(v: np.ndarray, cap: float) -> np.ndarray:
-    """The nearest weights to v within 0..cap that sum to 1 (cap raised where that's impossible)."""
-    cap = max(cap, 1 / len(v))
-    lo, hi = v.min() - 1 - cap, v.max() + 1
-    for _ in range(100):
-        mid = (lo + hi) / 2
-        lo, hi = (mid, hi) if np.clip(v - mid, 0, cap).sum() > 1 else (lo, mid)
-    return np.clip(v - (lo + hi) / 2, 0, cap)
-
-
-def mean_variance(mu: np.ndarray, cov: np.ndarray, aversion: float = 1.0, cap: float = 0.20, steps: int = 3000) -> np.ndarray:
-    """Weights of greatest return less aversion times volatility, by projected gradient ascent."""
-    x = np.full(len(mu), 1 / len(mu))
-    best, best_value = x, -np.inf
-    for t in range(steps):
-        risk = np.sqrt(max(x @ cov @ x, 1e-18))
-        value = x @ mu - aversion * risk
-        if value > best_value:
-            best, best_value = x, value
-        x = _bounded_simplex(x + 0.5 / np.sqrt(t + 1) * (mu - aversion * cov @ x / risk), cap)
-    return best
+def mean_variance(mu: np.ndarray, cov: np.ndarray, aversion: float = 1.0, cap: float = 0.20, steps: int = 20_000) -> np.ndarray:
+    """Weights within 0..cap (raised to 1/n where that's needed) that sum to 1, of greatest return less aversion times volatility.
+
+    Weight moves from the asset of the least gradient to that of the greatest, as far as that helps, until none gains; the
+    aim is concave, so that is the best.
+    """
+    n = len(mu)
+    cap = max(cap, 1 / n)
+    x = np.full(n, 1 / n)
+    s = cov @ x
+    for _ in range(steps):
+        risk = np.sqrt(max(x @ s, 1e-18))
+        g = mu - aversion * s / risk
+        to, source = int(np.where(x < cap - 1e-12, g, -np.inf).argmax()), int(np.where(x > 1e-12, g, np.inf).argmin())
+        if not g[to] - g[source] > 1e-12 * np.abs(g).max():
+            break
+        a, b, c = mu[to] - mu[source], s[to] - s[source], cov[to, to] + cov[source, source] - 2 * cov[to, source]
+        lo, hi = 0.0, min(cap - x[to], x[source])
+
+        def slope(t, q=risk * risk, a=a, b=b, c=c):
+            return a - aversion * (b + t * c) / np.sqrt(max(q + 2 * t * b + t * t * c, 1e-18))
+
+        if slope(hi) > 0:
+            lo = hi
+        else:
+            for _ in range(60):
+                mid = (lo + hi) / 2
+                lo, hi = (mid, hi) if slope(mid) > 0 else (lo, mid)
+        x[to], x[source] = x[to] + lo, x[source] - lo
+        s = s + lo * (cov[:, to] - cov[:, source])
+    return x
 
 
 def frontier(mu: np.ndarray, cov: np.ndarray, n: int = 50, cap: float = 1.0) -> np.ndarray:
     """(volatility, return) of portfolios over a range of aversions."""
-    out = [mean_variance(mu, cov, a, cap, 500) for a in np.geomspace(0.01, 100, n)]
+    out = [mean_variance(mu, cov, a, cap) for a in np.geomspace(0.001, 10, n)]
     return np.array([[np.sqrt(x @ cov @ x), x @ mu] for x in out])
 
 

@@ -930,8 +930,9 @@ def _(spark, sf):
 
 
 def _more() -> None:
-    """Adds the queries of the other module, which builds on this one."""
-    import tapeloom.plans.registry_research  # noqa: F401
+    """Adds the queries of the other modules, which build on this one."""
+    import tapeloom.plans.registry_research
+    import tapeloom.plans.registry_rest  # noqa: F401
 
 
 _more()

@@ -321,3 +321,63 @@ def test_sliding_and_session_windows(spark, tmp_path):
 
 def test_shared_place_is_below_the_checkpoint_folder(spark):
     assert session.shared_place(spark, "x").startswith(spark.conf.get("spark.checkpoint.dir"))
+
+
+def test_guard(spark, walks):
+    from tapeloom.functions.windows import LookaheadError
+    from tapeloom.operators.guards import Guard
+
+    rows, b = walks
+    g = Guard(b, 20)
+    close = [x[5] for x in rows if x[0] == "S1"]
+
+    def seen(df):
+        return [r["close"] for r in df.where("symbol = 'S1'").orderBy("ts").collect()]
+
+    assert seen(g.rows()) == close[:21] and seen(g.rows(3, 7)) == close[3:7] and seen(g.rows(-4)) == close[17:21] and seen(g.rows(0, -19)) == close[:2]
+    assert seen(g.row(5)) == [close[5]] and seen(g.row(-1)) == [close[20]] and seen(g.row(-3)) == [close[18]]
+    assert seen(g.update_index(2).visible()) == close[:3]
+    for bad in (lambda: g.row(21), lambda: g.rows(0, 22)):
+        with pytest.raises(LookaheadError):
+            bad()
+    with pytest.raises(ValueError):
+        Guard(b, -1)
+    s = {r["symbol"]: r for r in g.stats("close").collect()}["S1"]
+    assert s["n"] == 21 and s["std"] == pytest.approx(np.std(close[:21], ddof=1))
+
+
+def test_simulated_paths(spark):
+    from tapeloom.plans import montecarlo
+
+    r = [0.01, -0.02, 0.03, 0.0, -0.01]
+    df = spark.createDataFrame([("a", DAY + dt.timedelta(days=i), x) for i, x in enumerate(r)] + [("b", DAY, 0.1)], "run_id string, ts date, r double").repartition(3)
+    draws = spark.range(200).selectExpr("id as path", "explode(sequence(1, 30)) as i").selectExpr("path", "i", "pmod(xxhash64(7, path, i), 5L) as k").collect()
+    worth, top, worst = (dict.fromkeys(range(200), v) for v in (1.0, 1.0, 0.0))
+    for d in sorted(draws, key=lambda d: (d["path"], d["i"])):
+        p = d["path"]
+        worth[p] *= 1 + r[d["k"]]
+        top[p] = max(top[p], worth[p])
+        worst[p] = min(worst[p], worth[p] / top[p] - 1)
+    paths = montecarlo.bootstrap(df, 200, 30, seed=7)
+    got = {x["path"]: x for x in paths.where("run_id = 'a'").collect()}
+    for p in range(200):
+        assert got[p]["total_return"] == pytest.approx(worth[p] - 1) and got[p]["max_drawdown"] == pytest.approx(worst[p])
+    s = {x["run_id"]: x for x in montecarlo.summary(paths).collect()}
+    assert s["a"]["n_paths"] == 200 and s["a"]["p05"] == pytest.approx(np.percentile([worth[p] - 1 for p in range(200)], 5))
+    assert s["b"]["mean_return"] == pytest.approx(1.1**30 - 1)
+
+
+def test_frontier_is_made_of_best_portfolios():
+    rng = np.random.default_rng(1)
+    x = rng.normal(0.001, 0.01, (300, 4)) * np.arange(1, 5)
+    mu, cov = x.mean(axis=0), np.cov(x.T)
+    points = portfolio.frontier(mu, cov, n=6)
+    for risk_, gain in points:
+        for _ in range(300):
+            w = rng.dirichlet(np.ones(4))
+            assert not (np.sqrt(w @ cov @ w) < risk_ - 1e-7 and w @ mu > gain + 1e-9)
+    best = portfolio.mean_variance(mu, cov, 0.1, 0.5)
+    for _ in range(2000):
+        w = rng.dirichlet(np.ones(4))
+        if w.max() <= 0.5:
+            assert w @ mu - 0.1 * np.sqrt(w @ cov @ w) <= best @ mu - 0.1 * np.sqrt(best @ cov @ best) + 1e-12

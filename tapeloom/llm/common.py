@@ -88,12 +88,12 @@ def checked_broadcast(df: DataFrame, most: int) -> DataFrame:
     return F.broadcast(df) if df.count() <= most else df
 
 
-def slices(batch: pa.RecordBatch, column: str):
-    """Cuts a batch into pieces of about SLICE_BYTES of text, one row at least."""
+def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES):
+    """Cuts a batch into pieces of about so many bytes of text, one row at least."""
     sizes = pc.binary_length(batch.column(column)).fill_null(0).to_pylist()
     start, total = 0, 0
     for i, n in enumerate(sizes):
-        if i > start and total + n > SLICE_BYTES:
+        if i > start and total + n > limit:
             yield batch.slice(start, i - start)
             start, total = i, 0
         total += n

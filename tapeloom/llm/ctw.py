@@ -5,8 +5,8 @@ levels name a byte by its class (64 for the last two bytes, 16 for the third); b
 DEPTH bytes as they are. The top has at most 2^24 counts and travels; the contexts of bytes grow with the corpus and stay
 in a table, dealt by their last three bytes, so that a subtree lies in one place. Every node holds a Krichevsky-Trofimov
 estimate; the weights of all depths follow from the counts of the whole training set, and scoring mixes the estimates
-along a text's contexts: the most frequent ones (HOT_CONTEXTS at most) travel to the texts, all others are joined. Texts
-begin in, and end with, a byte that UTF-8 never uses, so that scores of texts are probabilities.
+along a text's contexts: the most frequent ones (HOT_CONTEXTS at most) travel to the texts, all others are joined. Contexts
+of texts that aren't learned from take their places in the tree without counts. Texts begin in, and end with, a byte that UTF-8 never uses, so that scores of texts are probabilities.
 
 Beside it stands an add-one model of words. Its counts grow with the corpus and are never gathered in one place: the most
 frequent words (HOT_WORDS at most) travel to the texts, all others are joined.
@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -27,12 +28,18 @@ HOT_WORDS = 131_072
 HOT_CONTEXTS = 2_000_000
 #: Bytes of the longest context: with the byte that follows, 56 bits.
 DEPTH = 6
+#: Bytes of texts that are counted or scored at once.
+TEXT_BYTES = 1 << 19
 #: Keys of subtrees that are weighed at a time.
-WEIGHED_KEYS = 300_000
+WEIGHED_KEYS = 200_000
+#: Parts of the counts for each shuffle partition; a task adds up one at a time.
+PARTS = 4
 #: Distinct words that a task sums before it passes them on.
 HELD_WORDS = 500_000
-#: And deep keys.
-HELD_CONTEXTS = 1_200_000
+#: And deep keys: 16 bytes each.
+HELD_CONTEXTS = 2_000_000
+#: Counts whose log gamma is looked up.
+_SMALL = 1 << 14
 _EDGE = 0xFF
 _END = _mix(np.array([0x656E64], dtype=np.uint64)).view(np.int64)[0]
 
@@ -112,9 +119,21 @@ def _lgamma(x: np.ndarray) -> np.ndarray:
     return (y - 0.5) * np.log(y) - y + 0.9189385332046727 + 1 / (12 * y) - 1 / (360 * y**3) + 1 / (1260 * y**5) - np.log(shift)
 
 
+_HALVES, _WHOLES = (_lgamma(np.arange(_SMALL) + x) for x in (0.5, 1.0))
+
+
+def _at(count: np.ndarray, table: np.ndarray, plus: float) -> np.ndarray:
+    """log gamma of count + plus, from the table where that reaches."""
+    out = table[np.minimum(count, _SMALL - 1).astype(np.int64)]
+    large = count >= _SMALL
+    if large.any():
+        out[large] = _lgamma(count[large] + plus)
+    return out
+
+
 def _kt(zero: np.ndarray, one: np.ndarray) -> np.ndarray:
-    """log of the Krichevsky-Trofimov block probability."""
-    return _lgamma(zero + 0.5) + _lgamma(one + 0.5) - _lgamma(zero + one + 1.0) - np.log(np.pi)
+    """log of the Krichevsky-Trofimov block probability; counts are whole."""
+    return _at(zero, _HALVES, 0.5) + _at(one, _HALVES, 0.5) - _at(zero + one, _WHOLES, 1.0) - np.log(np.pi)
 
 
 def _bits(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -194,18 +213,26 @@ def mixture(keys: np.ndarray, counts: np.ndarray, below: list[np.ndarray] | None
     return slot.reshape(-1), *(np.concatenate(x) for x in zip(*rows, strict=True))
 
 
+def _runs(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct values of a sorted array, and the index among them of each."""
+    new = np.append(True, x[1:] != x[:-1])[: len(x)]
+    return x[new], np.cumsum(new) - 1
+
+
 def _nodes(key: np.ndarray, n: np.ndarray):
     """Per level of the byte's bits, of sorted distinct deep keys with their subtrees whole: the index of each key's deepest node and its bit, and per depth 3 to DEPTH (node ids, parents' indices, zeros, ones, log KT, log block probability)."""
     kept = []
-    for d in range(3, DEPTH + 1):
+    for d in range(3, DEPTH):
         u, inverse = np.unique(key >> (8 * (DEPTH + 1 - d)) << 8 | key & 255, return_inverse=True)
         kept.append((u, np.bincount(inverse, n, len(u))))
+    kept.append((key, n.astype(float)))
     for bits in range(8):
         tree = []
         for u, count in kept:
-            ids, index = np.unique(u >> (8 - bits), return_inverse=True)
+            ids, index = _runs(u >> (8 - bits))
             bit = u >> (7 - bits) & 1
-            zero, one = (np.bincount(index, count * (bit == x), len(ids)) for x in (0, 1))
+            one = np.bincount(index, count * bit, len(ids))
+            zero = np.bincount(index, count, len(ids)) - one
             up = np.searchsorted(tree[-1][0], ids >> (bits + 8) << bits | ids & ((1 << bits) - 1)) if tree else None
             tree.append([ids, up, zero, one, _kt(zero, one), None])
         tree[-1][5] = tree[-1][4]
@@ -242,72 +269,119 @@ def price(key: np.ndarray, n: np.ndarray, top: tuple) -> np.ndarray:
     return out
 
 
-def _by_subtree(table: DataFrame, f, schema: str) -> DataFrame:
-    """f over (key, n) in order of the key, whole subtrees at a time; f gives a record batch."""
+def _merge(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct keys and the sums of their counts; parts are sorted, which the sort makes use of."""
+    key, n = (np.concatenate(x) for x in zip(*parts, strict=True))
+    order = np.argsort(key, kind="stable")
+    key, n = key[order], n[order]
+    new = np.flatnonzero(np.append(True, key[1:] != key[:-1])[: len(key)])
+    return key[new], np.add.reduceat(n, new) if len(new) else n
 
-    def run(batches):
-        held, size = [], 0
 
-        def ready(last: bool):
-            key, n = (np.concatenate(x) for x in zip(*held, strict=True))
-            cut = len(key) if last else int(np.searchsorted(key, key[-1] >> (8 * (DEPTH - 2)) << (8 * (DEPTH - 2))))
-            return (key[:cut], n[:cut]), (key[cut:], n[cut:])
+def _parts(kind: int, key: np.ndarray, n: np.ndarray, parts: int):
+    """Sums as rows (kind, part, keys, counts): deep keys by a hash of their last three bytes, so that subtrees stay whole, others by one of the key."""
+    place = _mix((key >> (8 * (DEPTH - 2)) if kind == 2 else key).view(np.uint64)) % np.uint64(parts)
+    order = np.argsort(place.astype(np.uint32), kind="stable")  # keys stay sorted within a part
+    place, key, n = place[order].astype(np.int32), key[order], n[order]
+    new = np.flatnonzero(np.append(True, place[1:] != place[:-1])[: len(place)])
+    edge = np.append(new, len(key)).astype(np.int32)
+    lists = [pa.ListArray.from_arrays(pa.array(edge), pa.array(x)) for x in (key, n)]
+    return pa.RecordBatch.from_arrays([pa.array(np.full(len(new), kind, np.int32)), pa.array(place[new]), *lists], names=["kind", "part", "keys", "counts"])
 
+
+def gather(rows: DataFrame, text_col: str = "text") -> DataFrame:
+    """(kind, part, keys, counts), sums of parts of the input: how often each word (kind 0, by hash; the end of a text is a word), each context key (kind 1) and each deep key (kind 2) occurs in rows marked `learn`; other rows add their deep keys with 0."""
+    parts = PARTS * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def run(batches):
+        contexts = np.zeros(1 << 24, dtype=np.uint32)  # 64 MB; a task reads far less than 2^32 bytes
+        held, size = {0: [], 2: []}, {0: 0, 2: 0}
         for batch in batches:
-            held.append((batch.column(0).to_numpy(), batch.column(1).to_numpy()))
-            size += batch.num_rows
-            if size > WEIGHED_KEYS:
-                done, rest = ready(False)
-                if len(done[0]):
-                    yield f(*done)
-                held, size = [rest], 0 if len(done[0]) else -len(rest[0])  # a large subtree is waited for in larger steps
-        if held and len((done := ready(True)[0])[0]):
-            yield f(*done)
+            for learn in (True, False):
+                mine = batch.filter(pc.equal(batch.column("learn"), learn))
+                for piece in slices(mine, text_col, TEXT_BYTES):
+                    data, offsets = text_bytes(piece.column(text_col))
+                    found = {2: deep_keys(data, offsets)}
+                    if learn:
+                        keys, _ = context_keys(data, offsets)
+                        np.add.at(contexts, keys, np.uint32(1))
+                        found[0] = np.append(words(data, offsets)[0].view(np.int64), np.full(piece.num_rows, _END))
+                    for kind, x in found.items():
+                        key, n = np.unique(x, return_counts=True)
+                        held[kind].append((key, n if learn else np.zeros(len(n), np.int64)))
+                        size[kind] += len(key)
+                        most = HELD_CONTEXTS if kind else HELD_WORDS
+                        if size[kind] > most:
+                            held[kind] = [_merge(held[kind])]
+                            size[kind] = len(held[kind][0][0])
+                            if size[kind] > most // 2:
+                                yield _parts(kind, *held[kind][0], parts)
+                                held[kind], size[kind] = [], 0
+        for kind in held:
+            if held[kind]:
+                yield _parts(kind, *_merge(held[kind]), parts)
+        used = np.flatnonzero(contexts)
+        if len(used):
+            yield _parts(1, used, contexts[used].astype(np.int64), parts)
 
-    return table.select("key", "n").repartition(F.shiftright("key", 8 * (DEPTH - 2))).sortWithinPartitions("key").mapInArrow(run, schema)
+    return rows.select(text_col, "learn").mapInArrow(run, "kind int, part int, keys array<long>, counts array<long>")
 
 
-def _merge(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    key, index = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
-    return key, np.bincount(index, np.concatenate([n for _, n in parts]), len(key)).astype(np.int64)
+_COUNTS = "kind int, keys array<long>, counts array<long>, value double"
 
 
-def gather(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """(kind, key, n): how often each word (kind 0, by hash; the end of a text is a word) and each context key (kind 1) and deep key (kind 2) occurs."""
+def _packed(kind: int, key: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([kind], pa.int32()), pa.array([key], pa.list_(pa.int64())), pa.array([n], pa.list_(pa.int64())), pa.array([None], pa.float64())], names=["kind", "keys", "counts", "value"])
 
-    def run(batches):
-        contexts = np.zeros(1 << 24, dtype=np.uint32)  # 64 MB; a task reads far less than 2^32 bytes
-        held, size = {0: [], 2: []}, {0: 0, 2: 0}
 
-        def out(kind: int, key: np.ndarray, n: np.ndarray):
-            for s in range(0, len(key), 100_000):
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key[s : s + 100_000]), kind, np.int32)), pa.array(key[s : s + 100_000]), pa.array(n[s : s + 100_000])], names=["kind", "key", "n"])
+def summed(found: DataFrame) -> DataFrame:
+    """The sums of gather() as rows (kind, keys, counts) of sorted keys; those of deep keys hold whole subtrees, WEIGHED_KEYS about.
+
+    One shuffle brings a part's rows together, and a task adds up a part at a time, a small share of its rows. Beside deep
+    keys go, as kind 3, the keys of under_classes with their sums of logs, one row each.
+    """
 
+    def under(key: np.ndarray, n: np.ndarray):
+        ids, logs = under_classes(key, n)
+        for s in range(0, len(ids), 50_000):
+            many = len(ids[s : s + 50_000])
+            lists = [pa.ListArray.from_arrays(pa.array(np.arange(many + 1, dtype=np.int32)), pa.array(x)) for x in (ids[s : s + 50_000], np.zeros(many, np.int64))]
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(many, 3, np.int32)), *lists, pa.array(logs[s : s + 50_000])], names=["kind", "keys", "counts", "value"])
+
+    def ready(kind: int, held: list):
+        key, n = _merge(held)
+        if kind != 2:
+            yield _packed(kind, key, n)
+            return
+        start = 0
+        while start < len(key):
+            end = len(key)
+            if end - start > WEIGHED_KEYS:  # up to the end of the subtree there
+                end = int(np.searchsorted(key, ((key[start + WEIGHED_KEYS] >> (8 * (DEPTH - 2))) + 1) << (8 * (DEPTH - 2))))
+            yield _packed(2, key[start:end], n[start:end])
+            yield from under(key[start:end], n[start:end])
+            start = end
+
+    def run(batches):
+        held, at = [], None
         for batch in batches:
-            for piece in slices(batch, text_col):
-                data, offsets = text_bytes(piece.column(text_col))
-                keys, _ = context_keys(data, offsets)
-                np.add.at(contexts, keys, np.uint32(1))
-                h, *_ = words(data, offsets)
-                for kind, found in ((0, np.append(h.view(np.int64), np.full(piece.num_rows, _END))), (2, deep_keys(data, offsets))):
-                    key, n = np.unique(found, return_counts=True)
-                    held[kind].append((key, n))
-                    size[kind] += len(key)
-                    most = HELD_CONTEXTS if kind else HELD_WORDS
-                    if size[kind] > most:
-                        held[kind] = [_merge(held[kind])]
-                        size[kind] = len(held[kind][0][0])
-                        if size[kind] > most // 2:
-                            yield from out(kind, *held[kind][0])
-                            held[kind], size[kind] = [], 0
-        for kind in held:
-            if held[kind]:
-                yield from out(kind, *_merge(held[kind]))
-        used = np.flatnonzero(contexts)
-        yield from out(1, used, contexts[used].astype(np.int64))
+            kinds, parts = batch.column("kind").to_pylist(), batch.column("part").to_pylist()
+            for i in range(batch.num_rows):
+                if at != (kinds[i], parts[i]):
+                    if held:
+                        yield from ready(at[0], held)
+                    held, at = [], (kinds[i], parts[i])
+                held.append(tuple(batch.column(c)[i].values.to_numpy() for c in ("keys", "counts")))
+        if held:
+            yield from ready(at[0], held)
+
+    return found.repartition("part").sortWithinPartitions("kind", "part").mapInArrow(run, _COUNTS)
 
-    found = docs.select(text_col).mapInArrow(run, "kind int, key long, n long")
-    return found.groupBy("kind", "key").agg(F.sum("n").alias("n"))
+
+def _flat(counts: DataFrame, kind: int) -> DataFrame:
+    """(key, n) of a kind of sums."""
+    x = counts.where(F.col("kind") == kind).select(F.explode(F.arrays_zip("keys", "counts")).alias("x"))
+    return x.select(F.col("x.keys").alias("key"), F.col("x.counts").alias("n"))
 
 
 def _arrays(df: DataFrame) -> list[np.ndarray]:
@@ -351,24 +425,28 @@ def score(docs: DataFrame, train: DataFrame, id_col: str = "doc_id", text_col: s
     and are scored each on its own. Without training rows every byte is as likely as any other and c is 0. Words are told
     apart by 64-bit hashes. Columns other than id and text are left out; an empty table gives no rows.
     """
-    spark = docs.sparkSession
-    counts = stash(gather(train, text_col), "counts")
-    vocabulary = counts.where("kind = 0").select("key", "n")
-    n_all, n_words = vocabulary.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    contexts = _arrays(counts.where("kind = 1").select("key", "n"))  # at most 2^24 rows, by the width of keys
-    deep = counts.where("kind = 2").select("key", "n")
+    both = [d.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.lit(learn).alias("learn")) for d, learn in ((train, True), (docs, False))]
+    return _score(both[0].unionByName(both[1]), both[1], id_col, hot_words, hot_contexts)
 
-    def batch(names, *columns):
-        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=names)
 
-    sums = _by_subtree(deep, lambda key, n: batch(["key", "value"], *under_classes(key, n)), "key long, value double")
-    sums = _arrays(sums.groupBy("key").agg(F.sum("value").alias("value")))  # nodes of classes: at most 2^24 rows too
-    top = spark.sparkContext.broadcast(mixture(*contexts, sums))
+def _score(rows: DataFrame, docs: DataFrame, id_col: str, hot_words: int, hot_contexts: int) -> DataFrame:
+    """See score(); rows (text, learn) hold the training texts, marked, and all texts of docs (doc_id, text) that aren't among them."""
+    spark = docs.sparkSession
+    counts = stash(summed(gather(rows)), "counts")
+    vocabulary = _flat(counts, 0)
+    n_all, n_words = vocabulary.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
+    contexts = _arrays(_flat(counts, 1))  # at most 2^24 rows, by the width of keys
+    sums = counts.where("kind = 3").select(F.get("keys", F.lit(0)).alias("key"), "value").groupBy("key").agg(F.sum("value").alias("value"))
+    top = spark.sparkContext.broadcast(mixture(*contexts, _arrays(sums)))  # nodes of classes: at most 2^24 rows too
 
-    def priced(table: DataFrame) -> DataFrame:
-        return _by_subtree(table, lambda key, n: batch(["key", "n", "value"], key, n, price(key, n, top.value)), "key long, n long, value double")
+    def prices(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):  # whole subtrees
+                key, n = (batch.column(c)[i].values.to_numpy() for c in ("keys", "counts"))
+                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(n), pa.array(price(key, n, top.value))], names=["key", "n", "value"])
 
-    model = spark.sparkContext.broadcast(_most_frequent(stash(priced(deep), "priced"), hot_contexts, "value"))
+    priced = stash(counts.where("kind = 2").select("keys", "counts").mapInArrow(prices, "key long, n long, value double"), "priced")
+    model = spark.sparkContext.broadcast(_most_frequent(priced.where("n > 0"), hot_contexts, "value"))
     hot = spark.sparkContext.broadcast(_most_frequent(vocabulary, hot_words))
     floor = float(n_all + n_words + 1)
 
@@ -377,15 +455,18 @@ def score(docs: DataFrame, train: DataFrame, id_col: str = "doc_id", text_col: s
         hot_log = np.log10((hot_n + 1) / floor)
         row, task = 0, TaskContext.get().partitionId()
         for batch in batches:
-            for piece in slices(batch, text_col):
+            for piece in slices(batch, "text", TEXT_BYTES):
                 count = piece.num_rows
-                data, offsets = text_bytes(piece.column(text_col))
-                found, index = np.unique(deep_keys(data, offsets), return_inverse=True)
-                writer = np.repeat(np.arange(count), np.diff(offsets) + 1)
+                data, offsets = text_bytes(piece.column("text"))
+                keys = deep_keys(data, offsets)
+                order = np.argsort(keys)
+                found, index = _runs(keys[order])
+                writer = np.repeat(np.arange(count), np.diff(offsets) + 1)[order]
                 place = np.minimum(np.searchsorted(deep_key, found), max(len(deep_key) - 1, 0))
                 met = deep_key[place] == found if len(deep_key) else np.zeros(len(found), bool)
                 value = np.bincount(writer, np.where(met, deep_value[place], 0.0)[index], count) if len(deep_key) else np.zeros(count)
-                far, far_often = _rest(found[index[~met[index]]], writer[~met[index]], count)
+                away = ~met[index]
+                far, far_often = _rest(found[index[away]], writer[away], count)
                 h, _, _, first = words(data, offsets)
                 size = np.diff(first)
                 token = np.append(h.view(np.int64), np.full(count, _END))
@@ -396,7 +477,7 @@ def score(docs: DataFrame, train: DataFrame, id_col: str = "doc_id", text_col: s
                 rare, often = _rest(token[~known], owner[~known], count)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(np.arange(row, row + count) + (task << 40)), piece.column(id_col).cast(pa.int64()), pa.array(size + 1), pa.array(np.bincount(owner[known], minlength=count)),
+                        pa.array(np.arange(row, row + count) + (task << 40)), piece.column("doc_id"), pa.array(size + 1), pa.array(np.bincount(owner[known], minlength=count)),
                         pa.array(base), pa.array(value), pa.array(np.diff(offsets)),
                         rare, often, far, far_often,
                     ],
@@ -405,17 +486,14 @@ def score(docs: DataFrame, train: DataFrame, id_col: str = "doc_id", text_col: s
                 row += count
 
     schema = "row long, doc_id long, n_tokens long, known long, base double, score double, n_bytes long, rare array<long>, often array<long>, far array<long>, far_often array<long>"
-    scored = stash(docs.select(id_col, text_col).mapInArrow(run, schema), "scored")
+    scored = stash(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema), "scored")
     each = scored.select("row", F.explode(F.arrays_zip("rare", "often")).alias("x")).select("row", F.col("x.rare").alias("key"), F.col("x.often").alias("times"))
     each = each.join(vocabulary, "key", "left").withColumn("c", F.coalesce("n", F.lit(0)))
     more = each.groupBy("row").agg(
         F.sum(F.col("times") * F.log10((F.col("c") + 1) / F.lit(floor))).alias("more"), F.sum(F.when(F.col("c") > 0, F.col("times")).otherwise(0)).alias("more_known")
     )
     away = scored.select("row", F.explode(F.arrays_zip("far", "far_often")).alias("x")).select("row", F.col("x.far").alias("key"), F.col("x.far_often").alias("times"))
-    # contexts of the texts that training never met take their place in the tree without counts
-    wanted = deep.unionByName(away.select("key", F.lit(0).cast("long").alias("n"))).groupBy("key").agg(F.sum("n").alias("n"))
-    prices = priced(wanted).select("key", "value")
-    deeper = away.join(prices, "key").groupBy("row").agg(F.sum(F.col("times") * F.col("value")).alias("deeper"))
+    deeper = away.join(priced.select("key", "value"), "key").groupBy("row").agg(F.sum(F.col("times") * F.col("value")).alias("deeper"))
     out = scored.drop("rare", "often", "far", "far_often").join(more, "row", "left").join(deeper, "row", "left")
     return out.select(
         F.col("doc_id").alias(id_col), "n_tokens", (F.col("known") + F.coalesce("more_known", F.lit(0))).cast("long").alias("n_known"), F.lit(int(n_all)).cast("long").alias("train_tokens"),
@@ -425,5 +503,5 @@ def score(docs: DataFrame, train: DataFrame, id_col: str = "doc_id", text_col: s
 
 def split_score(docs: DataFrame, mod: int = 7, rest: int = 2) -> DataFrame:
     """score() of all docs (doc_id, text) with held_out; train: those whose crc32(doc_id as text) mod `mod` isn't rest."""
-    out = score(docs, docs.where(~held_out(mod, rest)))
+    out = _score(docs.select("text", (~held_out(mod, rest)).alias("learn")), docs, "doc_id", HOT_WORDS, HOT_CONTEXTS)
     return out.withColumn("held_out", held_out(mod, rest))

@@ -630,14 +630,24 @@ def _(spark, sf):
     return cut(x.select("symbol", "combo_idx", "lookback", "total_return", "total_trades", "place"))
 
 
-@query("wf_windows_rolling", "SELECT CAST(k AS INTEGER) AS window_id, CAST(k * 30 AS INTEGER) AS train_start, CAST(k * 30 + 99 AS INTEGER) AS train_end, CAST(k * 30 + 100 AS INTEGER) AS test_start, CAST(k * 30 + 129 AS INTEGER) AS test_end FROM range(0, (357 - 130) // 30 + 1) t(k)")
+_N = "WITH {w}, one AS (SELECT row_number() OVER (ORDER BY ts) - 1 AS i FROM bars WHERE symbol = 'N')".format(w=WEEKLY)
+
+
+def _one_series(spark: SparkSession, sf: str) -> DataFrame:
+    return bars.weekly(spark, sf).where("symbol = 'N'").select(w.row_index("symbol").cast("long").alias("row_idx"))
+
+
+_WINDOWS = "k AS (SELECT unnest(range(0, greatest((SELECT count(*) FROM one) - 130 + 30, 0) // 30)) AS k)"
+
+
+@query("wf_windows_rolling", f"{_N}, {_WINDOWS} SELECT CAST(k AS INTEGER) AS window_id, CAST(k * 30 AS INTEGER) AS train_start, CAST(k * 30 + 99 AS INTEGER) AS train_end, CAST(k * 30 + 100 AS INTEGER) AS test_start, CAST(k * 30 + 129 AS INTEGER) AS test_end FROM k")
 def _(spark, sf):
-    return optimize.window_table(spark, 357, 100, 30)
+    return optimize.window_table(spark, _one_series(spark, sf).count(), 100, 30)
 
 
-@query("wf_windows_anchored", "SELECT CAST(k AS INTEGER) AS window_id, 0 AS train_start, CAST(k * 30 + 99 AS INTEGER) AS train_end, CAST(k * 30 + 100 AS INTEGER) AS test_start, CAST(k * 30 + 129 AS INTEGER) AS test_end FROM range(0, (357 - 130) // 30 + 1) t(k)")
+@query("wf_windows_anchored", f"{_N}, {_WINDOWS} SELECT CAST(k AS INTEGER) AS window_id, 0 AS train_start, CAST(k * 30 + 99 AS INTEGER) AS train_end, CAST(k * 30 + 100 AS INTEGER) AS test_start, CAST(k * 30 + 129 AS INTEGER) AS test_end FROM k")
 def _(spark, sf):
-    return optimize.window_table(spark, 357, 100, 30, anchored=True)
+    return optimize.window_table(spark, _one_series(spark, sf).count(), 100, 30, anchored=True)
 
 
 _WF_GRID = [5, 10, 20]
@@ -683,18 +693,27 @@ def _(spark, sf):
     return cut(optimize.walk_forward_summary(_walk(spark, sf), "symbol"))
 
 
+_GROUPS = "g AS (SELECT k, k * (n // 5) AS a, CASE WHEN k = 4 THEN n - 1 ELSE (k + 1) * (n // 5) - 1 END AS b FROM (SELECT count(*) AS n FROM one), range(0, 5) t(k))"
+
+
 @query(
     "purged_kfold",
-    """WITH n AS (SELECT i FROM range(0, 252) t(i)), f AS (SELECT k, k * 50 AS a, CASE WHEN k = 4 THEN 251 ELSE k * 50 + 49 END AS b FROM range(0, 5) t(k)), tr AS (SELECT k, i FROM n, f WHERE i < a - 5)
-    SELECT CAST(k AS INTEGER) AS fold, i AS row_idx, 'train' AS role FROM tr UNION ALL SELECT CAST(k AS INTEGER), i, 'test' FROM n, f WHERE i BETWEEN a AND b AND k IN (SELECT k FROM tr)""",
+    f"""{_N}, {_GROUPS}, tr AS (SELECT k, i FROM one, g WHERE i < a - 5)
+    SELECT CAST(k AS INTEGER) AS fold, i AS row_idx, 'train' AS role FROM tr UNION ALL SELECT CAST(k AS INTEGER), i, 'test' FROM one, g WHERE i BETWEEN a AND b AND k IN (SELECT k FROM tr)""",
 )
 def _(spark, sf):
-    return optimize.purged_kfold(spark.range(252).select(F.col("id").alias("row_idx")), 252)
+    rows = _one_series(spark, sf)
+    return optimize.purged_kfold(rows, rows.count())
 
 
-@query("cpcv", "SELECT * FROM (VALUES (0, '0,1', '3,4'), (1, '0,2', '4'), (2, '1,2', '4'), (3, '2,3', '0'), (4, '2,4', '0'), (5, '3,4', '0,1')) t(split, test_groups, train_groups)")
+@query(
+    "cpcv",
+    f"""{_N}, {_GROUPS}, p AS (SELECT x.k AS f1, y.k AS f2, x.a AS lo, y.b AS hi FROM g x JOIN g y ON x.k < y.k),
+    tr AS (SELECT f1, f2, string_agg(CAST(g.k AS VARCHAR), ',' ORDER BY g.k) AS train_groups FROM p JOIN g ON g.k <> f1 AND g.k <> f2 AND (g.b < lo - 5 OR g.a > hi + 5) GROUP BY 1, 2)
+    SELECT CAST(row_number() OVER (ORDER BY f1, f2) - 1 AS INTEGER) AS split, concat(CAST(f1 AS VARCHAR), ',', CAST(f2 AS VARCHAR)) AS test_groups, train_groups FROM tr""",
+)
 def _(spark, sf):
-    return optimize.combinatorial(spark, 252)
+    return optimize.combinatorial(spark, _one_series(spark, sf).count())
 
 
 # Universe.
@@ -883,11 +902,19 @@ def _(spark, sf):
     return x.withColumn("entry", F.floor(F.col("entry") * F.lit(1e3) + F.lit(0.5)) / F.lit(1e3)).withColumn("pnl", F.floor(F.col("pnl") * F.lit(1e2) + F.lit(0.5)) / F.lit(1e2))
 
 
-@query("position_ledger")
+@query(
+    "position_ledger",
+    f"""WITH RECURSIVE {TRADES}, s AS (SELECT symbol, timestamp AS ts, trade_id AS seq, side, price, CAST(quantity AS DOUBLE) AS q, row_number() OVER (PARTITION BY symbol ORDER BY timestamp, trade_id) AS n FROM t),
+    f AS (SELECT symbol, CAST(0 AS BIGINT) AS n, CAST(NULL AS DATE) AS ts, CAST(NULL AS BIGINT) AS seq, 0.0::DOUBLE AS qty, 0.0::DOUBLE AS av, 0.0::DOUBLE AS gain FROM (SELECT DISTINCT symbol FROM s)
+    UNION ALL SELECT s.symbol, s.n, s.ts, s.seq, CASE WHEN side = 'buy' THEN f.qty + s.q ELSE f.qty - s.q END, CASE WHEN side = 'buy' THEN CASE WHEN f.qty > 0 THEN (f.av * f.qty + s.price * s.q) / (f.qty + s.q) ELSE s.price END ELSE f.av END,
+      CASE WHEN side <> 'buy' AND f.qty > 0 THEN f.gain + (s.price - f.av) * least(s.q, f.qty) ELSE f.gain END FROM f JOIN s ON s.symbol = f.symbol AND s.n = f.n + 1)
+    SELECT symbol, ts, seq, qty AS quantity, floor(av * 1e3 + 0.5) / 1e3 AS avg_price, floor(gain * 10 + 0.5) / 10 AS realised FROM f WHERE n > 0""",
+)
 def _(spark, sf):
-    """The live ledger after each fill; held against a plain loop in the tests."""
+    """The live ledger after each fill."""
     t = bars.order_trades(spark, sf).select("symbol", F.col("timestamp").alias("ts"), F.col("trade_id").alias("seq"), "side", "quantity", "price")
-    return orders.positions(t)
+    x = orders.positions(t)
+    return x.withColumn("avg_price", F.floor(F.col("avg_price") * F.lit(1e3) + F.lit(0.5)) / F.lit(1e3)).withColumn("realised", F.floor(F.col("realised") * F.lit(10.0) + F.lit(0.5)) / F.lit(10.0))
 
 
 @query(

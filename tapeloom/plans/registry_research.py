@@ -750,12 +750,17 @@ def _(spark, sf):
     return cut(x.drop("equity")).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
 
 
-@query("stream_var_monitor")
+@query(
+    "stream_var_monitor",
+    f"""WITH {_ACCOUNT}, x AS (SELECT run_id AS symbol, ts, (equity - lag(equity) OVER o) / lag(equity) OVER o AS r FROM a0 WINDOW o AS (PARTITION BY run_id ORDER BY ts)), n AS (SELECT * FROM x WHERE r IS NOT NULL),
+    v AS (SELECT symbol, ts, count(r) OVER o AS n, quantile_cont(r, 0.05) OVER o AS var, list(r) OVER o AS l FROM n WINDOW o AS (PARTITION BY symbol ORDER BY ts ROWS BETWEEN 251 PRECEDING AND CURRENT ROW))
+    SELECT symbol, ts, {q('var')}, {q('list_avg(list_filter(l, lambda z: z <= var))', 'cvar')}, abs(var) > 0.05 AS alert FROM v WHERE n >= 20""",
+)
 def _(spark, sf):
-    """Held against rolling_var in the tests."""
     from tapeloom.streaming import monitors
 
-    return monitors.run_once(monitors.var_monitor(_monitored(spark, sf).where("r is not null")), "var", shared_place(spark, "stream"))
+    x = monitors.run_once(monitors.var_monitor(_monitored(spark, sf).where("r is not null")), "var", shared_place(spark, "stream"))
+    return cut(x).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
 
 
 @query("stream_breaker", SQL["circuit_breaker"].replace("SELECT run_id, ts, reason, coalesce", "SELECT run_id AS symbol, ts, reason, coalesce"))

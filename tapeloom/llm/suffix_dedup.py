@@ -3,13 +3,17 @@
 Every string (window) of `length` bytes is filed under its anchor, the GRAM bytes of the least hash within it, so equal
 windows meet under one anchor wherever they stand. Neighbouring windows with one anchor form a region.
 
-1. One pass over the texts emits regions (anchor hash, region digest). Equal regions (copies) are settled by digest: all
-   but the first are removed. Anchors that only equal regions share are done.
+1. One pass over the texts emits regions (anchor hash, region digest); those that repeat one of the same slice are known to
+   go and dealt evenly. Equal regions (copies) are settled by digest: all but the first are removed. Anchors that only equal
+   regions share are done.
 2. Anchors with different regions: the first of each is cut from its text. A task sorts the rotations of its regions, forms
    their Burrows-Wheeler transform and expands intervals backwards, breadth first, so that common-prefix lengths appear in
    increasing order; it stops at `length`. Rotations between two boundaries share `length` bytes at least: all windows of
    such a group but the first are removed.
-3. Anchors with more regions than HOT_REGIONS aren't put into one task; their windows are grouped by digest instead.
+3. Anchors with more than HOT_BYTES of regions don't fit one transform. Their regions are divided by a second anchor, of
+   another hash, dealt anew and treated alike: copies are settled, what is left is transformed. Should the two anchors
+   together still be too hot, their windows are dealt and sorted by their bytes, and all of a run of equal ones but the
+   first are removed, however long the run is.
 """
 
 from __future__ import annotations
@@ -19,17 +23,19 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tapeloom.llm.common import _BASE, _BYTE_CODE, _INV, _mix, powers, slices, stash, text_bytes
+from tapeloom.llm.common import _BASE, _BYTE_CODE, _INV, _mix, powers, slices, stash, text_bytes, unstash
 
 GRAM = 32
-HOT_REGIONS = 65_536
-#: Region bytes that are transformed together.
-BATCH_BYTES = 1 << 20
-#: Rows and list items that may be broadcast to the texts (16 MB); more are joined by shuffle.
-BROADCAST_ROWS, BROADCAST_ITEMS = 500_000, 1_500_000
+#: Region bytes of one anchor that are transformed at once, and of several together: 2 MB at most, which take about 200 MB.
+HOT_BYTES = BATCH_BYTES = 1 << 20
+#: Bytes of texts whose regions are found at once; a hundred times as many are taken by the numbers beside them.
+TEXT_BYTES = 1 << 18
+#: Bytes of lists that may be broadcast to the texts, and of a row and of a list item there; more are joined by shuffle.
+BROADCAST_BYTES, ROW_BYTES, ITEM_BYTES = 128 << 20, 80, 48
 _LAST = np.iinfo(np.int64).max
 
 
@@ -56,14 +62,16 @@ def _least(h: np.ndarray, width: int) -> np.ndarray:
     return index
 
 
-def regions(data: np.ndarray, offsets: np.ndarray, length: int, gram: int = GRAM):
-    """(text, first window, windows, anchor hash, digest) of the regions of texts joined in data; windows never cross texts."""
+def regions(data: np.ndarray, offsets: np.ndarray, length: int, gram: int = GRAM, seed: int = 0):
+    """(text, first window, windows, anchor hash, digest) of the regions of texts joined in data; windows never cross texts. seed: the hash that chooses anchors."""
     none = np.zeros(0, np.int64)
     if len(data) < length:
         return none, none, none, none, none
     digest = _hasher(data)
     at = np.arange(len(data) - gram + 1)
     h = digest(at, at + gram)
+    if seed:
+        h = _mix(h + np.uint64(seed))
     anchor = _least(h, length - gram + 1)[: len(data) - length + 1]
     text = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
     start = np.arange(len(data) - length + 1)
@@ -98,11 +106,14 @@ def _rows(kind: int, h, r, doc, chk, at, n) -> pa.RecordBatch:
 
 
 def _emit(length: int, text_col: str, id_col: str):
-    """Step 1: kind 0, a region; kind 1, a region that repeats one of the same slice and so is removed."""
+    """Step 1: kind 0, a region; kind 1, a region that repeats one of the same slice and so is removed.
+
+    The two are told apart in one pass: nothing depends on how a second one would be sliced.
+    """
 
     def run(batches):
         for batch in batches:
-            for piece in slices(batch, text_col):
+            for piece in slices(batch, text_col, TEXT_BYTES):
                 data, offsets = text_bytes(piece.column(text_col))
                 text, at, n, h, r = regions(data, offsets, length)
                 if not len(text):
@@ -122,12 +133,16 @@ def _emit(length: int, text_col: str, id_col: str):
 def _settle(batches):
     """Rows sorted by anchor, digest and place: kind 1, removed copies; kind 0, firsts of anchors with different regions.
 
-    Holds one row at a time besides the batch, however many rows an anchor has.
+    Rows of kind 1 come last and pass. Holds one row at a time besides the batch, however many rows an anchor has.
     """
     names = ("h", "r", "doc", "chk", "at", "n")
     last = None  # the row before this batch
     held = None  # the only region so far of the anchor of the last row
     for batch in batches:
+        known = pc.greater(batch.column("kind"), 0)
+        if pc.any(known).as_py():
+            yield batch.filter(known)
+            batch = batch.filter(pc.invert(known))
         if not batch.num_rows:
             continue
         c = {k: batch.column(k).to_numpy(zero_copy_only=False) for k in names}
@@ -160,7 +175,7 @@ def _settle(batches):
 def _join_small(docs: DataFrame, lists: DataFrame, how: str) -> DataFrame:
     """docs (with _doc) joined with per-document lists, which are broadcast only if their size allows."""
     rows, items = lists.agg(F.count("*"), F.coalesce(F.sum(F.size("items")), F.lit(0))).first()
-    small = rows <= BROADCAST_ROWS and items <= BROADCAST_ITEMS
+    small = rows * ROW_BYTES + items * ITEM_BYTES <= BROADCAST_BYTES
     return docs.join(F.broadcast(lists) if small else lists, "_doc", how)
 
 
@@ -170,7 +185,7 @@ def _cut(length: int, text_col: str):
     def run(batches):
         for batch in batches:
             doc, items = batch.column("_doc").to_numpy(zero_copy_only=False), batch.column("items")
-            out: list[list] = [[] for _ in range(6)]
+            out: list[list] = [[] for _ in range(7)]
             held = 0
             for i in range(batch.num_rows):
                 raw = (batch.column(text_col)[i].as_py() or "").encode()
@@ -179,13 +194,13 @@ def _cut(length: int, text_col: str):
                 h, c, at, n = (listed.field(k).to_numpy(zero_copy_only=False) for k in ("h", "chk", "at", "n"))
                 for k in np.flatnonzero(c == chk).tolist():
                     s, m = int(at[k]), int(n[k])
-                    for column, value in zip(out, (int(h[k]), int(doc[i]), chk, s, m, raw[s : s + m + length - 1]), strict=True):
+                    for column, value in zip(out, (int(h[k]), k, int(doc[i]), chk, s, m, raw[s : s + m + length - 1]), strict=True):
                         column.append(value)
                     held += m + length
                 if held > 4 << 20 or i == batch.num_rows - 1:
-                    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
-                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, kinds, strict=True)], names=["h", "doc", "chk", "at", "n", "bytes"])
-                    out, held = [[] for _ in range(6)], 0
+                    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
+                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, kinds, strict=True)], names=["h", "r", "doc", "chk", "at", "n", "bytes"])
+                    out, held = [[] for _ in range(7)], 0
 
     return run
 
@@ -198,30 +213,33 @@ def prefix_groups(x: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     whose end isn't a boundary yet makes one, of exactly l common bytes. Ends that are none by `length` share that many.
     """
     n = len(x)
-    index = np.arange(n)
+    small = np.int32 if n < 1 << 31 else np.int64
     key = np.zeros(n, np.uint64)
     for j in range(8):
-        key = key << np.uint64(8) | np.roll(x, -j).astype(np.uint64)
+        key = key << np.uint64(8) | np.roll(x, -j)
     ranks, size = {}, 8
     while True:
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key, kind="stable").astype(small)
         step = key[order]
-        rank = np.empty(n, np.int64)
-        rank[order] = np.cumsum(np.append(False, step[1:] != step[:-1]))
+        rank = np.empty(n, small)
+        rank[order] = np.cumsum(np.append(False, step[1:] != step[:-1]), dtype=small)
         ranks[size] = rank
         if size > length:
             break
-        key = (rank * n + rank[(index + size) % n]).astype(np.uint64)
+        key = rank.astype(np.uint64) * np.uint64(n) + np.roll(rank, -size).astype(np.uint64)
         size *= 2
+    del key, step
     start = 64 if length > 64 else max(s for s in ranks if s <= length and s >= 8)
     g = ranks[start][order]
     bound = np.append(True, g[1:] != g[:-1])
     half = ranks[start // 2]
+    del ranks, rank, g
     edge = np.flatnonzero(bound[1:])  # last row of every interval of `start` bytes but the last one
     here, there = order[edge], order[edge + 1]
     near = (half[here] == half[there]) & (half[(here + start // 2 - 1) % n] == half[(there + start // 2 - 1) % n])
     begin = np.flatnonzero(bound)[:-1]
     low, high = begin[near], edge[near] + 1  # half-open intervals whose end has exactly start - 1 common bytes
+    del half, here, there
     bwt = x[(order - 1) % n].astype(np.int64)
     places = np.argsort(bwt, kind="stable")
     keys = bwt[places] * (n + 1) + places
@@ -274,12 +292,23 @@ def repeated(parts: list[bytes], doc: np.ndarray, chk: np.ndarray, at: np.ndarra
     return np.split(out, np.cumsum(n)[:-1])
 
 
-def _expand(length: int, hot: int):
-    """Step 2 in batches of whole anchors: kind 1, runs of removed windows; kind 2, windows of anchors above `hot` regions."""
+_WINDOW = "kind int, h long, r long, doc long, chk long, at int, n int, bytes binary"
+
+
+def _windows(rows: pa.RecordBatch, raw: pa.Array | None = None) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([*rows.columns, pa.nulls(rows.num_rows, pa.binary()) if raw is None else raw], names=[*rows.schema.names, "bytes"])
+
+
+def _expand(length: int, hot: int, batch_bytes: int, again: bool):
+    """Step 2 in batches of whole anchors, rows sorted by anchor, digest and place: kind 1, runs of removed windows; kind 2, of anchors above `hot` bytes.
+
+    Of regions with one digest all but the first are removed. What goes out of a hot anchor is, the first time, its regions
+    divided by a second anchor, and again its single windows.
+    """
 
     def flush(rows: list[tuple]):
-        h, doc, chk, at, n = (np.array([r[k] for r in rows], dtype=np.int64) for k in range(5))
-        flags = repeated([r[5] for r in rows], doc, chk, at, n, length)
+        h, doc, chk, at, n = (np.array([r[k] for r in rows], dtype=np.int64) for k in (0, 2, 3, 4, 5))
+        flags = repeated([r[6] for r in rows], doc, chk, at, n, length)
         part, start, many = [], [], []
         for i, f in enumerate(flags):
             if f.any():
@@ -290,36 +319,58 @@ def _expand(length: int, hot: int):
         if part:
             part, start, many = np.array(part), np.array(start), np.array(many)
             zero = np.zeros(len(part), np.int64)
-            yield _rows(1, h[part], zero, doc[part], chk[part], at[part] + start, many)
+            yield _windows(_rows(1, h[part], zero, doc[part], chk[part], at[part] + start, many))
 
     def spread(rows: list[tuple]):
-        for h, doc, chk, at, n, raw in rows:
-            data = np.frombuffer(raw, dtype=np.uint8)
-            s = np.arange(n)
-            d = _hasher(data)(s, s + length).view(np.int64)
-            yield _rows(2, np.full(n, h), d, np.full(n, doc), np.full(n, chk), at + s, np.ones(n, np.int64))
+        for s in range(0, len(rows), 1024):
+            some = rows[s : s + 1024]
+            h, doc, chk, at, n = (np.array([r[k] for r in some], dtype=np.int64) for k in (0, 2, 3, 4, 5))
+            raw = [r[6] for r in some]
+            if again:
+                part = np.repeat(np.arange(len(some)), n)
+                first = np.arange(len(part)) - np.repeat(np.cumsum(n) - n, n)
+                many, second, r = np.ones(len(part), np.int64), h[part], np.zeros(len(part), np.int64)
+            else:
+                size = np.array([len(x) for x in raw])
+                part, first, many, second, r = regions(np.frombuffer(b"".join(raw), dtype=np.uint8), np.append(0, np.cumsum(size)), length, seed=0x5DEECE66D)
+                second = _mix(h[part].view(np.uint64) ^ second.view(np.uint64)).view(np.int64)
+            cut = pa.array([raw[i][a : a + m + length - 1] for i, a, m in zip(part.tolist(), first.tolist(), many.tolist(), strict=True)], pa.binary())
+            yield _windows(_rows(2, second, r, doc[part], chk[part], at[part] + first, many), cut)
+
+    def copies(rows: list[tuple]):
+        if rows:
+            h, r, doc, chk, at, n = (np.array([x[k] for x in rows], dtype=np.int64) for k in range(6))
+            yield _windows(_rows(1, h, r, doc, chk, at, n))
 
     def run(batches):
         rows: list[tuple] = []  # whole anchors
         anchor: list[tuple] = []  # of the anchor at hand
-        held, many = 0, 0
+        held, many = 0, 0  # bytes of both lists, and of the anchor at hand
+        last = None  # anchor, digest and place of the row before
         for batch in batches:
-            for row in zip(*(batch.column(k).to_pylist() for k in ("h", "doc", "chk", "at", "n", "bytes")), strict=True):
-                if anchor and row[0] != anchor[0][0] or many and anchor_h != row[0]:  # noqa: F821
+            gone = []
+            for row in zip(*(batch.column(k).to_pylist() for k in ("h", "r", "doc", "chk", "at", "n", "bytes")), strict=True):
+                if last is None or row[0] != last[0]:
                     rows, anchor, many = rows + anchor, [], 0
-                    if held >= BATCH_BYTES:
+                    if held >= batch_bytes:
                         yield from flush(rows)
                         rows, held = [], 0
-                anchor_h = row[0]
-                many += 1
+                elif again and row[1] == last[1]:
+                    if row[2:5] != last[2:5]:  # else a repeated row
+                        gone.append(row)
+                    last = row
+                    continue
+                last = row
+                many += len(row[6]) + 1
                 if many > hot:
                     yield from spread(anchor)
                     yield from spread([row])
-                    held -= sum(len(r[5]) + 1 for r in anchor)
+                    held -= sum(len(r[6]) + 1 for r in anchor)
                     anchor = []
                 else:
                     anchor.append(row)
-                    held += len(row[5]) + 1
+                    held += len(row[6]) + 1
+            yield from copies(gone)
         rows += anchor
         if rows:
             yield from flush(rows)
@@ -327,22 +378,79 @@ def _expand(length: int, hot: int):
     return run
 
 
-def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 100, hot: int = HOT_REGIONS) -> DataFrame:
+def _later(batches):
+    """Windows sorted by their bytes and place: kind 1, all of a run of equal ones but the first and its repetitions."""
+    before = None  # the last row of the batch before
+    head = None  # the place of the first of its run
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        raw = batch.column("bytes")
+        place = [batch.column(k).to_numpy(zero_copy_only=False) for k in ("doc", "chk", "at")]
+        same = np.append(before is not None and before == raw[0].as_py(), pc.equal(raw.slice(1), raw.slice(0, batch.num_rows - 1)).to_numpy(zero_copy_only=False)).astype(bool)
+        lead = np.flatnonzero(~same)
+        run = np.cumsum(~same)
+        heads = [np.append(np.int64(0 if head is None else head[i]), p[lead])[run] for i, p in enumerate(place)]
+        gone = same & ~np.logical_and.reduce([p == q for p, q in zip(place, heads, strict=True)])
+        if gone.any():
+            zero = np.zeros(int(gone.sum()), np.int64)
+            yield _rows(1, zero, zero, *(p[gone] for p in place), zero + 1)
+        before, head = raw[batch.num_rows - 1].as_py(), [int(q[-1]) for q in heads]
+
+
+def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 100, hot: int = HOT_BYTES, batch_bytes: int = BATCH_BYTES) -> DataFrame:
     """(doc, items): for each document that loses bytes, runs of windows (chk, at, n) that also start earlier."""
     found = docs.select(id_col, text_col).mapInArrow(_emit(length, text_col, id_col), _ROW)
-    dealt = found.where("kind = 0").repartition("h").sortWithinPartitions("h", "r", "doc", "chk", "at")
-    settled = stash(dealt.drop("kind").mapInArrow(_settle, _ROW), "settled")
+    dealt = found.repartition(F.when(F.col("kind") == 0, F.col("h")).otherwise(F.xxhash64("doc", "chk", "at"))).sortWithinPartitions("kind", "h", "r", "doc", "chk", "at")
+    settled = stash(dealt.mapInArrow(_settle, _ROW), "settled")
     known = docs.withColumn("_doc", F.coalesce(F.col(id_col).cast("long"), F.lit(int(_LAST)))).select("_doc", text_col)
     listed = settled.where("kind = 0").groupBy(F.col("doc").alias("_doc")).agg(F.collect_list(F.struct("h", "chk", "at", "n")).alias("items"))
-    cut = _join_small(known, stash(listed, "listed"), "inner").mapInArrow(_cut(length, text_col), "h long, doc long, chk long, at int, n int, bytes binary")
-    expanded = stash(cut.repartition("h").sortWithinPartitions("h").mapInArrow(_expand(length, hot), _ROW), "expanded")
-    windows = expanded.where("kind = 2")
-    place = F.struct("doc", "chk", "at")
-    first = windows.groupBy("h", "r").agg(F.min(place).alias("first"))
-    late = windows.join(first, ["h", "r"]).where(place != F.col("first")).select("doc", "chk", "at", "n")
-    gone = found.where("kind = 1").select("doc", "chk", "at", "n")
-    every = gone.unionByName(settled.where("kind = 1").select("doc", "chk", "at", "n")).unionByName(expanded.where("kind = 1").select("doc", "chk", "at", "n")).unionByName(late)
-    return every.groupBy(F.col("doc").alias("_doc")).agg(F.collect_list(F.struct("chk", "at", "n")).alias("items"))
+    listed = stash(listed, "listed")
+    cut = _join_small(known, listed, "inner").mapInArrow(_cut(length, text_col), "h long, r long, doc long, chk long, at int, n int, bytes binary")
+    columns = ("doc", "chk", "at", "n")
+    gone = [settled.where("kind = 1").select(*columns)]
+    for again in (False, True):
+        dealt = cut.repartition("h").sortWithinPartitions("h", "r", "doc", "chk", "at")
+        expanded = stash(dealt.mapInArrow(_expand(length, hot, batch_bytes, again), _WINDOW), "expanded")
+        gone.append(expanded.where("kind = 1").select(*columns))
+        cut = expanded.where("kind = 2").drop("kind")
+    unstash(listed)
+    late = cut.select("bytes", "doc", "chk", "at").repartition("bytes").sortWithinPartitions("bytes", "doc", "chk", "at").mapInArrow(_later, _ROW)
+    every = gone[0].unionByName(gone[1]).unionByName(gone[2]).unionByName(late.select(*columns))
+    return every.repartition("doc").sortWithinPartitions("doc", "chk", "at").mapInArrow(_joined, "_doc long, items array<struct<chk: bigint, at: int, n: int>>")
+
+
+def _joined(batches):
+    """Runs of windows sorted by document, check and place, with neighbours joined: a list for each document.
+
+    Joining leaves about one run for each removed span, so that lists are short.
+    """
+    held: list[list[np.ndarray]] = []  # of the document at hand
+
+    def out(doc, chk, at, end):
+        new = np.flatnonzero(np.append(True, doc[1:] != doc[:-1]))
+        items = pa.StructArray.from_arrays([pa.array(chk), pa.array(at.astype(np.int32)), pa.array((end - at).astype(np.int32))], names=["chk", "at", "n"])
+        return pa.RecordBatch.from_arrays([pa.array(doc[new]), pa.ListArray.from_arrays(pa.array(np.append(new, len(doc)).astype(np.int32)), items)], names=["_doc", "items"])
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        doc, chk, at, n = (batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in ("doc", "chk", "at", "n"))
+        rows = [doc, chk, at, at + n]
+        if held:
+            rows = [np.concatenate([*parts, x]) for parts, x in zip(zip(*held, strict=True), rows, strict=True)]
+        doc, chk, at, end = rows
+        group = np.cumsum(np.append(False, (doc[1:] != doc[:-1]) | (chk[1:] != chk[:-1])))
+        reach = np.maximum.accumulate(end + (group << 32))  # offsets are below 2^31
+        new = np.flatnonzero(np.append(True, at[1:] + (group[1:] << 32) > reach[:-1]))
+        end = reach[np.append(new[1:] - 1, len(doc) - 1)] - (group[new] << 32)
+        doc, chk, at = doc[new], chk[new], at[new]
+        cut = int(np.flatnonzero(doc == doc[-1])[0])
+        if cut:
+            yield out(doc[:cut], chk[:cut], at[:cut], end[:cut])
+        held = [[doc[cut:], chk[cut:], at[cut:], end[cut:]]]
+    if held:
+        yield out(*held[0])
 
 
 def _spans(raw: bytes, listed, length: int) -> list[tuple[int, int]]:
@@ -362,7 +470,7 @@ def _spans(raw: bytes, listed, length: int) -> list[tuple[int, int]]:
     return list(zip(start[new].tolist(), end[np.append(np.flatnonzero(new)[1:] - 1, len(end) - 1)].tolist(), strict=True))
 
 
-def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 100, hot: int = HOT_REGIONS, digests: bool = False) -> DataFrame:
+def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 100, hot: int = HOT_BYTES, digests: bool = False, batch_bytes: int = BATCH_BYTES) -> DataFrame:
     """docs with kept (binary: the bytes left), n_bytes, n_removed and n_spans; or, with digests, the SHA-256 of what is left.
 
     Each byte that a string of `length` bytes covers which also starts earlier (in a document of a smaller id, or before in
@@ -375,7 +483,7 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         raise ValueError(f"the length must be above {2 * GRAM}")
     made = ("n_bytes", "n_removed", "n_spans", "kept_sha256" if digests else "kept")
     kept = [f for f in docs.schema.fields if f.name not in made and not (digests and f.name == text_col)]
-    lists = stash(removals(docs, id_col, text_col, length, hot), "removals")
+    lists = stash(removals(docs, id_col, text_col, length, hot, batch_bytes), "removals")
     rows = docs.withColumn("_doc", F.coalesce(F.col(id_col).cast("long"), F.lit(int(_LAST))))
     joined = _join_small(rows, lists, "left")
     names = [f.name for f in kept]

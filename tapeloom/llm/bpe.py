@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 import unicodedata
 
 import numpy as np
@@ -163,7 +164,9 @@ class Codec:
         self.known: dict[str, tuple[str, int, str]] = {}
         # texts with code points on which the library differs are told by a search and cut by a pattern without them
         self.small = _small()
-        self.odd = regex.compile(f"[{_set(NOT_LETTERS)}{_set(NOT_NUMBERS)}{_set(UNORDERED)}{''.join(map(chr, self.small))}]").search
+        # (the standard module looks up sets of the basic plane in a bitmap; few texts have code points beyond)
+        every = [x for r in (NOT_LETTERS, NOT_NUMBERS, UNORDERED) for x in r.split()] + [f"{c:X}" for c in self.small]
+        self.basic, self.beyond = (re.compile(f"[{_set(' '.join(x for x in every if (len(x.split('-')[0]) > 4) == far))}]").search for far in (False, True))
         self.unordered = regex.compile(f"([{_set(UNORDERED)}])")
         exact = vocabulary.pattern
         for name, ranges in (("L", NOT_LETTERS), ("N", NOT_NUMBERS)):
@@ -186,7 +189,7 @@ class Codec:
         return text
 
     def words(self, text: str) -> list[str]:
-        odd = not text.isascii() and self.odd(text) is not None
+        odd = not text.isascii() and (self.basic(text) is not None or len(text.encode("utf-16-le", "surrogatepass")) > 2 * len(text) and self.beyond(text) is not None)
         return (self.find_odd if odd else self.find)(self.normal(text, odd))
 
     def split(self, text: str) -> list[list[str] | str]:

@@ -838,7 +838,7 @@ def _hold_one(bar: dict, position: float, cash: float):
     "event_on_bar",
     f"""WITH {WEEKLY}, k AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts) AS n FROM bars), f AS (SELECT symbol, open * (1 + (CAST(0.1 AS DOUBLE) * sqrt(10 / greatest(CAST(volume AS DOUBLE), 1.0)) + 5.0 / 10000.0)) AS price FROM k WHERE n = 2),
     c AS (SELECT symbol, 100000 - (10 * price + greatest(CAST(0.35 AS DOUBLE), least(10 * CAST(0.005 AS DOUBLE), 10 * price * CAST(0.01 AS DOUBLE)))) AS cash FROM f)
-    SELECT symbol, ts, {q('CASE WHEN n = 1 THEN 100000 ELSE cash END', 'cash')}, CASE WHEN n = 1 THEN 0.0 ELSE 10.0 END AS position, {q('CASE WHEN n = 1 THEN 100000 ELSE cash + 10 * close END', 'equity')} FROM k JOIN c USING (symbol)""",
+    SELECT symbol, ts, {q('CASE WHEN n = 1 THEN 100000 ELSE cash END', 'cash')}, CAST(CASE WHEN n = 1 THEN 0.0 ELSE 10.0 END AS DOUBLE) AS position, {q('CASE WHEN n = 1 THEN 100000 ELSE cash + 10 * close END', 'equity')} FROM k JOIN c USING (symbol)""",
 )
 def _(spark, sf):
     """The general fold: a strategy that buys once and holds."""

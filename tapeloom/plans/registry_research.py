@@ -587,7 +587,7 @@ def _(spark, sf):
     return execution.iceberg(_ord(spark, sf))
 
 
-@query("flatten_orders", f"WITH {TRADES} SELECT symbol, CASE WHEN sum(CASE WHEN side = 'buy' THEN quantity ELSE -quantity END) > 0 THEN 'sell' ELSE 'buy' END AS side, abs(sum(CASE WHEN side = 'buy' THEN quantity ELSE -quantity END)) * 0.5 AS quantity FROM t GROUP BY symbol")
+@query("flatten_orders", f"WITH {TRADES} SELECT symbol, CASE WHEN sum(CASE WHEN side = 'buy' THEN quantity ELSE -quantity END) > 0 THEN 'sell' ELSE 'buy' END AS side, abs(sum(CASE WHEN side = 'buy' THEN quantity ELSE -quantity END)) * CAST(0.5 AS DOUBLE) AS quantity FROM t GROUP BY symbol")
 def _(spark, sf):
     p = bars.order_trades(spark, sf).groupBy("symbol").agg(F.sum(F.when(F.col("side") == "buy", F.col("quantity")).otherwise(-F.col("quantity"))).alias("quantity"))
     return orders.flatten(p, 0.5)

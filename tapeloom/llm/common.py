@@ -221,8 +221,11 @@ def labelled(docs: DataFrame, labels: DataFrame, target: str, mod: int, bound: i
     """
     ok = labels.where(F.col("doc_id").isNotNull() & F.col(target).isNotNull() & (F.crc32(F.col("doc_id").cast("string").cast("binary")) % mod != 0))
     picked = ok.groupBy("doc_id").agg(F.max(target).cast("int").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound)
-    joined = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")  # bound rows at most
-    return joined.groupBy("doc_id").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"), F.max("label").alias("label"))
+    found = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")  # bound rows at most
+    joined = found.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "label")
+    if found.groupBy("doc_id").count().where("count > 1").isEmpty():
+        return joined
+    return joined.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("label").alias("label"))
 
 
 def held_out(mod: int, rest: int, id_col: str = "doc_id"):

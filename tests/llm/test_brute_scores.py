@@ -7,6 +7,7 @@ import re
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from tapeloom.llm import quality, secrets, toxicity
 from tests.llm.test_llm import low, prose
@@ -121,3 +122,23 @@ def test_links_of_secrets():
             assert secrets.find(text, scope) == sorted(base + want, key=lambda x: (x[1], secrets.KINDS.index(x[0]), x[2]))
             met += len(want)
     assert met > 200
+
+
+def test_labelled_rows_are_taken_once(spark):
+    from tapeloom.llm.common import labelled
+
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)] + [(3, 1), (3, 0), (None, 1), (61, None)], "doc_id long, quality int")
+    rows = [(i, f"t{i}", "x") for i in range(50)] + [(None, "n", "x"), (61, "m", "x")]
+    once = spark.createDataFrame(rows, "doc_id long, text string, quality string")
+    twice = once.unionByName(spark.createDataFrame([(7, "a", "y"), (7, None, "y"), (9, "t9", "y")], "doc_id long, text string, quality string"))
+    one, two = ({r["doc_id"]: (r["text"], r["label"]) for r in labelled(d.withColumn("label", F.lit("clash")), labels, "quality", 5, 1000).collect()} for d in (once, twice))
+    import zlib
+
+    assert set(one) == set(two) == {i for i in range(50) if zlib.crc32(str(i).encode()) % 5}
+    assert one[3] == ("t3", 1) if 3 in one else True
+    assert {k: v for k, v in two.items() if k != 7} == {k: v for k, v in one.items() if k != 7}
+    if 7 in two:
+        assert two[7] == ("", 1)
+    for d in (once, twice):
+        got = labelled(d, labels, "quality", 5, 10).collect()
+        assert len(got) <= 10 and len({r["doc_id"] for r in got}) == len(got)

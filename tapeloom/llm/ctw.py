@@ -29,7 +29,7 @@ HOT_CONTEXTS = 2_000_000
 #: Bytes of the longest context: with the byte that follows, 56 bits.
 DEPTH = 6
 #: Bytes of texts that are counted or scored at once.
-TEXT_BYTES = 1 << 19
+TEXT_BYTES = 1 << 20
 #: Keys of subtrees that are weighed at a time.
 WEIGHED_KEYS = 200_000
 #: Parts of the counts for each shuffle partition; a task adds up one at a time.

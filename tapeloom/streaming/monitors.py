@@ -12,6 +12,10 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import LongType, StructField, StructType
 
 
+_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+_ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
 def read_ticks(spark: SparkSession, folder: str, names: str = "*.parquet", files_per_trigger: int = 1000) -> DataFrame:
     """A stream over a folder's Parquet files of events; ts becomes a timestamp with zone, as watermarks need."""
     schema = spark.read.option("pathGlobFilter", names).parquet(folder).schema
@@ -178,7 +182,13 @@ def start(stream: DataFrame, path: str, checkpoint: str, mode: str = "append", e
         batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
 
     how = {"processingTime": every} if every else {"availableNow": True}
-    return stream.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", checkpoint).trigger(**how).start()
+    conf = stream.sparkSession.conf
+    before = conf.get(_PROVIDER, None)
+    conf.set(_PROVIDER, _ROCKSDB)  # keyed state needs it; a query keeps the settings that it started with
+    try:
+        return stream.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", checkpoint).trigger(**how).start()
+    finally:
+        conf.set(_PROVIDER, before) if before else conf.unset(_PROVIDER)
 
 
 def run_once(stream: DataFrame, name: str, checkpoint: str, mode: str = "append", keys: tuple[str, ...] = ()) -> DataFrame:
